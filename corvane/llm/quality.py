@@ -99,16 +99,13 @@ def host_verdicts(stats: DataFrame, host: str) -> DataFrame:
     failed = (base_failed() | _soft(STRICT_SYMBOLS, STRICT_DUP_LINES)).cast("long")
     hosts = stats.groupBy(F.col(host).alias("__host")).agg(F.count(F.lit(1)).alias("__n"), F.sum(failed).alias("__f"))
     rate = F.col("__f") / F.col("__n")
-    prior = hosts.agg((F.sum("__f") / F.sum("__n")).alias("__m"), F.var_pop(rate).alias("__v"), F.avg(1 / F.col("__n")).alias("__inv"))
-    spread = F.col("__m") * (1 - F.col("__m"))
-    extra = F.col("__v") - spread * F.col("__inv")
-    strength = F.greatest(F.lit(10.0), F.least(F.lit(10000.0), F.when(extra > 0, spread / extra - 1).otherwise(F.lit(10000.0))))
-    prior = prior.select("__m", strength.alias("__s"))
-    shrunk = (F.col("__f") + F.col("__m") * F.col("__s")) / (F.col("__n") + F.col("__s"))
-    # The prior is one row, a bound that holds at any size.
-    return hosts.join(F.broadcast(prior)).select("__host", shrunk.alias("__rate"), "__m").select(
-        "__host", "__rate", (F.col("__rate") >= REJECT_RATE).alias("__rejected"), (F.col("__rate") >= WATCH_TIMES * F.col("__m")).alias("__watched")
-    )
+    prior = hosts.agg((F.sum("__f") / F.sum("__n")).alias("__m"), F.var_pop(rate).alias("__v"), F.avg(1 / F.col("__n")).alias("__inv")).first()  # one row
+    mean = prior["__m"] or 0.0
+    spread = mean * (1 - mean)
+    extra = (prior["__v"] or 0.0) - spread * (prior["__inv"] or 0.0)
+    strength = max(10.0, min(10000.0, spread / extra - 1 if extra > 0 else 10000.0))
+    shrunk = (F.col("__f") + mean * strength) / (F.col("__n") + strength)
+    return hosts.select("__host", shrunk.alias("__rate")).select("__host", "__rate", (F.col("__rate") >= REJECT_RATE).alias("__rejected"), (F.col("__rate") >= WATCH_TIMES * mean).alias("__watched"))
 
 
 def judge(docs: DataFrame, text: str = "text", host: str = "source", keep: list[str] | None = None) -> DataFrame:
