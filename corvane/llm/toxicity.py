@@ -43,7 +43,7 @@ MOST = 6.0
 WINDOW = 4
 THRESHOLD = 0.3
 #: Texts handled together in a worker.
-SLICE = 256
+SLICE = 64
 
 _WORD = re.compile(r"\w+")
 
