@@ -33,12 +33,12 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Distinct pieces of text whose encoding a worker keeps; beyond it the table is begun anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 #: Longer pieces are encoded each time.
 CACHE_LENGTH = 64
-CACHE_PAIRS = 1_000_000
+CACHE_PAIRS = 300_000
 #: Texts handled together in a worker.
-SLICE = 256
+SLICE = 64
 
 _NORMAL, _BYTE = 1, 6
 _SPACED = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
@@ -114,6 +114,7 @@ class Vocabulary:
         self.auto.make_automaton()
         self.pairs: dict[int, bool] = {}
         self.known: dict[str, tuple[str, int, str]] = {"": ("", 0, "")}
+        self.older: dict[str, tuple[str, int, str]] = {}
 
     def merge(self, text: str) -> tuple[list[int], tuple[int, int]]:
         """Merging as defined: the best-scored pair first, the leftmost of equals. Also the last merge's two sides."""
@@ -245,12 +246,14 @@ class Vocabulary:
         for p in self.parts(text):
             e = known.get(p)
             if e is None:
-                ids = self.ids_of(p)
-                e = (",".join(map(str, ids)), len(ids), self.text_of(ids))
+                e = self.older.get(p)
+                if e is None:
+                    ids = self.ids_of(p)
+                    e = (",".join(map(str, ids)), len(ids), self.text_of(ids))
                 if len(p) <= CACHE_LENGTH:
-                    if len(known) >= CACHE_WORDS:
-                        known.clear()
-                        known[""] = ("", 0, "")
+                    if len(known) >= CACHE_WORDS // 2:  # what is met again moves on
+                        self.older = known
+                        self.known = known = {"": ("", 0, "")}
                     known[p] = e
             out.append(e)
         return [e for e in out if e[1]]
