@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the labelled sample; some 30 MB of text at 3 kB a document.
-TOXIC_ROWS, ORDINARY_ROWS = 3000, 6000
+#: Bounds of the labelled sample; some 20 MB of text at 3 kB a document.
+TOXIC_ROWS, ORDINARY_ROWS = 2000, 4000
 #: Words and word pairs in fewer contexts than this are left to the shared backoff.
 MIN_CONTEXTS = 8
 DISCOUNT = 0.75
@@ -41,6 +41,7 @@ STEMS, STEM_MARK = (4, 5, 6, 7), "\0"
 #: Evidence that one token may bring.
 MOST = 6.0
 WINDOW = 4
+FEATURES = 5
 THRESHOLD = 0.3
 #: Texts handled together in a worker.
 SLICE = 64
@@ -81,10 +82,10 @@ class Model:
         return out
 
     def features(self, texts: list[str | None]) -> np.ndarray:
-        """Of each text: mean difference, that of the most toxic window, the largest one, and how much lies above 1."""
+        """Of each text: mean difference, that of the most toxic window, the largest and the second largest one, and how much lies above 1."""
         words = [_WORD.findall((t or "").lower()) for t in texts]
         sizes = np.array([len(w) for w in words], np.int64)
-        out = np.zeros((len(texts), 4))
+        out = np.zeros((len(texts), FEATURES))
         if not sizes.sum():
             return out
         ids = np.fromiter((i for w in words for i in map(self.ids.__getitem__, w)), np.int64, int(sizes.sum()))
@@ -102,8 +103,13 @@ class Model:
         window = (total[1:] - total[begin]) / WINDOW
         out[full, 0] = (total[e] - total[s]) / sizes[full]
         out[full, 1] = np.maximum.reduceat(window, s)
-        out[full, 2] = np.maximum.reduceat(each, s)
-        out[full, 3] = np.log1p(high[e] - high[s])
+        most = np.maximum.reduceat(each, s)
+        own = np.repeat(np.arange(len(s)), sizes[full])
+        where = np.flatnonzero(each == most[own])
+        rest = each.copy()
+        rest[where[np.unique(own[where], return_index=True)[1]]] = -MOST
+        out[full, 2], out[full, 3] = most, np.maximum.reduceat(rest, s)
+        out[full, 4] = np.log1p(high[e] - high[s])
         return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
@@ -188,7 +194,7 @@ def fit(texts: list[str], toxic: list[int], rate: float) -> Model | None:
         seen = np.maximum(np.where(keys[at] == pairs, c[at], 0) - DISCOUNT, 0)
         expected = pair_sums * np.bincount(keys // v, weights=c, minlength=v)[pairs // v] / context_sums[pairs // v]
         high.append(np.log((seen + BACKOFF_COUNTS * np.exp(ratio[pairs % v])) / (expected + BACKOFF_COUNTS)))
-    model = Model(ids, np.clip(over[1] - over[0], -MOST, MOST), pairs, np.clip(high[1] - high[0], -MOST, MOST), np.zeros(5))
+    model = Model(ids, np.clip(over[1] - over[0], -MOST, MOST), pairs, np.clip(high[1] - high[0], -MOST, MOST), np.zeros(FEATURES + 1))
     held = [r for r, k in zip(rows, fold, strict=True) if not k]
     x = np.concatenate([model.features([t for t, _ in held[i : i + SLICE]]) for i in range(0, len(held), SLICE)])
     y = np.array([float(t) for _, t in held])
