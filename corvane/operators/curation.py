@@ -7,8 +7,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.operators.graph import components
+from corvane.storage import cut
+
 #: Rows of a block of vectors, on average.
-BLOCK_ROWS = 8192
+BLOCK_ROWS = 2048
 
 
 def content_hash(text: Column) -> Column:
@@ -47,10 +50,11 @@ def as_of(versions: DataFrame, key: str, order: str, at: Column) -> DataFrame:
 
 
 def semantic_links(vectors: DataFrame, key: str, vector: str, at_least: float) -> DataFrame:
-    """``key, n_links``: with how many other rows each row has a cosine (to six places) of ``at_least``.
+    """``key, n_links, class_id``: with how many other rows each row has a cosine (to six places) of ``at_least``, and the smallest key of its class.
 
-    Rows are dealt into blocks; each pair of blocks is one matrix product that returns one count for each row, so
-    neither pairs nor a large group's links are ever rows of a table.
+    Rows are dealt into blocks; each pair of blocks is one matrix product that returns, for each row, one count and the
+    smallest key that it is linked to within the pair, directly or by others. So neither pairs nor a large group's links
+    are ever rows of a table, and no link is lost to the classes.
     """
     rows = vectors.filter(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("__id"), F.col(vector).cast("array<double>").alias("__v"))
     blocks = max(1, -(-rows.count() // BLOCK_ROWS))
@@ -62,15 +66,22 @@ def semantic_links(vectors: DataFrame, key: str, vector: str, at_least: float) -
         x = np.stack(part["__v"].to_list())
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
-    def count(one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+    def linked(one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
         if one.empty or other.empty:
-            return pd.DataFrame({"id": [], "n": []})
-        x, y, ids = unit(one), unit(other), other["__id"].to_numpy()
-        n = np.zeros(len(x), np.int64)
-        for at in range(0, len(x), 1024):
-            near = np.round(x[at : at + 1024] @ y.T, 6) >= at_least
-            n[at : at + 1024] = near.sum(1) - (near & (one["__id"].to_numpy()[at : at + 1024, None] == ids)).sum(1)
-        return pd.DataFrame({"id": one["__id"], "n": n})
-
-    counts = left.groupBy("__a", "__b").cogroup(right.groupBy("__a", "__b")).applyInPandas(count, "id long, n long")
-    return counts.groupBy(F.col("id").alias(key)).agg(F.sum("n").alias("n_links"))
+            return pd.DataFrame({"id": [], "n": [], "root": []})
+        ids, others = one["__id"].to_numpy(), other["__id"].to_numpy()
+        y = unit(other).T
+        near = np.concatenate([np.round(part @ y, 6) >= at_least for part in np.array_split(unit(one), max(1, len(one) // 1024))])
+        same = ids[:, None] == others[None]
+        root = np.minimum(ids, np.where(near, others, np.iinfo(np.int64).max).min(1))
+        while True:  # labels go over to the columns and back until none falls
+            column = np.where(near, root[:, None], np.iinfo(np.int64).max).min(0)
+            new = np.minimum(root, np.where(near, column, np.iinfo(np.int64).max).min(1))
+            if np.array_equal(new, root):
+                return pd.DataFrame({"id": ids, "n": near.sum(1) - (near & same).sum(1), "root": root})
+            root = new
+
+    found = cut(left.groupBy("__a", "__b").cogroup(right.groupBy("__a", "__b")).applyInPandas(linked, "id long, n long, root long"), "linked")
+    classes = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    counts = found.groupBy("id").agg(F.sum("n").alias("n_links"))
+    return counts.join(classes, F.col("id") == F.col("node")).select(F.col("id").alias(key), "n_links", F.col("root").alias("class_id"))

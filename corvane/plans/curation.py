@@ -20,11 +20,13 @@ def cross_source_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS l FROM embeddings)
-SELECT a.vec_id AS vec_id, count(b.vec_id) AS n_links FROM n a LEFT JOIN n b ON a.vec_id <> b.vec_id AND round(list_inner_product(a.v, b.v) / (a.l * b.l), 6) >= 0.35 GROUP BY a.vec_id"""
+    """WITH RECURSIVE n AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS l FROM embeddings),
+p AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id AND round(list_inner_product(a.v, b.v) / (a.l * b.l), 6) >= 0.45),
+c AS (SELECT vec_id AS node, vec_id AS root FROM n UNION SELECT p.b, c.root FROM c JOIN p ON p.a = c.node)
+SELECT node AS vec_id, (SELECT count(*) FROM p WHERE p.a = node) AS n_links, min(root) AS class_id FROM c GROUP BY node"""
 )
 def near_dup_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.semantic_links(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.35)
+    return C.semantic_links(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.45)
 
 
 @query(
