@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Distinct pieces of text whose encoding a worker keeps; beyond it the table is begun anew.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 400_000
 #: Longer pieces are encoded each time.
 CACHE_LENGTH = 64
 CACHE_PAIRS = 300_000
@@ -70,6 +70,35 @@ def _fields(data: bytes):
         at += size
 
 
+#: Ids joined by commas, their number, decoded text.
+Entry = tuple[str, int, str]
+
+
+#: A token's length and id.
+Match = tuple[int, int]
+
+
+class _Entries(dict):
+    """Entries of pieces met before. When half of the room is full, what is met again moves on and the rest goes."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__({"": ("", 0, "")})
+        self.vocabulary = vocabulary
+        self.older: dict[str, Entry] = {}
+
+    def __missing__(self, piece: str) -> Entry:
+        e = self.older.get(piece)
+        if e is None:
+            e = self.vocabulary.entry(piece)
+        if len(piece) <= CACHE_LENGTH:
+            if len(self) >= CACHE_WORDS // 2:
+                self.older = dict(self)
+                self.clear()
+                self[""] = ("", 0, "")
+            self[piece] = e
+        return e
+
+
 class Vocabulary:
     """Tokens, their merge ranks and splits, and the automaton over the tokens that merging can reach."""
 
@@ -112,9 +141,16 @@ class Vocabulary:
                     self.split[i] = last
                     self.auto.add_word(s, (len(s), i))
         self.auto.make_automaton()
+        #: The longest token that a token begins with, beside itself.
+        self.shorter: list[Match | None] = [None] * len(self.surface)
+        reached = {s: i for s, i in self.ids.items() if len(s) == 1 or i in self.split}
+        for s, i in reached.items():
+            self.shorter[i] = next(((n, reached[s[:n]]) for n in range(len(s) - 1, 0, -1) if s[:n] in reached), None)
+        self.spelled = [s.replace(SPACE, " ") if k == _NORMAL else None for s, k in zip(self.surface, self.kind, strict=True)]
         self.pairs: dict[int, bool] = {}
-        self.known: dict[str, tuple[str, int, str]] = {"": ("", 0, "")}
-        self.older: dict[str, tuple[str, int, str]] = {}
+        #: Neighbouring characters that some token holds; no token reaches over any others.
+        self.joints = {s[i : i + 2] for s in self.ids for i in range(len(s) - 1)}
+        self.known = _Entries(self)
 
     def merge(self, text: str) -> tuple[list[int], tuple[int, int]]:
         """Merging as defined: the best-scored pair first, the leftmost of equals. Also the last merge's two sides."""
@@ -176,34 +212,49 @@ class Vocabulary:
         if (whole := self.ids.get(text)) is not None and (whole in self.split or len(text) == 1):
             return [whole]
         n = len(text)
-        at: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+        longest: list[Match | None] = [None] * n
         for end, match in self.auto.iter(text):
-            at[end + 1 - match[0]].append(match)  # by end, so each list goes from short to long
+            longest[end + 1 - match[0]] = match  # the last one met at a place is its longest
+        pairs, shorter = self.pairs, self.shorter
         failed = bytearray(n + 1)
         out: list[int] = []
-        places = [0]
-        tries = [len(at[0])]
-        compatible = self.compatible
-        while (pos := places[-1]) < n:
-            options, k = at[pos], tries[-1] - 1
-            last = out[-1] if out else -1
-            while k >= 0:
-                size, token = options[k]
-                if not failed[pos + size] and (last < 0 or compatible(last, token)):
-                    break
-                k -= 1
-            if k >= 0:
-                tries[-1] = k
-                out.append(token)
-                places.append(pos + size)
-                tries.append(len(at[pos + size]) if pos + size < n else 0)
-            else:
+        sizes: list[int] = []
+        pos, last, match = 0, -1, longest[0]
+        while pos < n:
+            while match is not None:
+                size, token = match
+                if not failed[pos + size]:
+                    if last < 0:
+                        break
+                    ok = pairs.get(last << 20 | token)
+                    if ok or ok is None and self.compatible(last, token):
+                        break
+                match = shorter[token]
+            if match is None:
                 failed[pos] = 1
-                places.pop()
-                tries.pop()
-                out.pop()
+                token = out.pop()
+                pos -= sizes.pop()
+                last = out[-1] if out else -1
+                match = shorter[token]
+            else:
+                out.append(token)
+                sizes.append(size)
+                pos += size
+                last = token
+                match = longest[pos] if pos < n else None
         return out
 
+    def entry(self, piece: str) -> Entry:
+        """The entry of a piece, from those of its parts between which no token reaches."""
+        if not piece.startswith(SPACE * 2):
+            joints = self.joints
+            cuts = [i for i in range(1, len(piece)) if piece[i - 1 : i + 1] not in joints]
+            if cuts:
+                parts = [self.known[piece[a:b]] for a, b in zip([0, *cuts], [*cuts, len(piece)], strict=True)]
+                return ",".join([e[0] for e in parts]), sum([e[1] for e in parts]), "".join([e[2] for e in parts])
+        ids = self.ids_of(piece)
+        return ",".join(map(str, ids)), len(ids), self.text_of(ids)
+
     def ids_of(self, piece: str) -> list[int]:
         """Ids of a piece of text that no token reaches over."""
         if piece.startswith(SPACE * 2):
@@ -217,6 +268,9 @@ class Vocabulary:
 
     def text_of(self, ids: list[int]) -> str:
         """The library's decoding, without the removal of the dummy prefix."""
+        spelled = [self.spelled[i] for i in ids]
+        if None not in spelled:
+            return "".join(spelled)
         out, raw = [], bytearray()
         for i in ids:
             if self.kind[i] == _BYTE:
@@ -226,7 +280,7 @@ class Vocabulary:
                 out.append(raw.decode(errors="replace"))
                 raw.clear()
             if self.kind[i] == _NORMAL:
-                out.append(self.surface[i].replace(SPACE, " "))
+                out.append(self.spelled[i])
         if raw:
             out.append(raw.decode(errors="replace"))
         return "".join(out)
@@ -240,23 +294,9 @@ class Vocabulary:
             return _SPACED.findall(ready)
         return ready.replace(SPACE, f" {SPACE}").replace("\n", " \n ").split(" ")
 
-    def entries(self, text: str) -> list[tuple[str, int, str]]:
+    def entries(self, text: str) -> list[Entry]:
         """Of each piece of the text: ids joined by commas, their number, decoded text."""
-        known, out = self.known, []
-        for p in self.parts(text):
-            e = known.get(p)
-            if e is None:
-                e = self.older.get(p)
-                if e is None:
-                    ids = self.ids_of(p)
-                    e = (",".join(map(str, ids)), len(ids), self.text_of(ids))
-                if len(p) <= CACHE_LENGTH:
-                    if len(known) >= CACHE_WORDS // 2:  # what is met again moves on
-                        self.older = known
-                        self.known = known = {"": ("", 0, "")}
-                    known[p] = e
-            out.append(e)
-        return [e for e in out if e[1]]
+        return [e for e in map(self.known.__getitem__, self.parts(text)) if e[1]]
 
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for e in self.entries(text or "") for i in e[0].split(",")]
