@@ -13,13 +13,13 @@ def components(edges: DataFrame) -> DataFrame:
 
     Labels spread to neighbours and then jump to their own label's label; each round's labels are written to the shared folder.
     """
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")), "labels")
+    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", narrow=True)
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")), "labels", narrow=True)
     while True:
         spread = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("__near"))
         near = labels.join(spread, "node").select("node", "root", F.least("root", "__near").alias("__to"))
         jump = near.join(labels.select(F.col("node").alias("__to"), F.col("root").alias("__root")), "__to").select("node", F.least("__to", "__root").alias("root"), (F.least("__to", "__root") < F.col("root")).alias("__moved"))
-        moved = cut(jump, "labels")
+        moved = cut(jump, "labels", narrow=True)
         labels = moved.select("node", "root")
         if not moved.filter("__moved").limit(1).count():
             return labels
