@@ -2,33 +2,40 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.storage import cut, shared_dir
+
+__all__ = ["BATCH_ROWS", "BROADCAST_ROWS", "batches_of", "bound_batches", "cut", "shared_dir", "small", "table"]
+
 #: Rows whose broadcast is allowed: at 64 bytes a row this is 16 MB.
 BROADCAST_ROWS = 250_000
 
-#: Used only where the session names no shared folder (tests on one machine).
-LOCAL_FALLBACK = "/tmp/checkpoints/corvane"
 
+#: Rows that Python workers are handed at once: a bound on what very long texts need, some megabytes as a rule.
+BATCH_ROWS = 512
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, as ``spark.checkpoint.dir`` names it."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FALLBACK).rstrip("/")
 
+def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Lower the session's number of rows in a batch to ``rows`` if it is larger; it is read when a query is planned, so it stays lowered."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= rows:
+        spark.conf.set(_BATCH, str(rows))
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and return the reread table.
 
-    Lineage ends there, so a lost executor costs no recomputation of what
-    came before, and several consumers read it without repeating the work.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Python workers get at most so many rows at once in what runs inside; for steps that are written at once."""
+    before = spark.conf.get(_BATCH)
+    bound_batches(spark, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
