@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm.common import bound_batches
+
 CAPACITY = 4096
 END_ID = 2
 #: Remainders in a randomised group, on average.
@@ -36,7 +39,7 @@ WORD_END = "</w>"
 #: Longer words are encoded each time.
 CACHE_LENGTH = 64
 #: Texts handled together in a worker.
-SLICE = 64
+SLICE = 128
 
 _cached: dict[str, tuple] = {}
 
@@ -73,24 +76,38 @@ class WordIds:
         return out
 
     def _learn(self, new: set[str]) -> None:
-        """Adds the ids of words. A word of letters before one full stop or comma is that word's ids and the mark's."""
+        """Adds the ids of words. Letters and the marks that follow them are tokenized apart, so such a word's ids are those of both."""
         known = self.words
-        marked = [w for w in new if w[-1] in ".," and w[:-1].isalpha() and _is_latin(w)]
-        plain = {w for w in new if w.isalpha()}.union([w[:-1] for w in marked]) - known.keys()
-        known.update((w, self.rare.encode(w)) for w in plain if _is_latin(w) and w.islower())
-        rest = list(({".", ",", *plain} | new).difference(known, marked))
+        plain, marked, rest = [], [], []
+        for w in new:
+            if w.isalpha():
+                plain.append(w)
+            elif (m := _MARKED(w)) and m[1].isalpha() and _is_latin(w):
+                marked.append((w, *m.groups()))
+            else:
+                rest.append(w)
+        for part in (1, 2):
+            (plain if part == 1 else rest).extend({m[part] for m in marked} - known.keys())
+        latin = [w for w in plain if w.islower() and (w.isascii() or _is_latin(w))]
+        self.rare.encode(latin, known)
+        if len(latin) < len(plain):
+            rest += [w for w in plain if w not in known]
         for i in range(0, len(rest), 4096):
             part = rest[i : i + 4096]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        known.update((w, known[w[:-1]] + known[w[-1]]) for w in marked)
+        known.update((w, known[a] + known[b]) for w, a, b in marked)
+
+
+_MARKED = re.compile(r"([^\W\d_]+)([^\w\s]+)").fullmatch
 
 
 class LatinWords:
     """Ids of words of Latin-1 lower-case letters by the rank-based merging of another library, several times faster on rare words.
 
     Merging the adjacent pair whose joint token was learned first is the same as applying the merges in their order. The
-    letters' UTF-8 bytes are 92 in number, so a byte that ends a word (a symbol of its own here) gets its own code.
+    letters' UTF-8 bytes, 92 in number, are coded as ASCII; a line end follows each word and is merged with the word's
+    last byte before all else, which gives the symbol of a byte that ends a word.
     """
 
     def __init__(self, model: dict):
@@ -99,37 +116,41 @@ class LatinWords:
         if model["type"] != "BPE" or model["end_of_word_suffix"] != WORD_END or model["ignore_merges"]:
             raise ValueError("only merge vocabularies with word ends")
         used = [*range(97, 123), 0xC2, 0xC3, *range(0x80, 0xC0)]
-        self.table = bytes(used.index(b) if b in used else 127 for b in range(256))
+        codes = dict(zip(used, [b for b in range(128) if b != 10], strict=False))
+        self.table = bytes(codes.get(b, 10) for b in range(256))
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the vocabulary
         chars = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
 
         def coded(token: str) -> bytes | None:
             end = token.endswith(WORD_END)
             raw = [chars[c] for c in (token[: -len(WORD_END)] if end else token)]
-            if not all(b in used for b in raw):
-                return None
-            out = bytearray(bytes(raw).translate(self.table))
-            out[-1] |= 128 * end
-            return bytes(out)
+            return bytes(map(codes.__getitem__, raw)) + b"\n" * end if all(b in codes for b in raw) else None
 
         ranks = {bytes([i]): i for i in range(256)}
-        ids = np.zeros(256 + len(model["merges"]), "<u4")
+        ranks |= {bytes([c, 10]): 256 + i for i, c in enumerate(codes.values())}
+        first = len(ranks)
+        self.ids = np.zeros(first + len(model["merges"]), "<u4")
         for token, i in model["vocab"].items():
             if len(token.removesuffix(WORD_END)) == 1 and (code := coded(token)) is not None:
-                ids[code[0]] = i
+                self.ids[ranks[code]] = i
         for r, pair in enumerate(model["merges"]):
-            token = "".join(pair if isinstance(pair, list) else pair.split(" "))
-            left = (pair if isinstance(pair, list) else pair.split(" "))[0]
-            if not left.endswith(WORD_END) and (code := coded(token)) is not None:
-                ranks[code] = 256 + r
-                ids[256 + r] = model["vocab"][token]
-        self.ids = [i.tobytes() for i in ids]
-        self.encoding = tiktoken.Encoding("words", pat_str=r".+", mergeable_ranks=ranks, special_tokens={})
-
-    def encode(self, word: str) -> bytes:
-        code = word.encode().translate(self.table)
-        code = code[:-1] + bytes([code[-1] | 128])
-        return b"".join([self.ids[r] for r in self.encoding._encode_single_piece(code)])
+            left, right = pair if isinstance(pair, list) else pair.split(" ")
+            if not left.endswith(WORD_END) and (code := coded(left + right)) is not None:
+                ranks[code] = first + r
+                self.ids[first + r] = model["vocab"][left + right]
+        self.ends = np.zeros(len(self.ids), bool)
+        self.ends[[r for code, r in ranks.items() if code.endswith(b"\n")]] = True
+        self.encoding = tiktoken.Encoding("words", pat_str=r"[^\n]*\n", mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, words: list[str], into: dict[str, bytes]) -> None:
+        """Adds the ids of each word."""
+        for i in range(0, len(words), 4096):
+            part = words[i : i + 4096]
+            coded = ("\n".join(part) + "\n").encode().translate(self.table).decode("ascii")
+            ranks = self.encoding.encode_to_numpy(coded)
+            data = self.ids[ranks].tobytes()
+            ends = (4 * (np.flatnonzero(self.ends[ranks]) + 1)).tolist()
+            into.update((w, data[a:b]) for w, a, b in zip(part, [0, *ends[:-1]], ends, strict=True))
 
 
 def _is_latin(text: str) -> bool:
@@ -162,6 +183,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
 
     ``deal`` is a random number that the row's place gives, the same when a lost task runs again.
     """
+    bound_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, place = _encoder(tokenizer_path), 0
@@ -185,6 +207,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
                     yield pa.RecordBatch.from_arrays([*arrays, pa.array(ids, pa.list_(pa.int32()))], [*_ARROW_PIECES.names, "ids"])
                 else:
                     yield pa.RecordBatch.from_arrays(arrays, schema=_ARROW_PIECES)
+            pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES + (", ids array<int>" if with_ids else ""))
 
