@@ -20,12 +20,12 @@ def cut(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
 
     Lineage ends there, so a lost executor costs no recomputation of what
     came before, and several consumers read it without repeating the work.
-    ``narrow``: for tables of numbers, written as two files for each core of the
-    cluster rather than one for each shuffle partition.
+    ``narrow``: for tables of numbers, dealt anew and written as two files for each
+    core of the cluster rather than one for each shuffle partition.
     """
     spark = df.sparkSession
     if narrow:
-        df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
+        df = df.repartition(2 * spark.sparkContext.defaultParallelism)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
