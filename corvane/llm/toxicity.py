@@ -29,8 +29,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the labelled sample; some 20 MB of text at 3 kB a document.
-TOXIC_ROWS, ORDINARY_ROWS = 2000, 4000
+from corvane.llm.common import bound_batches
+
+#: Bounds of the labelled sample; some 15 MB of text at 3 kB a document.
+TOXIC_ROWS, ORDINARY_ROWS = 1500, 3000
 #: Words and word pairs in fewer contexts than this are left to the shared backoff.
 MIN_CONTEXTS = 8
 DISCOUNT = 0.75
@@ -230,6 +232,7 @@ def score(text: Column, model: Model | None) -> Column:
     @F.arrow_udf("double")
     def udf(texts: pa.Array) -> pa.Array:
         out = [model.scores(texts[i : i + SLICE].to_pylist()) for i in range(0, len(texts), SLICE)]
+        pa.default_memory_pool().release_unused()
         return pa.array(np.concatenate(out) if out else [], pa.float64())
 
     return udf(text.cast("string"))
@@ -237,10 +240,12 @@ def score(text: Column, model: Model | None) -> Column:
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of each document."""
+    bound_batches(docs.sparkSession)
     out = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score(F.col("text"), train(docs, labels)).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def ordinary(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that aren't predicted to be toxic, with their columns as they were."""
+    bound_batches(docs.sparkSession)
     return docs.withColumn("__score", score(F.col("text"), train(docs, labels))).filter(F.col("__score") < THRESHOLD).drop("__score")
