@@ -15,9 +15,10 @@ smallest id. The coordinates are cut into bands; documents that share a band
 are candidates. No band's pairs are all made: each member is linked with the
 band's hub, the member with most company; links are verified on the exact
 sets, and components are formed. Only where a band still holds several
-components are pairs across components compared, if their sketches agree
-enough. So every pair that shares a band ends in one component or has been
-compared, and large groups of copies cost a link for each member.
+components are pairs across components compared, if their sketches agree enough
+and if the weight that they can share at all allows the similarity (``_across``). So
+every pair that shares a band ends in one component, has been compared or is
+ruled out, and large groups of copies cost a link for each member.
 
 Defined results: null texts count as empty; texts with equal words (empty ones
 too) are copies of one another; texts of fewer than five words have no other
@@ -37,17 +38,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import cut, small
+from corvane.llm.common import batches_of, cut, small
+from corvane.operators.graph import components
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 36, 7
 COORDINATES = BANDS * ROWS
-#: Sketches of two bits a coordinate agree this much at least where sets may reach the similarity: four deviations below 0.85.
-SKETCH_AGREES = 0.76
-SLICE = 128
+#: Coordinates of the finer sketches that pairs across components are chosen by.
+FINE_COORDINATES = 1024
+SLICE = 32
+#: Rows that a worker is handed at once: some megabytes of texts or of weighted sets.
+BATCH = 512
 #: Distinct words whose hash a worker keeps; beyond it the table is begun anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 60_000
 
 _U = np.uint64
 _EMPTY = _U(0xFFFFFFFFFFFFFFFF)
@@ -199,6 +203,7 @@ def signed(docs: DataFrame) -> DataFrame:
                     ],
                     ["doc_id", "copy", "bands", "sketch"],
                 )
+            pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(each, "doc_id long, copy binary, bands array<long>, sketch array<long>")
 
@@ -214,15 +219,17 @@ def weigh(docs: DataFrame) -> DataFrame:
                 edge = np.searchsorted(own, np.arange(part.num_rows + 1))
                 packed = [_pack(element[i:j], count[i:j]) for i, j in zip(edge[:-1], edge[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], ["id", "weights"])
+            pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(each, "id long, weights binary")
 
 
-def _agreeing(a: str, b: str) -> Column:
-    """Share of coordinates whose two sketch bits agree."""
-    n = -(-COORDINATES // 32)
+def _may_reach(a: str, b: str, at_least: float, coordinates: int) -> Column:
+    """Whether two sketches (two bits a coordinate) agree as much as documents of that similarity do, less four standard deviations."""
+    n = -(-coordinates // 32)
     differ = " + ".join(f"bit_count((({a}[{i}] ^ {b}[{i}]) | shiftrightunsigned({a}[{i}] ^ {b}[{i}], 1)) & 6148914691236517205L)" for i in range(n))
-    return F.expr(f"1 - ({differ}) / {COORDINATES}D")
+    share = at_least + (1 - at_least) / 4
+    return F.expr(differ) <= int(coordinates * (1 - share) + 4 * (coordinates * share * (1 - share)) ** 0.5)
 
 
 def verified(pairs: DataFrame, weights: DataFrame, at_least: float = SIMILARITY) -> DataFrame:
@@ -236,57 +243,104 @@ def verified(pairs: DataFrame, weights: DataFrame, at_least: float = SIMILARITY)
     return both.filter(exact("__x", "__y") >= at_least).select("a", "b")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``node, root``: the smallest node of each node's component, for all nodes of ``edges`` (``a, b``).
-
-    Labels spread to neighbours and then jump to their own label's label; each round's labels are written to the shared folder.
-    """
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")), "labels")
-    while True:
-        spread = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("__near"))
-        near = labels.join(spread, "node").select("node", "root", F.least("root", "__near").alias("__to"))
-        jump = near.join(labels.select(F.col("node").alias("__to"), F.col("root").alias("__root")), "__to").select("node", F.least("__to", "__root").alias("root"), (F.least("__to", "__root") < F.col("root")).alias("__moved"))
-        moved = cut(jump, "labels")
-        labels = moved.select("node", "root")
-        if not moved.filter("__moved").limit(1).count():
-            return labels
-
-
 def classes(docs: DataFrame, at_least: float = SIMILARITY) -> DataFrame:
     """``doc_id, class_id`` of each row; a class is named by its smallest id."""
+    with batches_of(docs.sparkSession, BATCH):
+        return _classes(docs, at_least)
+
+
+def _classes(docs: DataFrame, at_least: float) -> DataFrame:
     rows = cut(signed(docs), "signed")
     reps = cut(rows.groupBy("copy").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "reps")
     single = reps.filter(F.col("rep").isNotNull())
     exploded = single.select("rep", F.explode("bands").alias("band"))
     shared = exploded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    entries = cut(exploded.join(shared, "band"), "entries")
+    entries = cut(exploded.join(shared, "band"), "entries", narrow=True)
     company = entries.groupBy("rep").agg(F.sum("n").alias("company"))
     hubs = entries.join(company, "rep").groupBy("band").agg(F.max_by("rep", F.struct("company", -F.col("rep"))).alias("hub"))
     stars = entries.select("band", "rep").join(hubs, "band").filter("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
     sketch = lambda name: single.select(F.col("rep").alias(name), F.col("sketch").alias(f"__{name}"))
-    likely = stars.join(sketch("b"), "b").join(sketch("a"), "a").filter(_agreeing("__a", "__b") >= SKETCH_AGREES).select("a", "b")
+    likely = stars.join(sketch("b"), "b").join(sketch("a"), "a").filter(_may_reach("__a", "__b", at_least, COORDINATES)).select("a", "b")
     known = small(entries.select(F.col("rep").alias("__rep")).distinct())
     texts = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("__rep"), "left_semi")
     weights = cut(weigh(texts).dropDuplicates(["id"]), "weights")
-    edges = cut(verified(likely, weights, at_least), "links")
+    edges = cut(verified(likely, weights, at_least), "links", narrow=True)
     labels = components(edges)
-    placed = cut(entries.select("band", "rep").join(labels.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep")), "placed")
-    split = placed.groupBy("band").agg(F.min("root").alias("__lo"), F.max("root").alias("__hi")).filter("__lo < __hi").select("band")
-    left = cut(placed.join(split, "band").join(single.select("rep", "sketch"), "rep"), "open")
-    l, r = left.alias("l"), left.alias("r")
-    across = l.join(r, (F.col("l.band") == F.col("r.band")) & (F.col("l.rep") < F.col("r.rep")) & (F.col("l.root") != F.col("r.root")) & (_agreeing("l.sketch", "r.sketch") >= SKETCH_AGREES))
-    across = across.select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct()
-    more = cut(verified(across, weights, at_least), "links")
+    placed = cut(entries.select("band", "rep").join(labels.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep")), "placed", narrow=True)
+    across = _across(placed, single.select("rep", "bands"), weights, at_least)
+    more = cut(verified(across, weights, at_least), "links", narrow=True)
     if more.limit(1).count():
         labels = components(edges.unionByName(more))
     named = reps.select("copy", "rep").join(labels.select(F.col("node").alias("rep"), "root"), "rep", "left").select("copy", F.coalesce("root", "rep").alias("class_id"))
     return rows.select("doc_id", "copy").join(named, "copy").select("doc_id", "class_id")
 
 
+def _own_weight(weights: DataFrame) -> DataFrame:
+    """``id, size, common``: a document's total weight, and that of its elements which others of ``weights`` have too."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                element, count = _unpack(data)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(element), k)), pa.array(element.view(np.int64)), pa.array(count)], ["id", "element", "n"])
+
+    rows = weights.select("id", "weights").mapInArrow(each, "id long, element long, n long")
+    alone = rows.groupBy("element").agg(F.count(F.lit(1)).alias("docs"), F.min("id").alias("id"), F.min("n").alias("n")).filter("docs = 1")
+    unshared = alone.groupBy("id").agg(F.sum("n").alias("alone"))
+    total = rows.groupBy("id").agg(F.sum("n").alias("size"))
+    return total.join(unshared, "id", "left").select("id", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
+
+
+def _fine_sketches(weights: DataFrame) -> DataFrame:
+    """``rep, fine``: sketches of ``FINE_COORDINATES``, of the few documents whose band isn't settled."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 8):
+                part = batch.slice(at, 8)
+                sets = [_unpack(d) for d in part.column(1).to_pylist()]
+                own = np.repeat(np.arange(len(sets)), [len(e) for e, _ in sets])
+                sig = signatures(own, np.concatenate([e for e, _ in sets]), np.concatenate([n for _, n in sets]), len(sets), FINE_COORDINATES)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(sketches(sig)), pa.list_(pa.int64()))], ["rep", "fine"])
+
+    return weights.select("id", "weights").mapInArrow(each, "rep long, fine array<long>")
+
+
+#: Sizes are compared in classes of two per cent.
+SIZE_STEP = 1.02
+
+
+def _across(placed: DataFrame, marks: DataFrame, weights: DataFrame, at_least: float) -> DataFrame:
+    """Pairs ``a, b`` of different components that share a band and may reach the similarity.
+
+    Of two documents of weights ``s`` and ``t``, elements that no other document has can't be shared, so the shared weight is
+    at most the smaller ``common``; it must be ``at_least / (1 + at_least)`` of ``s + t``. That bounds the sizes of a
+    document's possible partners, and copies with edits of their own mostly have none. In each band all but the members of
+    its largest component look for partners among those of the sizes in question. A pair that is asked from both sides is
+    one pair after ``distinct``.
+    """
+    split = placed.groupBy("band").agg(F.min("root").alias("__lo"), F.max("root").alias("__hi")).filter("__lo < __hi").select("band")
+    inside = cut(placed.join(split, "band"), "open", narrow=True)
+    reps = inside.select(F.col("rep").alias("id")).distinct()
+    share = cut(_own_weight(weights.join(reps, "id", "left_semi")), "shares", narrow=True).filter(F.col("common") >= at_least * F.col("size") - 1e-9)
+    able = weights.join(share.select("id"), "id", "left_semi")
+    fine = cut(_fine_sketches(able), "fine", narrow=True)
+    member = inside.join(share.select(F.col("id").alias("rep"), "size", "common"), "rep").join(marks, "rep").join(fine, "rep")
+    member = cut(member.withColumn("step", F.floor(F.log("size") / float(np.log(SIZE_STEP))).cast("int")), "members", narrow=True)
+    largest = member.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    step = lambda size: F.floor(F.log(size) / float(np.log(SIZE_STEP))).cast("int")
+    least, most = at_least * F.col("size"), (1 + at_least) / at_least * F.col("common") - F.col("size")
+    asking = member.join(largest, "band").filter((F.col("root") != F.col("main")) & (most >= least)).withColumn("asked", F.explode(F.sequence(step(least) - 1, step(most) + 1)))
+    l, r = asking.alias("l"), member.alias("r")
+    fits = F.least("l.common", "r.common") >= at_least / (1 + at_least) * (F.col("l.size") + F.col("r.size")) - 1e-6
+    on = (F.col("l.band") == F.col("r.band")) & (F.col("l.asked") == F.col("r.step")) & (F.col("l.root") != F.col("r.root")) & fits & _may_reach("l.fine", "r.fine", at_least, FINE_COORDINATES)
+    once = F.array_min(F.array_intersect("l.bands", "r.bands")) == F.col("l.band")  # only in the first band that both share
+    return l.join(r, on & once).select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).distinct()
+
+
 def deduplicated(docs: DataFrame, at_least: float = SIMILARITY) -> DataFrame:
     """One row of each class, that with the smallest id; columns as they were. Rows without an id stay."""
-    found = cut(classes(docs, at_least), "classes")
+    found = cut(classes(docs, at_least), "classes", narrow=True)
     gone = found.filter("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct()
     out = docs.join(small(gone), F.col("doc_id") == F.col("__gone"), "left_anti")
     twice = found.filter("doc_id = class_id").groupBy("doc_id").count().filter("count > 1").limit(1).count()
