@@ -31,9 +31,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm.common import bound_batches
+
 SPACE = "▁"
 #: Distinct pieces of text whose encoding a worker keeps; beyond it the table is begun anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 #: Longer pieces are encoded each time.
 CACHE_LENGTH = 64
 CACHE_PAIRS = 300_000
@@ -146,6 +148,7 @@ class Vocabulary:
         reached = {s: i for s, i in self.ids.items() if len(s) == 1 or i in self.split}
         for s, i in reached.items():
             self.shorter[i] = next(((n, reached[s[:n]]) for n in range(len(s) - 1, 0, -1) if s[:n] in reached), None)
+        self.digits = [str(i) for i in range(len(self.surface))]
         self.spelled = [s.replace(SPACE, " ") if k == _NORMAL else None for s, k in zip(self.surface, self.kind, strict=True)]
         self.pairs: dict[int, bool] = {}
         #: Neighbouring characters that some token holds; no token reaches over any others.
@@ -252,8 +255,9 @@ class Vocabulary:
             if cuts:
                 parts = [self.known[piece[a:b]] for a, b in zip([0, *cuts], [*cuts, len(piece)], strict=True)]
                 return ",".join([e[0] for e in parts]), sum([e[1] for e in parts]), "".join([e[2] for e in parts])
-        ids = self.ids_of(piece)
-        return ",".join(map(str, ids)), len(ids), self.text_of(ids)
+        ids = self._backtrack(piece) if len(piece) > 1 and self.chars.issuperset(piece) and piece[1] != SPACE else self.ids_of(piece)
+        digits = self.digits
+        return ",".join([digits[i] for i in ids]), len(ids), self.text_of(ids)
 
     def ids_of(self, piece: str) -> list[int]:
         """Ids of a piece of text that no token reaches over."""
@@ -352,6 +356,7 @@ _DIGEST = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("de
 
 def digest(docs: DataFrame, model_path: str) -> DataFrame:
     """Per document: number of ids, hash of the ids joined by commas, hash of the text decoded from them."""
+    bound_batches(docs.sparkSession)
 
     @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def udf(texts: pa.Array) -> pa.Array:
