@@ -1,15 +1,19 @@
 """Scoring by cross-entropy difference between two matched n-gram models.
 
-Both models are bigram models with the same vocabulary (the corpus's
-``VOCABULARY`` most frequent words and one class for the rest), the same
-smoothing and the same tokens; one is counted over target documents, the other
-over all documents. A document's score is the mean, over its tokens, of target
-loss minus background loss, in nats: the lower, the nearer to the target.
-
-All documents are counted. Each task counts into a table whose size the
-vocabulary bounds and sends its non-zero cells once; the summed table has at
-most ``(VOCABULARY + 2) * (VOCABULARY + 1)`` cells, so collecting and
-broadcasting it is bounded at any size of the corpus.
+Both models are bigram models over the same words (all words of the corpus),
+with the same smoothing by their unigram models and the same tokens; one is
+counted over target documents, the other over all documents. A document's score
+is the mean, over its tokens, of target loss minus background loss, in nats: the
+lower, the nearer to the target.
+
+All documents and all words are counted; nothing that grows with the corpus is
+collected or broadcast. Documents are cut into chunks of about ``CHUNK_TOKENS``
+tokens. Each chunk sends its distinct words and word pairs, with their counts in
+it, to the partitions that own them; a partition sums the counts over all chunks
+and answers each chunk for what it sent. A chunk then has all counts that its
+documents' losses are made of. A word or pair costs one entry for each chunk
+that has it, however common it is. The partitions grow in number with what is
+sent. Words and pairs are told apart by 64-bit hashes.
 
 Defined results: a null or empty text has no tokens, null losses and a null
 score; repeated rows count as rows; without target documents both models are
@@ -23,97 +27,216 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import bound_batches, small
+from corvane.llm.common import batches_of, cut, small
 
-VOCABULARY = 1022
+#: No bound: every word of the corpus has counts of its own.
+VOCABULARY = None
 #: Tokens that the unigram model weighs in a bigram's context.
 PRIOR = 20.0
 SLICE = 64
+CHUNK_TOKENS, CHUNK_ROWS = 300_000, 4096
+#: Words and pairs that a partition is to be sent: at least, as long as there are few partitions, and at most.
+LEAST_ENTRIES, MOST_ENTRIES, FEW_PARTITIONS = 100_000, 2_000_000, 48
+#: Distinct words whose hash a worker keeps; beyond it the table is begun anew.
+CACHE_WORDS = 60_000
+#: Rows that a worker is handed at once where a row holds a chunk or its share of a partition.
+CHUNKS_AT_ONCE, SHARES_AT_ONCE = 4, 16
 
 _WORD = re.compile(r"\w+")
+_U = np.uint64
+#: The context of a text's first word; the largest number, so that it stays last in order.
+_START = _U(0xFFFFFFFFFFFFFFFF)
+
 
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = value
+        return value
 
-class _Ids(dict):
-    def __missing__(self, key: str) -> int:
-        return 0
 
+_hashes = _Hashes()
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[str]:
-    """The most frequent words over all documents, ties by the word."""
-    words = docs.select(F.explode(F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), r"[^\p{L}\p{N}_]+")).alias("__w")).filter("__w <> ''")
-    top = words.groupBy("__w").agg(F.count(F.lit(1)).alias("__n")).orderBy(F.desc("__n"), "__w").limit(size)
-    return [r["__w"] for r in top.collect()]
 
+def _pack(columns: list[np.ndarray]) -> bytes:
+    """Counts of the same length, each column in as few bytes as its largest needs; all lowest bytes come first and all highest, mostly zeros, last."""
+    narrow = [c.astype(np.min_scalar_type(int(c.max(initial=0)))) for c in columns]
+    return bytes(c.itemsize for c in narrow) + b"".join(c.view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in narrow)
 
-def _tokens(texts: list[str | None], ids: _Ids, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Contexts and words of all tokens, and the number of tokens in each text; a text's first context is ``start``."""
-    words = [_WORD.findall((t or "").lower()) for t in texts]
-    sizes = np.array([len(w) for w in words], np.int64)
-    flat = np.fromiter((i for w in words for i in map(ids.__getitem__, w)), np.int64, int(sizes.sum()))
-    context = np.concatenate([[start], flat[:-1]]) if len(flat) else flat
-    ends = np.cumsum(sizes)
-    context[(ends - sizes)[sizes > 0]] = start
-    return context, flat, sizes
 
+def _unpack(data: bytes, columns: int) -> list[np.ndarray]:
+    out, at, n = [], columns, (len(data) - columns) // max(sum(data[:columns]), 1)
+    for width in data[:columns]:
+        out.append(np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T.copy().view(f"<u{width}").reshape(n))
+        at += n * width
+    return out
 
-def bigrams(docs: DataFrame, words: list[str], target: str) -> tuple[np.ndarray, np.ndarray]:
-    """Counts over all documents and over those whose boolean column ``target`` holds: ``[context, word]``."""
-    ids, v = _Ids({w: i + 1 for i, w in enumerate(words)}), len(words) + 1
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, (v + 1) * v), np.int64)
+def _chunked(docs: DataFrame) -> DataFrame:
+    """Chunks of ``doc_id, text, target``: the ids, sizes and target marks of their documents, their distinct words' hashes in order, and all tokens as places in these."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, rows, tokens, held = TaskContext.get().partitionId() << 32, 0, 0, []
+
+        def chunk() -> pa.RecordBatch:
+            ids, marks, sizes, flat = (pa.concat_arrays([h[0] for h in held]), *(np.concatenate([h[k] for h in held]) for k in (1, 2, 3)))
+            words, stream = np.unique(flat, return_inverse=True)
+            values = [number, ids.to_pylist(), marks.tobytes(), _pack([sizes]), words.tobytes(), _pack([stream]), len(flat)]
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
+
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                context, flat, sizes = _tokens(part.column(0).to_pylist(), ids, v)
-                keys = context * v + flat
-                sums[0] += np.bincount(keys, minlength=sums.shape[1])
-                sums[1] += np.bincount(keys[np.repeat(np.array(part.column(1).to_pylist(), bool), sizes)], minlength=sums.shape[1])
-        cells = np.flatnonzero(sums[0])
-        for at in range(0, len(cells), 100_000):
-            k = cells[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(sums[0][k]), pa.array(sums[1][k])], ["cell", "n", "n_target"])
-
-    rows = docs.select(F.col("text").cast("string").alias("text"), F.col(target)).mapInArrow(count, "cell long, n long, n_target long")
-    got = rows.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")).toArrow()
-    out = np.zeros((2, (v + 1) * v))
-    cells = got["cell"].to_numpy()
-    out[0][cells], out[1][cells] = got["n"].to_numpy(), got["n_target"].to_numpy()
-    return out[0].reshape(v + 1, v), out[1].reshape(v + 1, v)
+                words = [_WORD.findall((t or "").lower()) for t in part.column(1).to_pylist()]
+                sizes = np.array([len(w) for w in words], np.int64)
+                flat = np.fromiter((h for w in words for h in map(_hashes.__getitem__, w)), np.uint64, int(sizes.sum()))
+                held.append((part.column(0), np.array(part.column(2).to_pylist(), bool), sizes, flat))
+                rows, tokens = rows + part.num_rows, tokens + len(flat)
+                if tokens >= CHUNK_TOKENS or rows >= CHUNK_ROWS:
+                    yield chunk()
+                    number, rows, tokens, held = number + 1, 0, 0, []
+            pa.default_memory_pool().release_unused()
+        if held:
+            yield chunk()
+
+    schema = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("marks", pa.binary()), ("sizes", pa.binary()), ("words", pa.binary()), ("stream", pa.binary()), ("n", pa.int64())])
+    return docs.mapInArrow(each, "chunk long, ids array<long>, marks binary, sizes binary, words binary, stream binary, n long")
+
+
+class _Chunk:
+    """A chunk's tokens: ``context`` and ``stream`` are places in ``words`` (the last of which is the start), ``pair`` in ``pairs``."""
+
+    def __init__(self, sizes: bytes, words: bytes, stream: bytes) -> None:
+        self.sizes = _unpack(sizes, 1)[0].astype(np.int64)
+        self.words = np.append(np.frombuffer(words, "<u8"), _START)
+        self.stream = _unpack(stream, 1)[0].astype(np.int64)
+        start = len(self.words) - 1
+        self.context = np.concatenate([[start], self.stream[:-1]]) if len(self.stream) else self.stream
+        self.context[(np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]] = start
+        key = self.words[self.context] * _U(0x9E3779B97F4A7C15) + self.words[self.stream]
+        key = (key ^ (key >> _U(32))) * _U(0xD6E8FEB86659FD93)
+        self.pairs, self.pair = np.unique(key ^ (key >> _U(32)), return_inverse=True)
+
+
+#: Counts of a word: as a word and as a context, over all documents and over the target's; and of a pair.
+_COLUMNS = (4, 2)
+
+
+def _sent(chunks: DataFrame, partitions: int) -> DataFrame:
+    """``part, chunk, kind, keys, counts`` (kind 0: words, 1: pairs): what each chunk sends to each partition."""
+    bounds = np.array([(p << 64) // partitions for p in range(partitions)], np.uint64)
+    names = ["part", "chunk", "kind", "keys", "counts"]
 
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                c = _Chunk(row["sizes"], row["words"], row["stream"])
+                marked = np.repeat(np.frombuffer(row["marks"], bool), c.sizes)
+                count = lambda places, n: [np.bincount(x, minlength=n) for x in (places, places[marked])]  # noqa: B023, E731
+                n = len(c.words)
+                for kind, keys, columns in ((0, c.words, [*count(c.stream, n), *count(c.context, n)]), (1, c.pairs, count(c.pair, len(c.pairs)))):
+                    edge = [*np.searchsorted(keys, bounds), len(keys)]
+                    spans = [(p, i, j) for p, (i, j) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if i < j]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([p for p, _, _ in spans], pa.int64()),
+                            pa.array([row["chunk"]] * len(spans), pa.int64()),
+                            pa.array([kind] * len(spans), pa.int32()),
+                            pa.array([keys[i:j].tobytes() for _, i, j in spans], pa.binary()),
+                            pa.array([_pack([x[i:j] for x in columns]) for _, i, j in spans], pa.binary()),
+                        ],
+                        names,
+                    )
+            pa.default_memory_pool().release_unused()
+
+    return chunks.select("chunk", "marks", "sizes", "words", "stream").mapInArrow(each, "part long, chunk long, kind int, keys binary, counts binary")
+
+
+def _answered(sent: DataFrame) -> DataFrame:
+    """``chunk, kind, part, counts``: the sums over all chunks for what each sent; rows without a chunk give numbers of distinct words and of tokens."""
+    names = ["chunk", "kind", "part", "counts", "distinct", "tokens", "target_tokens"]
+    schema = "chunk long, kind int, part long, counts binary, distinct long, tokens long, target_tokens long"
 
-def losses(counts: np.ndarray, prior: float = PRIOR) -> np.ndarray:
-    """``-log p(word | context)``: bigram counts smoothed by the unigram model, that by half a count for each word."""
-    unigram = (counts.sum(0) + 0.5) / (counts.sum() + 0.5 * counts.shape[1])
-    return -np.log((counts + prior * unigram) / (counts.sum(1, keepdims=True) + prior)).astype(np.float32)
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list, list] = ([], [])
+        for batch in batches:
+            for row in batch.to_pylist():
+                held[row["kind"]].append((row["chunk"], row["part"], row["keys"], row["counts"]))
+        for kind, rows in enumerate(held):
+            if not rows:
+                continue
+            keys, at = np.unique(np.concatenate([np.frombuffer(k, "<u8") for _, _, k, _ in rows]), return_inverse=True)
+            columns = list(zip(*(_unpack(c, _COLUMNS[kind]) for _, _, _, c in rows), strict=True))
+            sums = [np.bincount(at, weights=np.concatenate(x), minlength=len(keys)).astype(np.int64) for x in columns]
+            if kind == 0:
+                totals = [int((sums[0] > 0).sum()), int(sums[0].sum()), int(sums[1].sum())]
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([0], pa.int32()), pa.array([None], pa.int64()), pa.array([None], pa.binary()), *(pa.array([t], pa.int64()) for t in totals)], names)
+            edge = np.cumsum([0, *(len(k) // 8 for _, _, k, _ in rows)])
+            for first in range(0, len(rows), SHARES_AT_ONCE):
+                own = range(first, min(first + SHARES_AT_ONCE, len(rows)))
+                none = pa.nulls(len(own), pa.int64())
+                packed = [_pack([s[at[edge[i] : edge[i + 1]]] for s in sums]) for i in own]
+                yield pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in own], pa.int64()), pa.array([kind] * len(own), pa.int32()), pa.array([rows[i][1] for i in own], pa.int64()), pa.array(packed, pa.binary()), none, none, none], names)
+
+    return sent.mapInArrow(each, schema)
+
+
+def _loss(word: np.ndarray, context: np.ndarray, pair: np.ndarray, c: _Chunk, tokens: int, words: int) -> np.ndarray:
+    """``-log p(word | context)`` of each token: bigram counts smoothed by the unigram model, that by half a count for each word."""
+    unigram = (word[c.stream] + 0.5) / (tokens + 0.5 * words)
+    return -np.log((pair[c.pair] + PRIOR * unigram) / (context[c.context] + PRIOR))
 
 
 RESULT = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
 
 
-def score(docs: DataFrame, target_ids: DataFrame, size: int = VOCABULARY) -> DataFrame:
+def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     """Losses and score of every document; ``target_ids`` has the ``doc_id`` of target documents."""
-    bound_batches(docs.sparkSession)
+    spark = docs.sparkSession
     marked = small(target_ids.select(F.col("doc_id").alias("__id")).filter("__id IS NOT NULL").distinct())
-    words = vocabulary(docs, size)
-    ids, v = _Ids({w: i + 1 for i, w in enumerate(words)}), len(words) + 1
-    joined = docs.select("doc_id", "text").join(marked, F.col("doc_id") == F.col("__id"), "left").withColumn("__target", F.col("__id").isNotNull())
-    background, target = bigrams(joined, words, "__target")
-    tables = docs.sparkSession.sparkContext.broadcast((losses(target if target.any() else background), losses(background)))
+    joined = docs.select("doc_id", "text").join(marked, F.col("doc_id") == F.col("__id"), "left")
+    with batches_of(spark, 512):
+        chunks = cut(_chunked(joined.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("__id").isNotNull().alias("__target"))), "chunks")
+    n_chunks, n = chunks.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    partitions = max(1, min(FEW_PARTITIONS, n // LEAST_ENTRIES), n // MOST_ENTRIES)
+    with batches_of(spark, CHUNKS_AT_ONCE):
+        sent = _sent(chunks, partitions).repartition(partitions, "part")
+        answers = cut(_answered(sent), "answers")
+    # the 1 is the class of words that the corpus doesn't have
+    words, tokens, target_tokens = (x or 0 for x in answers.filter("chunk IS NULL").agg(F.sum("distinct"), F.sum("tokens"), F.sum("target_tokens")).first())
+    with batches_of(spark, SHARES_AT_ONCE):
+        return cut(_scored(chunks, answers.filter("chunk IS NOT NULL"), n_chunks, words + 1, tokens, target_tokens), "scores")
+
+
+def _scored(chunks: DataFrame, answers: DataFrame, n_chunks: int, words: int, tokens: int, target_tokens: int) -> DataFrame:
+    """Each chunk is met after the answers to it, words before pairs, in the order of their partitions."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_target, to_background = tables.value
+        got: tuple[list, list] = ([], [])
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                context, flat, sizes = _tokens(part.column(1).to_pylist(), ids, v)
-                own = np.repeat(np.arange(len(sizes)), sizes)
-                means = [np.bincount(own, weights=t[context, flat], minlength=len(sizes)) / np.maximum(sizes, 1) for t in (to_target, to_background)]
-                none = sizes == 0
-                columns = [pa.array(x, pa.float64(), mask=none) for x in (*means, means[0] - means[1])]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), *columns], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(each, RESULT)
+            for row in batch.to_pylist():
+                if row["kind"] < 2:
+                    got[row["kind"]].append(_unpack(row["counts"], _COLUMNS[row["kind"]]))
+                    continue
+                c = _Chunk(row["sizes"], row["words"], row["stream"])
+                u, u_target, x, x_target, p, p_target = (np.concatenate(k) if k else np.zeros(0) for kind in (0, 1) for k in (zip(*got[kind], strict=True) if got[kind] else [()] * _COLUMNS[kind]))
+                got = ([], [])
+                background = _loss(u, x, p, c, tokens, words)
+                target = _loss(u_target, x_target, p_target, c, target_tokens, words) if target_tokens else background
+                own = np.repeat(np.arange(len(c.sizes)), c.sizes)
+                means = [np.bincount(own, weights=t, minlength=len(c.sizes)) / np.maximum(c.sizes, 1) for t in (target, background)]
+                columns = [pa.array(m, pa.float64(), mask=c.sizes == 0) for m in (*means, means[0] - means[1])]
+                yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(c.sizes), *columns], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+            pa.default_memory_pool().release_unused()
+
+    rows = answers.select("chunk", "kind", "part", "counts").unionByName(chunks.select("chunk", F.lit(2).alias("kind"), "ids", "sizes", "words", "stream"), allowMissingColumns=True)
+    by_chunk = rows.repartition(max(1, min(n_chunks, 2 * chunks.sparkSession.sparkContext.defaultParallelism), n_chunks // 16), "chunk").sortWithinPartitions("chunk", "kind", "part")
+    return by_chunk.mapInArrow(each, RESULT)

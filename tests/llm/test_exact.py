@@ -325,3 +325,16 @@ def test_pipeline(spark):
     kept = {r["doc_id"] for r in quality.digest(docs.filter(docs.doc_id.isin(list(left)))).filter("kept").collect()}
     classes = brute_classes({i: left[i] for i in kept})
     assert {r["doc_id"] for r in rows} == {i for i, c in classes.items() if i == c}
+
+
+def test_lm_score_rare_words(spark):
+    """Texts that differ from the target only in words that many others are more frequent than, scored alike from many chunks and from one."""
+    common = [(i, " ".join(f"c{(i * 40 + k) % 2000}" for k in range(40))) for i in range(200)]
+    rare = [(1000 + i, f"the rare{i % 2} ends") for i in range(8)]
+    df = spark.createDataFrame(common + rare, "doc_id long, text string")
+    target = spark.createDataFrame([(i,) for i, _ in rare if i % 2 == 0 and i < 1004], "doc_id long")
+    got = {r["doc_id"]: r["score"] for r in lmscore.score(df, target).collect()}
+    assert got[1004] == got[1006] < got[1005] == got[1007]
+    copies = spark.createDataFrame((common + rare) * 15, "doc_id long, text string").repartition(7)
+    rows = lmscore.score(copies, target).collect()
+    assert len(rows) == 15 * len(got) and len({(r["doc_id"], r["score"]) for r in rows}) == len(got)
