@@ -7,8 +7,12 @@ scanned by a general pattern, so the cost is one automaton pass plus work
 proportional to the number of anchors.
 
 Kinds with a fixed definition (``BASE_KINDS``): email, ip, card, phone. The
-method adds ``url`` (scheme anchors) and ``account`` (identifier cues such as
-``password=`` or access-key prefixes). Spans are code points, end exclusive.
+method adds ``url`` (scheme anchors) and ``account`` (values after identifier
+cues such as ``password=`` or ``Token: "``, and access-key prefixes). After a cue
+in any case come an optional quote, spaces, ``=`` or ``:``, spaces and the value.
+A value in quotes is all between them; one without is a run of letters, digits,
+``_`` and ``-``, and has a digit if it doesn't follow ``=`` at once. Spans are code
+points, end exclusive.
 
 Defined results: a null or empty text has no spans; repeated rows each get
 their own result; spans of one kind never overlap; other columns are ignored.
@@ -31,7 +35,7 @@ KINDS = (*BASE_KINDS, "url", "account")
 
 # The anchors of each parser.
 SCHEMES = ("http://", "https://", "ftp://")
-ACCOUNT_CUES = ("password=", "passwd=", "pwd=", "api_key=", "apikey=", "token=", "secret=", "account=", "AKIA", "ASIA", "ghp_", "sk-")
+ACCOUNT_CUES = ("password", "passwd", "pwd", "api_key", "apikey", "token", "secret", "account")
 #: Key prefixes that belong to the identifier, with the length of a whole key.
 KEY_PREFIXES = {"AKIA": 20, "ASIA": 20, "ghp_": 40, "sk-": 20}
 
@@ -47,12 +51,16 @@ _CARD_RUN = re.compile(r"[0-9][0-9 -]*")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _URL = re.compile(r"[^\s<>\"'`{}|\\^]+")
+_ASSIGNED = re.compile(r"[\"']?[ \t]*[:=][ \t]*")
+_QUOTED = re.compile(r"([\"'`])([^\s\"'`]{4,})\1")
+_PLAIN = re.compile(r"[\"'`]?([A-Za-z0-9_-]{4,})")
+_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def _automaton() -> ahocorasick.Automaton:
     auto = ahocorasick.Automaton()
-    for word, kind in [("@", 0), ("+", 1), *((d, 2) for d in sorted(_DIGITS)), *((s, 3) for s in SCHEMES), *((c, 4) for c in ACCOUNT_CUES)]:
-        auto.add_word(word, (kind, word))
+    for word, kind in [("@", 0), ("+", 1), *((d, 2) for d in sorted(_DIGITS)), *((s, 3) for s in SCHEMES), *((c, 4) for c in ACCOUNT_CUES), *((p, 5) for p in KEY_PREFIXES)]:
+        auto.add_word(word.lower(), (kind, word))
     auto.make_automaton()
     return auto
 
@@ -72,13 +80,30 @@ def _octets(text: str) -> bool:
     return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in text.split("."))
 
 
+def _lowered(text: str) -> str:
+    """``text`` in lower case with every character at its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(_LOWER)
+
+
+def _value(text: str, at: int) -> tuple[int, int] | None:
+    """The value that is assigned to a cue which ends at ``at``."""
+    if not (sign := _ASSIGNED.match(text, at)):
+        return None
+    if m := _QUOTED.match(text, sign.end()):
+        return m.span(2)
+    if (m := _PLAIN.match(text, sign.end())) and (sign[0] == "=" or not _DIGITS.isdisjoint(m[1])):
+        return m.span(1)
+    return None
+
+
 def find_spans(text: str | None) -> list[tuple[str, int, int]]:
     """All spans of ``text``, ordered by kind as listed in ``KINDS``, then by start."""
     if not text:
         return []
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     mail_end = ip_end = card_end = phone_end = url_end = account_end = 0
-    for last, (kind, word) in _AUTO.iter(text):
+    for last, (kind, word) in _AUTO.iter(_lowered(text)):
         if kind == 2:  # a digit: an address run and a number run, each parsed once
             if last >= ip_end:
                 start = last
@@ -110,27 +135,27 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
                     found["phone"].append(m.span())
         elif kind == 3:
             start = last + 1 - len(word)
-            if start >= url_end and (start == 0 or not text[start - 1].isalnum()) and (m := _URL.match(text, last + 1)):
+            if start >= url_end and text.startswith(word, start) and (start == 0 or not text[start - 1].isalnum()) and (m := _URL.match(text, last + 1)):
                 end = m.end()
                 while text[end - 1] in ".,;:!?)]" and end > last + 1:
                     end -= 1
                 if end > last + 1:
                     url_end = end
                     found["url"].append((start, end))
+        elif kind == 4:
+            start = last + 1 - len(word)
+            if start >= account_end and (start == 0 or not text[start - 1].isalnum()) and (span := _value(text, last + 1)):
+                account_end = span[1]
+                found["account"].append(span)
         else:
             start = last + 1 - len(word)
-            if start >= account_end and (start == 0 or text[start - 1] not in _ID):
+            if start >= account_end and text.startswith(word, start) and (start == 0 or text[start - 1] not in _ID):
                 end = last + 1
                 while end < len(text) and text[end] in _ID:
                     end += 1
-                whole = end - start
-                if word in KEY_PREFIXES:
-                    ok, at = whole >= KEY_PREFIXES[word] if word == "sk-" else whole == KEY_PREFIXES[word], start
-                else:
-                    ok, at = end - last - 1 >= 4, last + 1
-                if ok:
+                if end - start == KEY_PREFIXES[word] or (word == "sk-" and end - start > KEY_PREFIXES[word]):
                     account_end = end
-                    found["account"].append((at, end))
+                    found["account"].append((start, end))
     return [(k, s, e) for k in KINDS for s, e in found[k]]
 
 
