@@ -10,8 +10,8 @@ the hits to ``k`` coordinates and keeps the earliest dart of each. If a
 coordinate stays empty, the bound is doubled. Two documents agree in a
 coordinate with a probability equal to their similarity.
 
-Joining: copies with equal words are first reduced to the one with the
-smallest id. The coordinates are cut into bands; documents that share a band
+Joining: copies with equal words are first reduced to one, known by a hash of
+its words, so that neither a missing id nor one id of several texts matters. The coordinates are cut into bands; documents that share a band
 are candidates. No band's pairs are all made: each member is linked with the
 band's hub, the member with most company; links are verified on the exact
 sets, and components are formed. Only where a band still holds several
@@ -23,7 +23,8 @@ ruled out, and large groups of copies cost a link for each member.
 Defined results: null texts count as empty; texts with equal words (empty ones
 too) are copies of one another; texts of fewer than five words have no other
 near-duplicates; repeated rows share their class; rows whose id is null take
-part, and name a class only if nothing else does; an empty table gives no
+part, and name a class only if nothing else does; unrelated texts with one id
+are classes of their own, even if that id names both; an empty table gives no
 rows; other columns are ignored.
 """
 
@@ -37,8 +38,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corvane.llm.common import batches_of, cut, small
+from corvane.llm.common import batches_of, bound_batches, cut, small
 from corvane.operators.graph import components
 
 WORDS = 5
@@ -183,6 +185,11 @@ def _words(texts: list[str | None]) -> list[list[str]]:
 _BLANKS = {c: " " for c in range(9, 14)}
 
 
+def _copy(words: list[str]) -> int:
+    """A 63-bit hash of a text's words."""
+    return int.from_bytes(hashlib.md5(" ".join(words).encode()).digest()[:8], "little") >> 1
+
+
 def signed(docs: DataFrame) -> DataFrame:
     """``doc_id, copy`` (a hash of the words), ``bands, sketch`` of each row; texts of fewer than five words have no bands."""
 
@@ -197,7 +204,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
-                        pa.array([hashlib.md5(" ".join(w).encode()).digest() for w in words], pa.binary()),
+                        pa.array([_copy(w) for w in words], pa.int64()),
                         pa.array([[] if s else list(r) for s, r in zip(short, keys, strict=True)], pa.list_(pa.int64())),
                         pa.array([[] if s else list(r) for s, r in zip(short, marks, strict=True)], pa.list_(pa.int64())),
                     ],
@@ -205,23 +212,24 @@ def signed(docs: DataFrame) -> DataFrame:
                 )
             pa.default_memory_pool().release_unused()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(each, "doc_id long, copy binary, bands array<long>, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(each, "doc_id long, copy long, bands array<long>, sketch array<long>")
 
 
 def weigh(docs: DataFrame) -> DataFrame:
-    """``id, weights``: the exact weighted set of each row as bytes."""
+    """``id, weights``: the hash of each row's words, and its exact weighted set as bytes."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                own, element, count = elements(_words(part.column(1).to_pylist()))
+                words = _words(part.column(0).to_pylist())
+                own, element, count = elements(words)
                 edge = np.searchsorted(own, np.arange(part.num_rows + 1))
                 packed = [_pack(element[i:j], count[i:j]) for i, j in zip(edge[:-1], edge[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], ["id", "weights"])
+                yield pa.RecordBatch.from_arrays([pa.array([_copy(w) for w in words], pa.int64()), pa.array(packed, pa.binary())], ["id", "weights"])
             pa.default_memory_pool().release_unused()
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(each, "id long, weights binary")
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(each, "id long, weights binary")
 
 
 def _may_reach(a: str, b: str, at_least: float, coordinates: int) -> Column:
@@ -246,33 +254,37 @@ def verified(pairs: DataFrame, weights: DataFrame, at_least: float = SIMILARITY)
 def classes(docs: DataFrame, at_least: float = SIMILARITY) -> DataFrame:
     """``doc_id, class_id`` of each row; a class is named by its smallest id."""
     with batches_of(docs.sparkSession, BATCH):
-        return _classes(docs, at_least)
+        return _classes(docs, at_least).select("doc_id", "class_id")
 
 
 def _classes(docs: DataFrame, at_least: float) -> DataFrame:
+    """``doc_id, copy, root, class_id`` of each row; rows of one class have one ``root``."""
     rows = cut(signed(docs), "signed")
-    reps = cut(rows.groupBy("copy").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "reps")
-    single = reps.filter(F.col("rep").isNotNull())
-    exploded = single.select("rep", F.explode("bands").alias("band"))
+    reps = cut(rows.groupBy(F.col("copy").alias("rep")).agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "reps")
+    exploded = reps.select("rep", F.explode("bands").alias("band"))
     shared = exploded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     entries = cut(exploded.join(shared, "band"), "entries", narrow=True)
     company = entries.groupBy("rep").agg(F.sum("n").alias("company"))
     hubs = entries.join(company, "rep").groupBy("band").agg(F.max_by("rep", F.struct("company", -F.col("rep"))).alias("hub"))
     stars = entries.select("band", "rep").join(hubs, "band").filter("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-    sketch = lambda name: single.select(F.col("rep").alias(name), F.col("sketch").alias(f"__{name}"))
+    sketch = lambda name: reps.select(F.col("rep").alias(name), F.col("sketch").alias(f"__{name}"))
     likely = stars.join(sketch("b"), "b").join(sketch("a"), "a").filter(_may_reach("__a", "__b", at_least, COORDINATES)).select("a", "b")
-    known = small(entries.select(F.col("rep").alias("__rep")).distinct())
-    texts = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("__rep"), "left_semi")
-    weights = cut(weigh(texts).dropDuplicates(["id"]), "weights")
+    known = cut(entries.select(F.col("rep").alias("__rep")).distinct(), "known", narrow=True)
+    ids = small(reps.join(known, F.col("rep") == F.col("__rep"), "left_semi").select(F.col("doc_id").alias("__id")).filter("__id IS NOT NULL").distinct())
+    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("__id"), "left_semi").unionByName(docs.select("doc_id", "text").filter("doc_id IS NULL"))
+    weights = cut(weigh(texts).join(small(known), F.col("id") == F.col("__rep"), "left_semi").dropDuplicates(["id"]), "weights")
     edges = cut(verified(likely, weights, at_least), "links", narrow=True)
     labels = components(edges)
     placed = cut(entries.select("band", "rep").join(labels.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep")), "placed", narrow=True)
-    across = _across(placed, single.select("rep", "bands"), weights, at_least)
+    across = _across(placed, reps.select("rep", "bands"), weights, at_least)
     more = cut(verified(across, weights, at_least), "links", narrow=True)
     if more.limit(1).count():
         labels = components(edges.unionByName(more))
-    named = reps.select("copy", "rep").join(labels.select(F.col("node").alias("rep"), "root"), "rep", "left").select("copy", F.coalesce("root", "rep").alias("class_id"))
-    return rows.select("doc_id", "copy").join(named, "copy").select("doc_id", "class_id")
+    linked = cut(labels.select(F.col("node").alias("rep"), "root").join(reps.select("rep", "doc_id"), "rep"), "linked", narrow=True)
+    names = linked.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    named = reps.select("rep", "doc_id").join(small(linked.select("rep", "root")), "rep", "left").join(small(names), "root", "left")
+    named = named.select(F.col("rep").alias("copy"), F.coalesce("root", "rep").alias("root"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    return rows.select("doc_id", "copy").join(named, "copy").select("doc_id", "copy", "root", "class_id")
 
 
 def _own_weight(weights: DataFrame) -> DataFrame:
@@ -338,10 +350,27 @@ def _across(placed: DataFrame, marks: DataFrame, weights: DataFrame, at_least: f
     return l.join(r, on & once).select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).distinct()
 
 
+@F.arrow_udf(T.LongType())
+def _copies(text: pa.Array) -> pa.Array:
+    return pa.array([_copy(w) for w in _words(text.to_pylist())], pa.int64())
+
+
 def deduplicated(docs: DataFrame, at_least: float = SIMILARITY) -> DataFrame:
-    """One row of each class, that with the smallest id; columns as they were. Rows without an id stay."""
-    found = cut(classes(docs, at_least), "classes", narrow=True)
-    gone = found.filter("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct()
-    out = docs.join(small(gone), F.col("doc_id") == F.col("__gone"), "left_anti")
-    twice = found.filter("doc_id = class_id").groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id"]) if twice else out
+    """One row of each class, that with the smallest id; columns as they were. Rows without an id stay.
+
+    A row is known by its id and the hash of its words, as one id may have several texts.
+    """
+    with batches_of(docs.sparkSession, BATCH):
+        found = cut(_classes(docs, at_least), "classes", narrow=True).filter("doc_id IS NOT NULL")
+    each = found.groupBy("root", "doc_id", "copy").agg(F.count(F.lit(1)).alias("n"))
+    first = each.groupBy("root").agg(F.min(F.struct("doc_id", "copy", "n")).alias("first"))
+    keys = cut(each.join(first, "root").select(F.col("doc_id").alias("__id"), F.col("copy").alias("__of"), (F.struct("doc_id", "copy", "n") != F.col("first")).alias("gone"), "n"), "rows", narrow=True)
+    gone, twice = (keys.filter(c).select("__id", "__of") for c in ("gone", "NOT gone AND n > 1"))
+    bound_batches(docs.sparkSession, BATCH)
+    out = docs.withColumn("__copy", _copies(F.col("text").cast("string")))
+    on = (F.col("doc_id") == F.col("__id")) & (F.col("__copy") == F.col("__of"))
+    left = out.join(small(gone), on, "left_anti")
+    if twice.limit(1).count():
+        again = left.join(small(twice), on, "left_semi").dropDuplicates(["doc_id", "__copy"])
+        left = left.join(small(twice), on, "left_anti").unionByName(again)
+    return left.drop("__copy")

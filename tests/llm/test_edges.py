@@ -135,3 +135,19 @@ def test_vectors(spark):
     assert {r["query_id"] for r in got} == {0, 20} and len(got) == 2 * 38
     assert {r["vec_id"] for r in got} <= set(range(39))
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_deduplicated_by_row(spark):
+    """Rows without an id all stay, unrelated texts of one id too, and a class whose first row's id also names a dropped row keeps that first row."""
+    texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcd"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1] + " more"), (7, texts[2]), (7, texts[2]), (7, texts[3]), (5, texts[3] + " more"), (8, texts[2] + " more"), (9, texts[1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit(1))
+    left = minhash.deduplicated(df)
+    assert left.columns == ["doc_id", "text", "n"]
+    assert sorted(map(repr, left.select("doc_id", "text").collect())) == sorted(map(repr, spark.createDataFrame([rows[i] for i in (0, 1, 2, 3, 6, 8)], df.select("doc_id", "text").schema).collect()))
+
+
+def test_classes_without_ids(spark):
+    """A near copy without an id has the class of its group."""
+    df = spark.createDataFrame([(3, PROSE + " here"), (None, PROSE), (4, PROSE + " there"), (None, "alone and without an id at all")], "doc_id long, text string")
+    assert sorted(map(repr, minhash.classes(df).collect())) == sorted(["Row(doc_id=3, class_id=3)", "Row(doc_id=None, class_id=3)", "Row(doc_id=4, class_id=3)", "Row(doc_id=None, class_id=None)"])
