@@ -131,7 +131,7 @@ _COLUMNS = (4, 2)
 
 
 def _sent(chunks: DataFrame, partitions: int) -> DataFrame:
-    """``part, chunk, kind, keys, counts`` (kind 0: words, 1: pairs): what each chunk sends to each partition."""
+    """``part, chunk, kind, keys, counts`` (kind 0: words, 1: pairs; keys in order, as differences): what each chunk sends to each partition."""
     bounds = np.array([(p << 64) // partitions for p in range(partitions)], np.uint64)
     names = ["part", "chunk", "kind", "keys", "counts"]
 
@@ -150,7 +150,7 @@ def _sent(chunks: DataFrame, partitions: int) -> DataFrame:
                             pa.array([p for p, _, _ in spans], pa.int64()),
                             pa.array([row["chunk"]] * len(spans), pa.int64()),
                             pa.array([kind] * len(spans), pa.int32()),
-                            pa.array([keys[i:j].tobytes() for _, i, j in spans], pa.binary()),
+                            pa.array([_pack([np.diff(keys[i:j], prepend=_U(0))]) for _, i, j in spans], pa.binary()),
                             pa.array([_pack([x[i:j] for x in columns]) for _, i, j in spans], pa.binary()),
                         ],
                         names,
@@ -169,17 +169,17 @@ def _answered(sent: DataFrame) -> DataFrame:
         held: tuple[list, list] = ([], [])
         for batch in batches:
             for row in batch.to_pylist():
-                held[row["kind"]].append((row["chunk"], row["part"], row["keys"], row["counts"]))
+                held[row["kind"]].append((row["chunk"], row["part"], np.cumsum(_unpack(row["keys"], 1)[0], dtype=np.uint64), row["counts"]))
         for kind, rows in enumerate(held):
             if not rows:
                 continue
-            keys, at = np.unique(np.concatenate([np.frombuffer(k, "<u8") for _, _, k, _ in rows]), return_inverse=True)
+            keys, at = np.unique(np.concatenate([k for _, _, k, _ in rows]), return_inverse=True)
             columns = list(zip(*(_unpack(c, _COLUMNS[kind]) for _, _, _, c in rows), strict=True))
             sums = [np.bincount(at, weights=np.concatenate(x), minlength=len(keys)).astype(np.int64) for x in columns]
             if kind == 0:
                 totals = [int((sums[0] > 0).sum()), int(sums[0].sum()), int(sums[1].sum())]
                 yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([0], pa.int32()), pa.array([None], pa.int64()), pa.array([None], pa.binary()), *(pa.array([t], pa.int64()) for t in totals)], names)
-            edge = np.cumsum([0, *(len(k) // 8 for _, _, k, _ in rows)])
+            edge = np.cumsum([0, *(len(k) for _, _, k, _ in rows)])
             for first in range(0, len(rows), SHARES_AT_ONCE):
                 own = range(first, min(first + SHARES_AT_ONCE, len(rows)))
                 none = pa.nulls(len(own), pa.int64())
