@@ -1,18 +1,52 @@
-"""The folder that all executors share, and tables written there to end lineage."""
+"""The folder that all executors share, tables written there to end lineage, and broadcasts of a checked size."""
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Used only where the session names no shared folder (tests on one machine).
-LOCAL_FALLBACK = "/tmp/checkpoints/corvane"
+#: Bytes of rows that may be broadcast.
+BROADCAST_BYTES = 16 << 20
+#: Temporary folders of local sessions that name no folder, by application.
+_local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, as ``spark.checkpoint.dir`` names it."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FALLBACK).rstrip("/")
+    """The folder that the cluster shares, as ``spark.checkpoint.dir`` names it; on one machine a temporary one if it is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        own = spark.sparkContext.applicationId
+        if own not in _local:
+            _local[own] = tempfile.mkdtemp(prefix="corvane-")
+        named = _local[own]
+    return named.rstrip("/")
+
+
+def _bytes(field: T.StructField) -> Column:
+    """About what a value takes in memory."""
+    c, kind = F.col(f"`{field.name}`"), field.dataType
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.NumericType, T.DateType, T.TimestampType, T.BooleanType)):
+        return 8 * F.greatest(F.size(c), F.lit(0)) + 32
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 32
+    return F.lit(8)
+
+
+def small(df: DataFrame, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast when the rows of ``df``, which should be a written table or cheap, take at most ``most_bytes``.
+
+    A larger table is returned as it is: the join then shuffles, and adaptive execution splits its skewed partitions.
+    """
+    size = sum((_bytes(f) for f in df.schema.fields), F.lit(32)).cast("long")
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= most_bytes else df
 
 
 def cut(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
