@@ -1,12 +1,13 @@
 """Packing of token pieces into sequences: first-fit decreasing on a tournament tree.
 
 Each document becomes its token ids plus an end id, cut into pieces of at most
-``capacity`` ids (whole sequences first, then the remainder). The remainders
-are dealt at random into groups of about ``group_rows``; each group is packed
-on its own by first-fit decreasing, where a tournament tree over the bins'
-free room gives the leftmost bin that fits in logarithmic time. Groups are
-bounded whatever the input's size, so no task holds more than one group's
-lengths; token ids themselves are never shuffled.
+``capacity`` ids (whole sequences first, then the remainder). A document is one
+row until it is packed: its size and its pieces' checksums. Documents are dealt
+at random into groups of about ``group_rows``; the remainders of each group are
+packed on their own by first-fit decreasing, where a tournament tree over the
+bins' free room gives the leftmost bin that fits in logarithmic time. A group has
+one remainder for each of its documents, however long they are; token ids
+themselves aren't shuffled.
 
 Defined results: a null or empty text is one piece that holds the end id only;
 repeated rows are packed separately; an empty table gives no rows.
@@ -14,6 +15,7 @@ repeated rows are packed separately; an empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
@@ -23,32 +25,46 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import bound_batches
+from corvane.llm.common import bound_batches, cut
 
 CAPACITY = 4096
 END_ID = 2
-#: Remainders in a randomised group, on average.
+#: Documents in a randomised group, on average.
 GROUP_ROWS = 2048
-#: Distinct words whose ids a worker keeps; beyond it the table is begun anew.
-CACHE_WORDS = 150_000
+#: Words of other alphabets whose ids a worker keeps; beyond it the table is begun anew.
+CACHE_WORDS = 50_000
 # Fixed value: how a token that ends a word is marked in the vocabulary.
 WORD_END = "</w>"
-#: Longer words are encoded each time.
-CACHE_LENGTH = 64
+#: Longer words are merged by the vocabulary's own library, whose time grows less with their length.
+LONGEST = 200
 #: Texts handled together in a worker.
 SLICE = 128
 
+# The vocabulary's pre-tokenizer for lower-case Latin-1 text, where its classes are these characters.
+_LETTER, _NUMBER, _SPACE = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", " \t\n\x0b\x0c\r"
+_PIECES = re.compile(f"[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+").findall
+#: Characters that aren't Latin-1, or are control characters or rare spaces.
+_OTHER = re.compile(r"[^\t-\r -~\xa1-\xff]").search
+#: How special tokens begin.
+_SPECIAL = "<|"
+
 _cached: dict[str, tuple] = {}
 
 
+def _is_other(word: str) -> bool:
+    return _OTHER(word) is not None or _SPECIAL in word
+
+
 class WordIds:
     """Ids of whole texts by a tokenizer whose tokens never reach over a space or line end.
 
-    The library encodes each distinct word once; a text's ids are then its words' ids joined. Both
-    characters are white space that the vocabulary's pre-tokenizer drops, so this equals encoding the whole text.
+    Both characters are white space that the vocabulary's pre-tokenizer drops, so a text may be cut there. What is
+    Latin-1, where lower case and composed forms are plain, is cut into words by one pattern and merged by rank with
+    another library's core; words with other characters are left to the vocabulary's own library.
     """
 
     def __init__(self, path: str):
@@ -56,58 +72,58 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {"": b""}
-        self.rare = LatinWords(json.loads(self.tokenizer.to_str())["model"])
+        self.latin = LatinWords(json.loads(self.tokenizer.to_str())["model"])
+        self.words: dict[str, bytes] = {}
 
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, with the end id."""
-        split = [_lowered(t).replace("\n", " ").split(" ") for t in texts]
         tail = np.uint32(end_id).astype("<u4").tobytes()
-        wanted = set().union(*split)
-        new = wanted - self.words.keys()
-        if len(self.words) + len(new) > CACHE_WORDS:
-            self.words = {w: self.words[w] for w in wanted if w in self.words} | {"": b""}
-        known = self.words
-        self._learn(new)
-        out = [b"".join(map(known.__getitem__, words)) + tail for words in split]
-        for w in new:
-            if len(w) > CACHE_LENGTH:
-                del known[w]
-        return out
+        parts = [[(False, t)] if not _is_other(t) else [(k, " ".join(g)) for k, g in itertools.groupby(t.replace("\n", " ").split(" "), _is_other)] for t in texts]
+        self._learn({w for p in parts for other, run in p if other for w in run.split(" ") if len(w) <= LONGEST} - self.words.keys())
+        return [b"".join([*(b"".join(map(self._other, run.split(" "))) if other else self._latin(run) for other, run in p), tail]) for p in parts]
+
+    def _other(self, word: str) -> bytes:
+        return self.words[word] if len(word) <= LONGEST else self._library(word)
+
+    def _latin(self, text: str) -> bytes:
+        words = _PIECES(text.lower())
+        if not words:
+            return b""
+        if max(map(len, words)) <= LONGEST:
+            return self.latin.encode(words)
+        runs = itertools.groupby(words, lambda w: len(w) > LONGEST)
+        return b"".join(x for long, run in runs for x in (map(self._library, run) if long else [self.latin.encode(list(run))]))
+
+    def _library(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, new: set[str]) -> None:
-        """Adds the ids of words. Letters and the marks that follow them are tokenized apart, so such a word's ids are those of both."""
-        known = self.words
-        plain, marked, rest = [], [], []
-        for w in new:
-            if w.isalpha():
-                plain.append(w)
-            elif (m := _MARKED(w)) and m[1].isalpha() and _is_latin(w):
-                marked.append((w, *m.groups()))
-            else:
-                rest.append(w)
-        for part in (1, 2):
-            (plain if part == 1 else rest).extend({m[part] for m in marked} - known.keys())
-        latin = [w for w in plain if w.islower() and (w.isascii() or _is_latin(w))]
-        self.rare.encode(latin, known)
-        if len(latin) < len(plain):
-            rest += [w for w in plain if w not in known]
-        for i in range(0, len(rest), 4096):
-            part = rest[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        known.update((w, known[a] + known[b]) for w, a, b in marked)
-
-
-_MARKED = re.compile(r"([^\W\d_]+)([^\w\s]+)").fullmatch
+        """Adds the ids of words; what was known before may be forgotten."""
+        if len(self.words) > CACHE_WORDS:
+            self.words = _Forgotten(self._library)
+        for part in itertools.batched(new, 4096):
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(list(part), add_special_tokens=False), strict=True):
+                self.words[w] = np.array(e.ids, "<u4").tobytes()
+
+
+class _Forgotten(dict):
+    """Words that are encoded again when they are asked for."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        self[word] = self.encode(word)
+        return self[word]
 
 
 class LatinWords:
-    """Ids of words of Latin-1 lower-case letters by the rank-based merging of another library, several times faster on rare words.
+    """Ids of words by the rank-based merging of another library, several times faster.
 
-    Merging the adjacent pair whose joint token was learned first is the same as applying the merges in their order. The
-    letters' UTF-8 bytes, 92 in number, are coded as ASCII; a line end follows each word and is merged with the word's
-    last byte before all else, which gives the symbol of a byte that ends a word.
+    Merging the adjacent pair whose joint token was learned first is the same as applying the merges in their order. A
+    line end follows each word and is merged with the word's last byte before all else, which gives the symbol of a byte
+    that ends a word.
     """
 
     def __init__(self, model: dict):
@@ -115,56 +131,27 @@ class LatinWords:
 
         if model["type"] != "BPE" or model["end_of_word_suffix"] != WORD_END or model["ignore_merges"]:
             raise ValueError("only merge vocabularies with word ends")
-        used = [*range(97, 123), 0xC2, 0xC3, *range(0x80, 0xC0)]
-        codes = dict(zip(used, [b for b in range(128) if b != 10], strict=False))
-        self.table = bytes(codes.get(b, 10) for b in range(256))
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the vocabulary
-        chars = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+        byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
 
-        def coded(token: str) -> bytes | None:
+        def raw(token: str) -> bytes:
             end = token.endswith(WORD_END)
-            raw = [chars[c] for c in (token[: -len(WORD_END)] if end else token)]
-            return bytes(map(codes.__getitem__, raw)) + b"\n" * end if all(b in codes for b in raw) else None
+            return bytes(byte[c] for c in (token[: -len(WORD_END)] if end else token)) + b"\n" * end
 
-        ranks = {bytes([i]): i for i in range(256)}
-        ranks |= {bytes([c, 10]): 256 + i for i, c in enumerate(codes.values())}
+        ranks = {bytes([i]): i for i in range(256)} | {bytes([i, 10]): 256 + i for i in range(256)}
         first = len(ranks)
         self.ids = np.zeros(first + len(model["merges"]), "<u4")
         for token, i in model["vocab"].items():
-            if len(token.removesuffix(WORD_END)) == 1 and (code := coded(token)) is not None:
-                self.ids[ranks[code]] = i
+            if len(token.removesuffix(WORD_END)) == 1:
+                self.ids[ranks[raw(token)]] = i
         for r, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
-            if not left.endswith(WORD_END) and (code := coded(left + right)) is not None:
-                ranks[code] = first + r
-                self.ids[first + r] = model["vocab"][left + right]
-        self.ends = np.zeros(len(self.ids), bool)
-        self.ends[[r for code, r in ranks.items() if code.endswith(b"\n")]] = True
+            ranks[raw(left + right)] = first + r
+            self.ids[first + r] = model["vocab"][left + right]
         self.encoding = tiktoken.Encoding("words", pat_str=r"[^\n]*\n", mergeable_ranks=ranks, special_tokens={})
 
-    def encode(self, words: list[str], into: dict[str, bytes]) -> None:
-        """Adds the ids of each word."""
-        for i in range(0, len(words), 4096):
-            part = words[i : i + 4096]
-            coded = ("\n".join(part) + "\n").encode().translate(self.table).decode("ascii")
-            ranks = self.encoding.encode_to_numpy(coded)
-            data = self.ids[ranks].tobytes()
-            ends = (4 * (np.flatnonzero(self.ends[ranks]) + 1)).tolist()
-            into.update((w, data[a:b]) for w, a, b in zip(part, [0, *ends[:-1]], ends, strict=True))
-
-
-def _is_latin(text: str) -> bool:
-    """Whether all characters are below U+0100, where lower case and composed forms are plain."""
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
-
-
-def _lowered(text: str) -> str:
-    """Lower case where the tokenizer's own lower case is surely the same; fewer distinct words then."""
-    return text.lower() if _is_latin(text) and "<|" not in text else text
+    def encode(self, words: list[str]) -> bytes:
+        return self.ids[self.encoding.encode_to_numpy("\n".join(words) + "\n")].tobytes()
 
 
 def _encoder(path: str) -> WordIds:
@@ -174,42 +161,37 @@ def _encoder(path: str) -> WordIds:
     return _cached[path]
 
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, deal long"
-_ARROW_PIECES = pa.schema([(c.split()[0], pa.int64()) for c in PIECES.split(", ")])
+DEALT = "doc_id long, doc_tokens long, key long, crcs array<long>"
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """One row for each piece of each document; ``with_ids`` adds the ids as ``array<int>``.
+def dealt(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+    """``DEALT`` of each document: the checksums of its pieces, and a key of its own; ``with_ids`` adds the ids as ``array<int>``.
 
-    ``deal`` is a random number that the row's place gives, the same when a lost task runs again.
+    The key is the row's place in its partition, the same when a lost task runs again.
     """
     bound_batches(docs.sparkSession)
+    names = [c.split()[0] for c in DEALT.split(", ")] + ["ids"] * with_ids
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, place = _encoder(tokenizer_path), 0
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, key = _encoder(tokenizer_path), TaskContext.get().partitionId() << 40
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                out: list[list] = [[] for _ in _ARROW_PIECES]
-                ids = []
-                for doc, data in zip(part.column(0).to_pylist(), encoder.encode([t or "" for t in part.column(1).to_pylist()], end_id), strict=True):
-                    total = len(data) // 4
-                    for start in range(0, total, capacity):
-                        piece = data[4 * start : 4 * (start + capacity)]
-                        place += 1
-                        crc = zlib.crc32(piece)
-                        for column, value in zip(out, (doc, start, len(piece) // 4, crc, total, zlib.crc32(f"{place} {doc} {crc}".encode())), strict=True):
-                            column.append(value)
-                        if with_ids:
-                            ids.append(np.frombuffer(piece, "<u4").astype("<i4"))
-                arrays = [pa.array(c, pa.int64()) for c in out]
+                found = encoder.encode([t or "" for t in part.column(1).to_pylist()], end_id)
+                columns = [
+                    part.column(0),
+                    pa.array([len(d) // 4 for d in found], pa.int64()),
+                    pa.array(range(key, key + len(found)), pa.int64()),
+                    pa.array([[zlib.crc32(d[i : i + 4 * capacity]) for i in range(0, len(d), 4 * capacity)] for d in found], pa.list_(pa.int64())),
+                ]
                 if with_ids:
-                    yield pa.RecordBatch.from_arrays([*arrays, pa.array(ids, pa.list_(pa.int32()))], [*_ARROW_PIECES.names, "ids"])
-                else:
-                    yield pa.RecordBatch.from_arrays(arrays, schema=_ARROW_PIECES)
+                    columns.append(pa.array([np.frombuffer(d, "<u4").astype("<i4") for d in found], pa.list_(pa.int32())))
+                key += len(found)
+                yield pa.RecordBatch.from_arrays(columns, names)
             pa.default_memory_pool().release_unused()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES + (", ids array<int>" if with_ids else ""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(each, DEALT + (", ids array<int>" if with_ids else ""))
 
 
 def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -239,48 +221,59 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def assign(cut: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
-    """``sequence_id`` and ``offset`` for rows of ``pieces``; ``groups`` random groups are packed on their own."""
-
-    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "deal", "doc_id", "start"], ascending=[False, True, True, True], kind="stable")
-        bins, offsets = first_fit_decreasing(rows["length"].to_numpy(), capacity)
-        out = rows.drop(columns=["deal", "__group"])
-        out["sequence_id"], out["offset"] = (int(key[0]) << 32) + bins, offsets
-        return out
-
-    dealt = cut.withColumn("__group", F.pmod(F.col("deal"), F.lit(groups)))
-    return dealt.groupBy("__group").applyInPandas(pack, PACKED)
+def assign(rows: DataFrame, groups: int, capacity: int = CAPACITY, with_key: bool = False) -> DataFrame:
+    """``PACKED`` of the pieces of ``dealt`` rows; ``groups`` random groups are packed on their own. ``with_key`` keeps the document's key."""
+
+    def pack(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("key", kind="stable").reset_index(drop=True)
+        tokens = own["doc_tokens"].to_numpy()
+        whole, rest = tokens // capacity, tokens % capacity
+        packed = np.flatnonzero(rest)
+        bins, offsets = first_fit_decreasing(rest[packed], capacity)
+        used = int(bins.max()) + 1 if len(bins) else 0
+        # each whole piece is a sequence, numbered after those of the remainders
+        n = whole + (rest > 0)
+        doc = np.repeat(np.arange(len(own)), n)
+        place = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+        is_whole = place < whole[doc]
+        sequence, offset = np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64)
+        sequence[is_whole] = used + np.arange(int(is_whole.sum()))
+        sequence[~is_whole], offset[~is_whole] = bins, offsets
+        out = {
+            "doc_id": own["doc_id"].take(doc).array,
+            "start": place * capacity,
+            "length": np.where(is_whole, capacity, rest[doc]),
+            "ids_crc32": np.concatenate(own["crcs"].to_list()),
+            "doc_tokens": tokens[doc],
+            "sequence_id": (int(key[0]) << 32) + sequence,
+            "offset": offset,
+        }
+        return pd.DataFrame(out | {"key": own["key"].to_numpy()[doc]} if with_key else out)
+
+    group = F.pmod(F.xxhash64("key"), F.lit(groups)).alias("__group")
+    return rows.select("doc_id", "doc_tokens", "key", "crcs", group).groupBy("__group").applyInPandas(pack, PACKED + (", key long" if with_key else ""))
+
+
+def _groups(docs: DataFrame, group_rows: int) -> int:
+    """As many as the number of documents asks for (read from file footers where it can be)."""
+    return max(1, -(-docs.count() // group_rows))
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Pieces of all ``docs`` with the sequence and offset where each lies.
-
-    The number of groups follows the number of documents (read from file footers where it can be).
-    """
-    groups = max(1, -(-docs.count() // group_rows))
-    return assign(pieces(docs, tokenizer_path, capacity, end_id), groups, capacity)
+    """Pieces of all ``docs`` with the sequence and offset where each lies."""
+    return assign(dealt(docs, tokenizer_path, capacity, end_id), _groups(docs, group_rows), capacity)
 
 
 def sequences(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, pad_id: int = 0, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """The packed sequences themselves: ``sequence_id, ids array<int>, n_ids``.
+    """The packed sequences themselves: ``sequence_id, ids array<int>, n_ids``, numbered as ``pack`` does.
 
     A sequence is padded to ``capacity`` unless its length is a power of two. Only here do ids move: each to its sequence.
     """
-    groups = max(1, -(-docs.count() // group_rows))
-    rows = pieces(docs, tokenizer_path, capacity, end_id, with_ids=True)
-
-    def fill(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["length", "deal", "doc_id", "start"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
-        bins, offsets = first_fit_decreasing(part["length"].to_numpy(), capacity)
-        out = []
-        for b in range(int(bins.max()) + 1):
-            own = np.flatnonzero(bins == b)
-            ids = np.concatenate([part["ids"][i] for i in own[np.argsort(offsets[own])]])
-            n = len(ids)
-            if n & (n - 1):
-                ids = np.pad(ids, (0, capacity - n), constant_values=pad_id)
-            out.append(((int(key[0]) << 32) + b, ids, n))
-        return pd.DataFrame(out, columns=["sequence_id", "ids", "n_ids"])
-
-    return rows.withColumn("__group", F.pmod(F.col("deal"), F.lit(groups))).groupBy("__group").applyInPandas(fill, "sequence_id long, ids array<int>, n_ids long")
+    rows = cut(dealt(docs, tokenizer_path, capacity, end_id, with_ids=True), "ids")
+    placed = assign(rows, _groups(docs, group_rows), capacity, with_key=True).select("key", "start", "length", "sequence_id", "offset")
+    of = rows.select(F.col("key").alias("__key"), "ids")
+    pieces = placed.join(of, F.col("key") == F.col("__key")).select("sequence_id", "offset", F.slice("ids", (F.col("start") + 1).cast("int"), F.col("length").cast("int")).alias("ids"))
+    joined = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("offset", "ids"))), lambda x: x["ids"]))  # at most ``capacity`` ids
+    n = F.size("ids")
+    padded = F.when(n.bitwiseAND(n - 1) == 0, F.col("ids")).otherwise(F.concat("ids", F.array_repeat(F.lit(pad_id), capacity - n)))
+    return pieces.groupBy("sequence_id").agg(joined.alias("ids")).select("sequence_id", padded.alias("ids"), n.alias("n_ids"))
