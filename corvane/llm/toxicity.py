@@ -1,27 +1,40 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two bigram models, one of toxic and one of ordinary text, share a vocabulary
-and their backoff: pairs back off to words, words by the number of contexts
-they continue, rare words to the counts of stems that they share with other
-words, and what is rare in both classes to the pooled distribution, where it
-tells nothing. Each level adds ``BACKOFF_COUNTS`` counts of the next. A text's evidence is the
-difference of both log-likelihoods, normalised by length: over the whole text,
-and over its most toxic window, so that one insult in a long text is still
-seen. A logistic function, fitted on labelled texts that the counts never saw,
-turns the evidence into a score.
-
-The models are fitted on a bounded sample of labelled rows (``TOXIC_ROWS`` and
-``ORDINARY_ROWS``, chosen by a hash of the id); every document is scored.
+Two interpolated bigram models, one of toxic and one of ordinary text, share a
+vocabulary and their backoff counts. All counts are continuation counts: a word
+counts once for each word that it follows, a pair once for each word that stands
+before it, so a passage that near copies repeat counts little. With ``n`` for
+counts, ``D`` for ``DISCOUNT``, ``c`` for a class, and no index for both classes
+together:
+
+* ``u(w)``, words of both classes, absolutely discounted towards equal shares;
+* ``p_c(w) = (max(n_c(w) - D, 0) + sum_v min(n_c(v), D) * u(w)) / n_c``;
+* ``s(w|h)``, pairs of both classes, discounted towards ``u(w)``;
+* ``p_c(w|h) = (max(n_c(h,w) - D, 0) + sum_v min(n_c(h,v), D) * b_c(w|h)) / n_c(h)``,
+  where ``b_c(w|h)`` is ``s(w|h) * p_c(w) / u(w)`` divided by its sum over ``w``.
+
+So each ``p_c(.|h)`` sums to one, an expression that is rare in a class takes its
+probability from the counts that both classes share, and what is rare in both
+tells nothing. A text's evidence is the difference of both log-likelihoods,
+normalised by length: over the whole text, and the largest over its windows of
+``WINDOWS`` words, so that one insult in a long text is still seen. A logistic
+function, fitted on labelled texts that the counts never saw, turns it into a score.
+
+The models are fitted on a bounded sample of labelled rows: ``TOXIC_ROWS`` and
+``ORDINARY_ROWS`` rows and ``SAMPLE_BYTES`` of text of each class, in the order of a
+hash of the id. Every document is scored.
 
 Defined results: a null or empty text has no evidence and gets the score of
 that; without training rows of both classes every score is 0; rows of ``labels``
-with a null mark are ignored; repeated rows are scored each.
+with a null mark are ignored; equal labelled texts count once; repeated rows are
+scored each.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,92 +44,166 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import bound_batches
 
-#: Bounds of the labelled sample; some 15 MB of text at 3 kB a document.
-TOXIC_ROWS, ORDINARY_ROWS = 1500, 3000
-#: Words and word pairs in fewer contexts than this are left to the shared backoff.
-MIN_CONTEXTS = 8
-DISCOUNT = 0.75
-#: Counts that the shared distribution adds to each word's and pair's own, so that few observations tell little.
-BACKOFF_COUNTS = 5.0
-#: Lengths of the stems that rare words are backed off to, and what marks them in the vocabulary.
-STEMS, STEM_MARK = (4, 5, 6, 7), "\0"
-#: Evidence that one token may bring.
-MOST = 6.0
-WINDOW = 4
-FEATURES = 5
+#: Bounds of the labelled sample: rows of each class, and bytes of text of each.
+TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_BYTES = 1500, 3000, 16 << 20
+#: Contexts that an expression of a class must exceed to bring counts of its own.
+DISCOUNT = 3.0
+#: Discount of the words of both classes.
+SHARED_DISCOUNT = 0.75
+WINDOWS = (1, 2, 4)
 THRESHOLD = 0.3
 #: Texts handled together in a worker.
 SLICE = 64
 
 _WORD = re.compile(r"\w+")
+#: Word numbers: what stands before a text's first word, and all words that the models don't know.
+START, UNKNOWN, FIRST = 0, 1, 2
 
 
-class _Ids(dict):
-    """Ids of words; a word that isn't kept has that of its longest kept stem, else 0."""
+def words(text: str | None) -> list[str]:
+    return _WORD.findall((text or "").lower())
 
-    def __missing__(self, key: str) -> int:
-        for length in STEMS[::-1]:
-            if len(key) > length and (i := self.get(key[:length] + STEM_MARK)) is not None:
-                return i
-        return 0
+
+@dataclass
+class Pairs:
+    """Discounted pairs ``h * size + w`` in order, with ``max(n - D, 0) / n(h)``; and by ``h`` the mass that is left to the backoff."""
+
+    keys: np.ndarray
+    mass: np.ndarray
+    left: np.ndarray
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.mass[at], 0.0)
+
+
+def _pairs(keys: np.ndarray, n: np.ndarray, size: int) -> Pairs:
+    """From pairs and their counts; a context that was never seen leaves all to the backoff."""
+    h = keys // size
+    total = np.bincount(h, weights=n, minlength=size)
+    left = np.divide(np.bincount(h, weights=np.minimum(n, DISCOUNT), minlength=size), total, out=np.ones(size), where=total > 0)
+    kept = n > DISCOUNT
+    return Pairs(keys[kept], (n[kept] - DISCOUNT) / total[h[kept]], left)
+
+
+def _words(n: np.ndarray, discount: float, backoff: np.ndarray) -> np.ndarray:
+    return (np.maximum(n - discount, 0) + np.minimum(n, discount).sum() * backoff) / max(n.sum(), 1e-300) if n.sum() else backoff
+
+
+@dataclass
+class KneserNey:
+    """Both models, in class order ordinary, toxic."""
+
+    numbers: dict[str, int]
+    shared_words: np.ndarray
+    shared: Pairs
+    #: By class: ``p_c(w) / u(w)``, the pairs, and by context the sum that ``b_c`` is divided by.
+    ratio: list[np.ndarray]
+    own: list[Pairs]
+    sums: list[np.ndarray]
+
+    def log_prob(self, c: int, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """``log p_c(w|h)`` by word numbers; the unknown words have one number together."""
+        keys = h * len(self.shared_words) + w
+        backoff = (self.shared.of(keys) + self.shared.left[h] * self.shared_words[w]) * self.ratio[c][w] / self.sums[c][h]
+        return np.log(self.own[c].of(keys) + self.own[c].left[h] * backoff)
+
+
+def count(texts: Iterable[tuple[list[str], int]]) -> KneserNey:
+    """Count the models over texts, given as their words and class."""
+    numbers: dict[str, int] = {}
+    parts: list[list[np.ndarray]] = [[], []]
+    for w, c in texts:
+        parts[c].append(np.fromiter((START, START, *(numbers.setdefault(x, len(numbers) + FIRST) for x in w)), np.int64, len(w) + 2))
+    size = len(numbers) + FIRST
+    # a pair with the word before it, as one number; words before pairs are told apart as far as 63 bits reach (all of them up to 2 million words)
+    room = min(size, (1 << 63) // size**2)
+    seen = [np.unique(np.concatenate([(p[1:-1] * size + p[2:]) * room + p[:-2] % room for p in own] or [np.zeros(0, np.int64)])) for own in parts]
+    parts.clear()
+    both = np.unique(np.concatenate(seen))
+    pairs = [np.unique(x // room, return_counts=True) for x in (both, *seen)]
+    follows = [np.bincount(keys % size, minlength=size).astype(float) for keys, _ in pairs]
+    equal = np.full(size, 1.0 / (size - 1))
+    equal[START] = 0
+    u = _words(follows[0], SHARED_DISCOUNT, equal)
+    shared = _pairs(*pairs[0], size)
+    ratio = [np.divide(_words(n, DISCOUNT, u), u, out=np.ones(size), where=u > 0) for n in follows[1:]]
+    own = [_pairs(*p, size) for p in pairs[1:]]
+    sums = [np.bincount(shared.keys // size, weights=shared.mass * r[shared.keys % size], minlength=size) + shared.left for r in ratio]
+    return KneserNey(numbers, u, shared, ratio, own, sums)
+
+
+class _Numbers(dict):
+    def __missing__(self, word: str) -> int:
+        return UNKNOWN
+
+
+class Evidence:
+    """What scoring needs of both models: ``log p_toxic(w|h) - log p_ordinary(w|h)``.
+
+    Where no class has counts of a pair of its own the shared backoff cancels out, and the difference is a sum of a part
+    by the word and a part by the context. Words of which both parts are those of unknown words are dropped.
+    """
+
+    def __init__(self, models: KneserNey):
+        size = len(models.shared_words)
+        word = np.log(models.ratio[1]) - np.log(models.ratio[0])
+        left = [np.log(models.own[c].left) - np.log(models.sums[c]) for c in (0, 1)]
+        context = left[1] - left[0]
+        keys = np.union1d(models.own[0].keys, models.own[1].keys)
+        h, w = keys // size, keys % size
+        value = models.log_prob(1, h, w) - models.log_prob(0, h, w)
+        keep = (np.abs(word - word[UNKNOWN]) > 1e-12) | (np.abs(context - context[UNKNOWN]) > 1e-12)
+        keep[[START, UNKNOWN, *h, *w]] = True
+        number = np.cumsum(keep) - 1
+        self.numbers = _Numbers((x, int(number[i])) for x, i in models.numbers.items() if keep[i])
+        self.word, self.context = word[keep], context[keep]
+        self.keys, self.value = number[h] * len(self.word) + number[w], value
+
+    def of(self, numbers: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The difference at each word; ``first`` marks the words that begin a text."""
+        h = np.concatenate([[START], numbers[:-1]])
+        h[first] = START
+        out = self.word[numbers] + self.context[h]
+        if len(self.keys):
+            keys = h * len(self.word) + numbers
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            out = np.where(self.keys[at] == keys, self.value[at], out)
+        return out
 
 
 @dataclass
 class Model:
-    ids: _Ids
-    #: Log p(toxic) - log p(ordinary) of each word by its contexts, by word id.
-    unigram: np.ndarray
-    #: Kept pairs ``context * len(unigram) + word``, sorted, with their difference of log probabilities.
-    pairs: np.ndarray
-    pair_difference: np.ndarray
+    evidence: Evidence
     #: Weights of the features, their bias last.
     weights: np.ndarray
 
-    def differences(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Of each token, log p(toxic) - log p(ordinary); ``first`` marks tokens without a left neighbour."""
-        context = np.concatenate([[0], ids[:-1]])
-        context[first] = 0
-        keys = context * len(self.unigram) + ids
-        out = self.unigram[ids]
-        if len(self.pairs):
-            at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
-            out = np.where(self.pairs[at] == keys, self.pair_difference[at], out)
-        return out
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        x = features(self.evidence, texts)
+        return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
-    def features(self, texts: list[str | None]) -> np.ndarray:
-        """Of each text: mean difference, that of the most toxic window, the largest and the second largest one, and how much lies above 1."""
-        words = [_WORD.findall((t or "").lower()) for t in texts]
-        sizes = np.array([len(w) for w in words], np.int64)
-        out = np.zeros((len(texts), FEATURES))
-        if not sizes.sum():
-            return out
-        ids = np.fromiter((i for w in words for i in map(self.ids.__getitem__, w)), np.int64, int(sizes.sum()))
-        ends = np.cumsum(sizes)
-        starts = ends - sizes
-        first = np.zeros(len(ids), bool)
-        first[starts[sizes > 0]] = True
-        each = self.differences(ids, first)
-        total = np.concatenate([[0.0], np.cumsum(each)])
-        high = np.concatenate([[0.0], np.cumsum(np.maximum(each - 1, 0))])
-        full = sizes > 0
-        s, e = starts[full], ends[full]
-        # windows that end at each token and don't begin before the text
-        begin = np.maximum(np.arange(len(each)) + 1 - WINDOW, np.repeat(s, sizes[full]))
-        window = (total[1:] - total[begin]) / WINDOW
-        out[full, 0] = (total[e] - total[s]) / sizes[full]
-        out[full, 1] = np.maximum.reduceat(window, s)
-        most = np.maximum.reduceat(each, s)
-        own = np.repeat(np.arange(len(s)), sizes[full])
-        where = np.flatnonzero(each == most[own])
-        rest = each.copy()
-        rest[where[np.unique(own[where], return_index=True)[1]]] = -MOST
-        out[full, 2], out[full, 3] = most, np.maximum.reduceat(rest, s)
-        out[full, 4] = np.log1p(high[e] - high[s])
-        return out
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        f = self.features(texts)
-        return 1 / (1 + np.exp(-np.clip(f @ self.weights[:-1] + self.weights[-1], -30, 30)))
+def features(evidence: Evidence, texts: list[str | None]) -> np.ndarray:
+    """Of each text: the difference of log-likelihoods by length, of the whole and of the most toxic window of each size."""
+    own = [words(t) for t in texts]
+    sizes = np.array([len(w) for w in own], np.int64)
+    out = np.zeros((len(texts), 1 + len(WINDOWS)))
+    if not sizes.sum():
+        return out
+    numbers = np.fromiter((i for w in own for i in map(evidence.numbers.__getitem__, w)), np.int64, int(sizes.sum()))
+    full = sizes > 0
+    ends = np.cumsum(sizes)[full]
+    starts = ends - sizes[full]
+    each = evidence.of(numbers, starts)
+    total = np.concatenate([[0.0], np.cumsum(each)])
+    out[full, 0] = (total[ends] - total[starts]) / sizes[full]
+    begin = np.repeat(starts, sizes[full])
+    for k, window in enumerate(WINDOWS):  # windows that end at each word; one that would begin before the text is shorter
+        from_ = np.maximum(np.arange(len(each)) + 1 - window, begin)
+        out[full, 1 + k] = np.maximum.reduceat((total[1:] - total[from_]) / window, starts)
+    return out
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -139,89 +226,55 @@ def fit(texts: list[str], toxic: list[int], rate: float) -> Model | None:
     Two thirds give the counts, one third the logistic function.
     """
     rows = sorted({(t, int(y)) for t, y in zip(texts, toxic, strict=True) if t})
-    fold = [zlib.crc32(t.encode()) % 3 for t, _ in rows]
-    if len({y for (_, y), k in zip(rows, fold, strict=True) if k}) < 2 or len({y for (_, y), k in zip(rows, fold, strict=True) if not k}) < 2:
+    counted, held = [], []
+    for t, y in rows:
+        (counted if zlib.crc32(t.encode("utf-8", "surrogatepass")) % 3 else held).append((t, y))
+    if len({y for _, y in counted}) < 2 or len({y for _, y in held}) < 2:
         return None
-    numbers: dict[str, int] = {}
-    parts: list[list[np.ndarray]] = [[], []]
-    for (t, y), k in zip(rows, fold, strict=True):
-        if k:
-            w = _WORD.findall(t.lower())
-            ids = np.fromiter((numbers.setdefault(x, len(numbers) + 1) for x in w), np.int64, len(w))
-            parts[y].append(np.concatenate([[0], ids]))
-    counts = []
-    size = len(numbers) + 1
-    for own in parts:  # a text's start is context 0, and stays no word
-        keys = np.concatenate([p[:-1] * size + p[1:] for p in own])
-        counts.append(np.unique(keys, return_counts=True))
-    # Backoff levels, from short stems to whole words: the unit of each word at that level (0: none) and each unit's own backoff.
-    words = ["", *numbers]
-    units = [""]
-    ids = _Ids()
-    over = [np.zeros(1), np.zeros(1)]
-    best = np.zeros(size, np.int64)
-    for length in (*STEMS, None):
-        names: dict[str, int] = {}
-        unit = np.fromiter((names.setdefault(w[:length], len(names) + 1) if w and (length is None or len(w) > length) else 0 for w in words), np.int64, size)
-        n = len(names) + 1
-        types = [np.bincount(np.unique(keys // size * n + unit[keys % size]) % n, minlength=n).astype(float) for keys, _ in counts]
-        for t in types:
-            t[0] = 0
-        both = types[0] + types[1]
-        parent = np.zeros(n, np.int64)
-        parent[unit] = best
-        keep = np.flatnonzero(both >= MIN_CONTEXTS)
-        for own, t in zip((0, 1), types, strict=True):
-            expected = both * t.sum() / max(both.sum(), 1)
-            ratio = np.log((np.maximum(t - DISCOUNT, 0) + BACKOFF_COUNTS * np.exp(over[own][parent])) / (expected + BACKOFF_COUNTS))
-            over[own] = np.concatenate([over[own], ratio[keep]])
-        number = np.zeros(n, np.int64)
-        number[keep] = np.arange(len(units), len(units) + len(keep))
-        spelled = list(names)
-        fresh = [spelled[i - 1] + ("" if length is None else STEM_MARK) for i in keep]
-        ids.update(zip(fresh, range(len(units), len(units) + len(keep)), strict=True))
-        units += fresh
-        best = np.where(number[unit] > 0, number[unit], best)
-    v = len(units)
-    paired = [np.unique(best[keys // size] * v + best[keys % size], return_inverse=True) for keys, _ in counts]
-    own_counts = [np.bincount(inverse, weights=c) for (_, inverse), (_, c) in zip(paired, counts, strict=True)]
-    distinct, inverse = np.unique(np.concatenate([k for k, _ in paired]), return_inverse=True)
-    sums = np.bincount(inverse, weights=np.concatenate(own_counts))
-    context_sums = np.bincount(distinct // v, weights=sums, minlength=v)
-    kept = (sums >= MIN_CONTEXTS) & (distinct // v > 0) & (distinct % v > 0)
-    pairs, pair_sums = distinct[kept], sums[kept]
-    high = []
-    for (keys, _), c, ratio in zip(paired, own_counts, over, strict=True):
-        at = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
-        seen = np.maximum(np.where(keys[at] == pairs, c[at], 0) - DISCOUNT, 0)
-        expected = pair_sums * np.bincount(keys // v, weights=c, minlength=v)[pairs // v] / context_sums[pairs // v]
-        high.append(np.log((seen + BACKOFF_COUNTS * np.exp(ratio[pairs % v])) / (expected + BACKOFF_COUNTS)))
-    model = Model(ids, np.clip(over[1] - over[0], -MOST, MOST), pairs, np.clip(high[1] - high[0], -MOST, MOST), np.zeros(FEATURES + 1))
-    held = [r for r, k in zip(rows, fold, strict=True) if not k]
-    x = np.concatenate([model.features([t for t, _ in held[i : i + SLICE]]) for i in range(0, len(held), SLICE)])
+    evidence = Evidence(count((words(t), y) for t, y in counted))
+    x = np.concatenate([features(evidence, [t for t, _ in held[i : i + SLICE]]) for i in range(0, len(held), SLICE)])
     y = np.array([float(t) for _, t in held])
     share = y.mean()
-    model.weights = _logistic(x, y, np.where(y > 0, rate / share, (1 - rate) / (1 - share)))
-    return model
+    return Model(evidence, _logistic(x, y, np.where(y > 0, rate / share, (1 - rate) / (1 - share))))
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS) -> Model | None:
-    """Fit on at most so many labelled rows of each class, none of them held out."""
+def sample(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS, most_bytes: int = SAMPLE_BYTES) -> tuple[list[str], list[int], float] | None:
+    """Texts and marks of the labelled sample, none of them held out, and the share of toxic rows among all labelled ones.
+
+    Which rows it holds is decided by hashes of ids and texts, so each run gets the same. Only rows' keys and sizes, of
+    a bounded number, and then at most ``2 * most_bytes`` of texts reach the driver.
+    """
     rows = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").alias("__toxic"))
     number = {r["__toxic"]: r["n"] for r in rows.groupBy("__toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(number) < 2:
         return None
-    sample = None
+    marked = None
     for mark, bound in ((1, toxic_rows), (0, ordinary_rows)):
-        part = rows.filter(F.col("__toxic") == mark).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-        sample = part if sample is None else sample.unionByName(part)
+        part = rows.filter(F.col("__toxic") == mark).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+        marked = part if marked is None else marked.unionByName(part)
+    own = docs.select("doc_id", "text").filter("text <> ''")
     # at most toxic_rows + ordinary_rows ids, whatever the input's size
-    found = docs.select("doc_id", "text").join(F.broadcast(sample.distinct()), "doc_id").select("text", "__toxic").limit(4 * (toxic_rows + ordinary_rows)).collect()
-    return fit([r[0] for r in found], [r[1] for r in found], number[1] / (number[0] + number[1]))
+    sized = own.join(F.broadcast(marked), "doc_id").select("doc_id", "__toxic", F.xxhash64("text").alias("__of"), F.octet_length("text").alias("__size")).distinct()
+    taken: set[tuple[int, int]] = set()
+    for mark, bound in ((1, toxic_rows), (0, ordinary_rows)):
+        left = most_bytes
+        for r in sized.filter(F.col("__toxic") == mark).orderBy(F.xxhash64("doc_id"), "doc_id", "__of").limit(bound).collect():
+            if (left := left - r["__size"]) < 0:
+                break
+            taken.add((r["doc_id"], r["__of"], mark))
+    keys = docs.sparkSession.createDataFrame(sorted(taken), "__id long, __of long, __toxic long")
+    found = own.join(F.broadcast(keys), (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__of"))).select("text", "__toxic").distinct().collect()
+    return [r[0] for r in found], [r[1] for r in found], number[1] / (number[0] + number[1])
+
+
+def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS, most_bytes: int = SAMPLE_BYTES) -> Model | None:
+    """Fit on at most so many labelled rows and bytes of each class, none of them held out."""
+    found = sample(docs, labels, toxic_rows, ordinary_rows, most_bytes)
+    return None if found is None else fit(*found)
 
 
 def score(text: Column, model: Model | None) -> Column:
