@@ -3,7 +3,6 @@
 # Sizes in characters, and retrieval settings.
 CHILD_SIZE, CHILD_OVERLAP = 500, 100
 MIN_PARENT, MAX_PARENT = 2000, 10000
-HEADERS = (("#", "H1"), ("##", "H2"), ("###", "H3"))
 SCORE_THRESHOLD = 0.7
 FUSION_K = 2
 TOP_K = 7
@@ -19,6 +18,8 @@ SLOW_AVERAGE, SLOWEST_AVERAGE, SLOW_P95 = 1.0, 5.0, 2.0
 # Messages.
 NO_CHUNKS = "NO_RELEVANT_CHUNKS"
 NO_PARENTS = "NO_PARENT_DOCUMENTS"
+RETRIEVAL_ERROR = "RETRIEVAL_ERROR: "
+PARENT_ERROR = "PARENT_RETRIEVAL_ERROR: "
 NO_ANSWER = "Unable to generate an answer."
 NO_ANSWERS = "No answers were generated."
 NEED_DETAIL = "I need more information to understand your question."

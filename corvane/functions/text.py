@@ -35,13 +35,63 @@ def extension_of(path: Column) -> Column:
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 
 
-def html_to_text(html: Column) -> Column:
-    """Visible text: no scripts, styles, comments or tags; references decoded; white space collapsed."""
-    text = F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", " ")
-    text = F.regexp_replace(text, r"<[^>]*>", " ")
+def valid_utf8(text: Column) -> Column:
+    """The text without bytes that aren't UTF-8; Python stages can't read them."""
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit("")))
+
+
+def numbered(text: Column) -> Column:
+    """Decodes numeric character references, decimal and hexadecimal; those that name no character stay."""
+    parts = F.split(text, "&#", -1)
+
+    def decoded(part: Column) -> Column:
+        code = F.regexp_extract(part, r"^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", 1)
+        value = F.when(F.lower(code).startswith("x"), F.conv(F.substring(code, 2, 6), 16, 10)).otherwise(code).try_cast("int")
+        valid = ((value > 0) & (value < 0xD800)) | ((value > 0xDFFF) & (value <= 0x10FFFF))
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, value).otherwise(32)), 8, "0")), "UTF-32")
+        return F.when(valid, F.concat(char, F.substring(part, F.length(code) + 2, F.length(part)))).otherwise(F.concat(F.lit("&#"), part))
+
+    return F.when(F.contains(text, F.lit("&#")), F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(decoded(p))), "")).otherwise(text)
+
+
+# What of a page is never shown, and its tags.
+HIDDEN = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
+TAG = r"<[^>]*>"
+
+
+def _decoded(text: Column) -> Column:
+    """Character references replaced; numeric ones first, so that what a named one spells isn't read again."""
+    text = numbered(text)
     for name, char in ENTITIES:
         text = F.replace(text, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return text
+
+
+def html_to_text(html: Column) -> Column:
+    """Visible text: no scripts, styles, comments or tags; references decoded; white space collapsed."""
+    text = F.regexp_replace(F.regexp_replace(html, HIDDEN, " "), TAG, " ")
+    return F.trim(F.regexp_replace(_decoded(text), r"\s+", " "))
+
+
+def html_to_markdown(html: Column) -> Column:
+    """All visible text as markdown: the first ``h1`` is the title, each paragraph has a heading of its own, numbered from 1.
+
+    What stands before the first paragraph is one line before the title and one after it. Lines that would read as a
+    heading or fence are escaped. A null page has no text.
+    """
+    text = F.regexp_replace(F.translate(F.coalesce(html, F.lit("")), "\x01\x02\x03", "   "), HIDDEN, " ")
+    for pattern, mark in ((r"(?i)<p(?:\s[^>]*)?>", "\x01"), (r"(?i)<h1(?:\s[^>]*)?>", "\x02"), (r"(?i)</h1\s*>", "\x03"), (TAG, " ")):
+        text = F.regexp_replace(text, pattern, mark)
+    line = lambda c: F.regexp_replace(F.trim(F.regexp_replace(F.translate(_decoded(c), "\x02\x03", "  "), r"\s+", " ")), "^(#|```|~~~)", r"\\$1")
+    parts = F.split(text, "\x01", -1)
+    head = F.get(parts, F.lit(0))
+    title = F.regexp_extract(head, r"(?s)\x02([^\x03]*)\x03", 1)
+    has_title = F.regexp_like(head, F.lit(r"(?s)\x02[^\x03]*\x03"))
+    before = line(F.when(has_title, F.regexp_extract(head, r"(?s)^([^\x02]*)\x02", 1)).otherwise(head))
+    after = F.when(has_title, line(F.regexp_extract(head, r"(?s)\x02[^\x03]*\x03(.*)$", 1))).otherwise("")
+    heading = F.when(has_title, F.concat(F.lit("\n\n# "), F.trim(F.regexp_replace(_decoded(title), r"\s+", " ")), F.lit("\n"))).otherwise("")
+    rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p, i: F.concat(F.lit("\n\n## Part "), (i + 1).cast("string"), F.lit("\n"), line(p)))
+    return F.concat(before, heading, after, F.array_join(rest, ""))
 
 
 def suffix_number(parent_id: Column) -> Column:

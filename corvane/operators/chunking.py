@@ -18,13 +18,15 @@ last pieces as the overlap allows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane import config
+from corvane.functions.text import valid_utf8
+from corvane.storage import bound_batches
 
 Chunk = tuple[str, dict[str, str]]
 SEPARATORS = ("\n\n", "\n", " ", "")
@@ -169,19 +171,24 @@ def parents(text: str | None) -> list[Chunk]:
 _META = pa.map_(pa.string(), pa.string())
 
 
-def _per_document(docs: DataFrame, key: str, text: str, make) -> DataFrame:
-    """One row for each chunk that ``make`` finds in a text: key, place, content, metadata."""
+def _per_document(docs: DataFrame, key: str, text: str, make: Callable[[str | None], list[Chunk]], stem: Column | None = None) -> DataFrame:
+    """One row for each chunk that ``make`` finds in a text: key, place, content, metadata; ``stem`` is carried along."""
+    bound_batches(docs.sparkSession)
+    names = ["key", "idx", "content", "metadata"] + ["stem"] * (stem is not None)
+    types = [pa.int64(), pa.int32(), pa.string(), _META, pa.string()]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                rows = [(k, i, c, list(m.items())) for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for i, (c, m) in enumerate(make(t))]
-                cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], _META)], ["key", "idx", "content", "metadata"])
+                rows = [(k, i, c, list(m.items()), *more) for k, t, *more in zip(*(c.to_pylist() for c in part.columns), strict=True) for i, (c, m) in enumerate(make(t))]
+                cols = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types[: len(names)], strict=True)], names)
 
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(each, "key long, idx int, content string, metadata map<string,string>").withColumnRenamed("key", key)
+    own = [F.col(key).cast("long").alias("key"), valid_utf8(F.col(text).cast("string")).alias("text")]
+    rows = docs.select(*own, *([] if stem is None else [stem.alias("stem")]))
+    schema = "key long, idx int, content string, metadata map<string,string>" + (", stem string" if stem is not None else "")
+    return rows.mapInArrow(each, schema).withColumnRenamed("key", key)
 
 
 def sections(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -206,11 +213,10 @@ def parent_id(stem: Column, index: Column) -> Column:
 
 def parent_chunks(docs: DataFrame, key: str, text: str, stem: Column) -> DataFrame:
     """``key, parent_id, idx, content, metadata``; the metadata also name the source and the parent."""
-    rows = _per_document(docs, key, text, parents)
-    names = docs.select(F.col(key).alias("__key"), stem.alias("__stem"))
-    found = rows.join(names, F.col(key) == F.col("__key"))
-    own = F.create_map(F.lit("source"), F.concat("__stem", F.lit(".pdf")), F.lit("parent_id"), parent_id(F.col("__stem"), F.col("idx")))
-    return found.select(key, parent_id(F.col("__stem"), F.col("idx")).alias("parent_id"), "idx", "content", F.map_concat("metadata", own).alias("metadata"))
+    rows = _per_document(docs, key, text, parents, stem)
+    own_id = parent_id(F.col("stem"), F.col("idx"))
+    own = F.create_map(F.lit("source"), F.concat("stem", F.lit(".pdf")), F.lit("parent_id"), own_id)
+    return rows.select(key, own_id.alias("parent_id"), "idx", "content", F.map_concat("metadata", own).alias("metadata"))
 
 
 def child_chunks(parent_rows: DataFrame, size: int = config.CHILD_SIZE, overlap: int = config.CHILD_OVERLAP) -> DataFrame:
@@ -218,8 +224,9 @@ def child_chunks(parent_rows: DataFrame, size: int = config.CHILD_SIZE, overlap:
 
     @F.arrow_udf("array<string>")
     def cut(texts: pa.Array) -> pa.Array:
-        return pa.array([split_text(t.as_py() or "", size, overlap) if t.as_py() else [] for t in texts], pa.list_(pa.string()))
+        return pa.array([split_text(t, size, overlap) if t else [] for t in texts.to_pylist()], pa.list_(pa.string()))
 
+    bound_batches(parent_rows.sparkSession)
     return parent_rows.select("parent_id", "metadata", F.posexplode(cut("content")).alias("child_idx", "content")).select("parent_id", "child_idx", "content", "metadata")
 
 

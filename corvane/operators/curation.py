@@ -11,7 +11,7 @@ from corvane.operators.graph import components
 from corvane.storage import cut
 
 #: Rows of a block of vectors, on average.
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 4096
 
 
 def content_hash(text: Column) -> Column:
@@ -52,34 +52,39 @@ def as_of(versions: DataFrame, key: str, order: str, at: Column) -> DataFrame:
 def semantic_links(vectors: DataFrame, key: str, vector: str, at_least: float) -> DataFrame:
     """``key, n_links, class_id``: with how many other rows each row has a cosine (to six places) of ``at_least``, and the smallest key of its class.
 
-    Rows are dealt into blocks; each pair of blocks is one matrix product that returns, for each row, one count and the
-    smallest key that it is linked to within the pair, directly or by others. So neither pairs nor a large group's links
-    are ever rows of a table, and no link is lost to the classes.
+    Rows are dealt into blocks; each unordered pair of blocks is one matrix product that returns, for each row of both, one
+    count and the smallest key that it is linked to within the pair, directly or by others. So neither pairs nor a large
+    group's links are ever rows of a table, and no link is lost to the classes. Every row meets every other: the work grows
+    with the square of the table, since at any threshold that random vectors reach no hashing finds all links.
     """
     rows = vectors.filter(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("__id"), F.col(vector).cast("array<double>").alias("__v"))
     blocks = max(1, -(-rows.count() // BLOCK_ROWS))
     dealt = rows.withColumn("__a", F.pmod(F.xxhash64("__id"), F.lit(blocks)).cast("int"))
-    left = dealt.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = left.select("__id", "__v", F.col("__b").alias("__a"), F.col("__a").alias("__b"))
+    left = dealt.withColumn("__b", F.explode(F.sequence(F.col("__a"), F.lit(blocks - 1))))
+    right = dealt.select("__id", "__v", F.col("__a").alias("__b"), F.explode(F.sequence(F.lit(0), F.col("__a"))).alias("__a"))
 
     def unit(part: pd.DataFrame) -> np.ndarray:
         x = np.stack(part["__v"].to_list())
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
-    def linked(one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+    def linked(key: tuple, one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
         if one.empty or other.empty:
             return pd.DataFrame({"id": [], "n": [], "root": []})
         ids, others = one["__id"].to_numpy(), other["__id"].to_numpy()
-        y = unit(other).T
+        y, most = unit(other).T, np.iinfo(np.int64).max
         near = np.concatenate([np.round(part @ y, 6) >= at_least for part in np.array_split(unit(one), max(1, len(one) // 1024))])
-        same = ids[:, None] == others[None]
-        root = np.minimum(ids, np.where(near, others, np.iinfo(np.int64).max).min(1))
+        same = near & (ids[:, None] == others[None])
+        row, column = ids.copy(), np.where(near, ids[:, None], most).min(0)
         while True:  # labels go over to the columns and back until none falls
-            column = np.where(near, root[:, None], np.iinfo(np.int64).max).min(0)
-            new = np.minimum(root, np.where(near, column, np.iinfo(np.int64).max).min(1))
-            if np.array_equal(new, root):
-                return pd.DataFrame({"id": ids, "n": near.sum(1) - (near & same).sum(1), "root": root})
-            root = new
+            new = np.minimum(row, np.where(near, np.minimum(column, others)[None], most).min(1))
+            column = np.minimum(column, np.where(near, new[:, None], most).min(0))
+            if np.array_equal(new, row):
+                break
+            row = new
+        out = [pd.DataFrame({"id": ids, "n": near.sum(1) - same.sum(1), "root": row})]
+        if key[0] != key[1]:
+            out.append(pd.DataFrame({"id": others, "n": near.sum(0) - same.sum(0), "root": np.minimum(column, others)}))
+        return pd.concat(out)
 
     found = cut(left.groupBy("__a", "__b").cogroup(right.groupBy("__a", "__b")).applyInPandas(linked, "id long, n long, root long"), "linked")
     classes = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))

@@ -1,16 +1,26 @@
 """Multi-question dialogue as fan-out and fan-in over rows ``conv_id, turn, role, text``.
 
 Language models are pluggable column functions with deterministic stand-ins
-(``stub_summary``, ``stub_questions``): nothing here calls a model.
+(``stub_summary``, ``stub_questions``): nothing here calls a model. ``answer_all`` is
+the whole graph: summary, rewriting, the gate for unclear queries, fan-out,
+search, parents, an answer for each question, fan-in.
+
+A conversation's answers or messages become one text by definition, so that much
+of one conversation meets in one row; everything else is aggregated.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane import config
 from corvane.functions import text as T
+from corvane.operators import retrieval
+from corvane.storage import cut, small
 
 #: Messages from which a history is summarised, and how many of them.
 HISTORY_FROM, HISTORY_LAST = 4, 6
@@ -87,3 +97,53 @@ def fan_in(answers: DataFrame, key: str) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("index", "answer")))
     text = F.array_join(F.transform(ordered, lambda a, i: F.concat(F.lit("\nAnswer "), (i + 1).cast("string"), F.lit(":\n"), a["answer"], F.lit("\n"))), "")
     return answers.groupBy(key).agg(F.coalesce(F.nullif(text, F.lit("")), F.lit(config.NO_ANSWERS)).alias("text"))
+
+
+@dataclass
+class Analysis:
+    """What a language model would decide about a query, as columns made from ``query`` and ``context``."""
+
+    questions: Callable[[Column, Column], Column] = lambda query, context: stub_questions(query)
+    is_clear: Callable[[Column, Column], Column] = lambda query, context: F.lit(True)
+    needed: Callable[[Column, Column], Column] = lambda query, context: F.lit(None).cast("string")
+
+
+def analyse(asked: DataFrame, analysis: Analysis) -> DataFrame:
+    """``key, query, questions, is_clear, clarification`` of rows ``key, query, history`` (a null history: nothing to summarise)."""
+    rows = asked.withColumn("context", rewrite_context(stub_summary(F.col("history")), F.col("query")))
+    query, context = F.col("query"), F.col("context")
+    rows = rows.withColumn("questions", F.coalesce(analysis.questions(query, context), F.array().cast("array<string>")))
+    return rows.select("key", "query", "questions", is_clear(F.col("questions"), analysis.is_clear(query, context)).alias("is_clear"), clarification(analysis.needed(query, context)).alias("clarification"))
+
+
+def first_words(question: Column, content: Column) -> Column:
+    """Offline stand-in for a language model: the best parent's beginning."""
+    return T.cut_to(content, 100)
+
+
+def answer_all(asked: DataFrame, units: DataFrame, parents: DataFrame, k: int = 3, analysis: Analysis | None = None, answer: Callable[[Column, Column], Column] = first_words, threshold_stage: str = "none") -> DataFrame:
+    """The graph over many conversations at once: ``key, status, n_questions, n_parents, text``.
+
+    ``asked`` has ``key, query, history``; ``units`` ``id, parent_id, text``; ``parents`` ``parent_id, content``. A query that
+    isn't clear gets the status ``needs_input`` and the clarification as its text. The others are split into questions; each
+    searches the ``k`` best units, then reads their parents, and is answered from the best one. Analysis and hits are written.
+    """
+    analysed = cut(analyse(asked, analysis or Analysis()), "analysed")
+    parts = fan_out(analysed.filter("is_clear"), "key").withColumn("qid", F.xxhash64("key", "question_index"))
+    found = cut(retrieval.hybrid(units.select("id", "text"), parts.select("qid", F.col("question").alias("text")), k, threshold_stage=threshold_stage), "hits")
+    named = units.select("id", "parent_id").join(small(found), "id").groupBy("qid", "parent_id").agg(F.min("rank").alias("rank"))
+    best = cut(named.groupBy("qid").agg(F.min_by("parent_id", "rank").alias("parent_id"), F.count(F.lit(1)).alias("n")), "parents")
+    read = parents.join(small(best), "parent_id").select("qid", "n", F.col("content").alias("__content"))
+    each = parts.join(read, "qid", "left").select(
+        "key", F.col("question_index").alias("index"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(answer(F.col("question"), F.col("__content")), F.lit(config.NO_ANSWER)).alias("answer")
+    )
+    each = cut(each, "answers")
+    texts = fan_in(each, "key").join(each.groupBy("key").agg(F.sum("n").alias("n_parents")), "key")
+    out = analysed.join(texts, "key", "left")
+    return out.select(
+        "key",
+        F.when(F.col("is_clear"), "answered").otherwise("needs_input").alias("status"),
+        F.size("questions").alias("n_questions"),
+        F.coalesce("n_parents", F.lit(0)).alias("n_parents"),
+        F.when(F.col("is_clear"), F.coalesce("text", F.lit(config.NO_ANSWERS))).otherwise(F.col("clarification")).alias("text"),
+    )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 
+# The metrics and the titles that their texts show.
 METRICS = ("groundedness", "relevance", "retrieval_accuracy")
 TITLES = {"groundedness": "Groundedness", "relevance": "Relevance", "retrieval_accuracy": "Retrieval Accuracy"}
 DOCUMENT_CHARS = 2000
@@ -65,6 +66,12 @@ def overall_of(results: DataFrame) -> Column:
     return F.when(n > 0, passed / n).otherwise(0.0)
 
 
+def csv_rows(results: DataFrame) -> DataFrame:
+    """The eleven columns of the evaluation report, from ``timestamp, question, answer, documents``, the metrics and ``overall_score``."""
+    each = [c for m in METRICS for c in (F.coalesce(F.col(m), F.lit(False)).alias(f"{m}_score"), status(F.col(m)).alias(f"{m}_status"))]
+    return results.select("timestamp", "question", "answer", "documents", *each, "overall_score")
+
+
 def safe_join(documents: Column) -> Column:
     """Documents cut to 2000 characters, joined by blank lines; nulls are skipped."""
     return F.array_join(F.transform(F.filter(documents, lambda d: d.isNotNull()), lambda d: T.cut_to(d, DOCUMENT_CHARS)), "\n\n")
@@ -74,6 +81,9 @@ def percent(score: Column) -> Column:
     return F.format_string("%.2f%%", score * 100)
 
 
+# The texts of the panel and of the report are fixed values.
+
+
 def status_text(results: DataFrame) -> list[Column]:
     """Texts of the panel, one for each metric and one overall."""
     each = [F.when(F.coalesce(F.col(m), F.lit(False)), f"✅ {TITLES[m]}: PASS").otherwise(f"{TITLES[m]}: FAIL").alias(f"{m}_text") for m in METRICS]

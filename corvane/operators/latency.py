@@ -4,6 +4,8 @@ Percentiles are lower nearest ranks: of ``n`` sorted values the one at index
 ``floor(p * (n - 1))``; the median is the mean of the middle two. They are found
 exactly in two aggregations: quantile sketches bracket each rank, then only
 values inside a bracket are counted and ranked, so no task sorts a whole group.
+The sketches, one row for each group, are written and sent to the rows (behind a
+check of their size), which are never shuffled themselves.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane import config
+from corvane.storage import cut, small
 
 #: Accuracy of the sketches; a rank is off by less than one in so many.
 ACCURACY = 20_000
@@ -32,39 +35,34 @@ STATS = "operation, count, total_time, min_time, max_time, avg_time, median_time
 def nearest_ranks(df: DataFrame, key: str, value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """For each ``key``, its count as ``__n`` and, by name, the value at each rank (0-based, from the count)."""
     rows = df.select(F.col(key).alias("__key"), F.col(value).alias("__value"))
-    sizes = rows.groupBy("__key").agg(F.count("__value").alias("__n"), F.min("__value").alias("__min"), F.max("__value").alias("__max"))
     fractions = {"median_lo": 0.5, "median_hi": 0.5, "p95": 0.95, "p99": 0.99}
     wanted = {name: fractions[name] for name in ranks}
     ends = sorted({min(1.0, max(0.0, p + d)) for p in wanted.values() for d in (-REACH, REACH)})
     sketch = rows.groupBy("__key").agg(F.percentile_approx("__value", [float(e) for e in ends], ACCURACY).alias("__ends"), F.count("__value").alias("__n"))
-    brackets = sketch.select(
-        "__key",
-        "__n",
-        F.explode(
-            F.array(
-                *(
-                    F.struct(
-                        F.lit(name).alias("name"),
-                        # small groups are bracketed whole: a sketch of few values has nothing to say
-                        F.when(F.col("__n") * REACH >= 1, F.col("__ends")[ends.index(max(0.0, p - REACH))]).alias("lo"),
-                        F.when(F.col("__n") * REACH >= 1, F.col("__ends")[ends.index(min(1.0, p + REACH))]).alias("hi"),
-                        ranks[name](F.col("__n")).cast("long").alias("rank"),
-                    )
-                    for name, p in wanted.items()
-                )
+    found = cut(sketch, "sketches")
+    brackets = F.array(
+        *(
+            F.struct(
+                F.lit(name).alias("name"),
+                # small groups are bracketed whole: a sketch of few values has nothing to say
+                F.when(F.col("__n") * REACH >= 1, F.col("__ends")[ends.index(max(0.0, p - REACH))]).alias("lo"),
+                F.when(F.col("__n") * REACH >= 1, F.col("__ends")[ends.index(min(1.0, p + REACH))]).alias("hi"),
+                ranks[name](F.col("__n")).cast("long").alias("rank"),
             )
-        ).alias("__b"),
-    ).select(F.col("__key").alias("__k"), "__b.*")
-    # one row for each key and rank
-    met = rows.join(brackets, F.col("__key").eqNullSafe(F.col("__k"))).select("__key", "name", "lo", "hi", "rank", "__value")
+            for name, p in wanted.items()
+        )
+    )
+    sent = small(found.select(F.col("__key").alias("__k"), brackets.alias("__brackets")))  # one row for each key
+    met = rows.join(sent, F.col("__key").eqNullSafe(F.col("__k"))).select("__key", "__value", F.explode("__brackets").alias("__b")).select("__key", "__value", "__b.*")
     below = F.col("lo").isNotNull() & (F.col("__value") < F.col("lo"))
     inside = (F.col("lo").isNull() | (F.col("__value") >= F.col("lo"))) & (F.col("hi").isNull() | (F.col("__value") <= F.col("hi")))
     # all rows below the bracket become one, all equal values within it become one
     counted = met.filter(below | inside).groupBy("__key", "name", "rank", F.when(inside, F.col("__value")).alias("__value")).agg(F.count(F.lit(1)).alias("__c"))
     upto = Window.partitionBy("__key", "name").orderBy(F.col("__value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     hit = counted.withColumn("__upto", F.sum("__c").over(upto)).filter(F.col("__upto") > F.col("rank"))
-    found = hit.groupBy(F.col("__key").alias("__k")).pivot("name", list(ranks)).agg(F.min("__value"))
-    return sizes.join(found, F.col("__key").eqNullSafe(F.col("__k")), "left").select(F.col("__key").alias(key), "__n", *ranks)
+    ranked = hit.groupBy(F.col("__key").alias("__k")).pivot("name", list(ranks)).agg(F.min("__value"))
+    sizes = found.select("__key", "__n")
+    return sizes.join(ranked, F.col("__key").eqNullSafe(F.col("__k")), "left").select(F.col("__key").alias(key), "__n", *ranks)
 
 
 RANKS: dict[str, Callable[[Column], Column]] = {
@@ -109,6 +107,8 @@ ADVICE = (
     ("llm_generation", 2.0, "LLM generation is slow. Consider using a faster model, optimizing prompt length, or implementing streaming responses."),
     ("document_chunking", 1.0, "Document chunking is slow. Consider optimizing chunk size, parallelizing processing, or using more efficient chunking algorithms."),
 )
+# Heads of the panel's texts.
+BOTTLENECKS_HEAD, ADVICE_HEAD = "⚠️ **Bottlenecks**:", "💡 **Recommendations**:"
 VARIANCE_COUNT, VARIANCE_RATIO = 10, 3.0
 
 
@@ -122,7 +122,7 @@ def recommendations(found: DataFrame) -> DataFrame:
     """``position, operation, advice``: fixed rules first, then operations of high variance by name."""
     spark = found.sparkSession
     rules = spark.createDataFrame([(i, *a) for i, a in enumerate(ADVICE)], "place int, operation string, limit double, advice string")
-    slow = found.join(F.broadcast(rules), "operation").filter("avg_time > limit").select("place", "operation", "advice")
+    slow = found.join(small(rules), "operation").filter("avg_time > limit").select("place", "operation", "advice")
     varying = high_variance(found).select(
         F.lit(len(ADVICE)).alias("place"), "operation", F.concat(F.lit("High variance in "), "operation", F.lit(" response times. Investigate inconsistent performance patterns.")).alias("advice")
     )
@@ -130,6 +130,17 @@ def recommendations(found: DataFrame) -> DataFrame:
     return slow.unionByName(varying).withColumn("position", F.row_number().over(Window.orderBy("place", "operation"))).select("position", "operation", "advice")
 
 
+def top_texts(found: DataFrame) -> DataFrame:
+    """``bottlenecks, recommendations``: the panel's texts with the first three of each, the slowest first."""
+    slow = bottlenecks(found).withColumn("time", F.coalesce("avg_time", "p95_time")).orderBy(F.desc("time"), "operation").limit(3)
+    line = F.concat(F.lit("\n- "), "operation", F.lit(": "), F.format_string("%.3f", "time"), F.lit("s ("), "severity", F.lit(")"))
+    listed = lambda order, text: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), text.alias("t")))), lambda x: x["t"]), "")  # noqa: E731  three rows
+    first = slow.agg(listed(F.struct(-F.col("time"), F.col("operation")), line).alias("b"))
+    advice = recommendations(found).filter("position <= 3").agg(listed(F.col("position"), F.concat(F.lit("\n"), F.col("position").cast("string"), F.lit(". "), F.col("advice"))).alias("r"))
+    shown = lambda head, text, none: F.concat(F.lit(head), F.when(text == "", F.lit(none)).otherwise(text))
+    return first.join(advice).select(shown(BOTTLENECKS_HEAD, F.col("b"), " None detected").alias("bottlenecks"), shown(ADVICE_HEAD, F.col("r"), " None available").alias("recommendations"))
+
+
 def recent(metrics: DataFrame, n: int = 10) -> DataFrame:
     """The last ``n`` rows by time, ties by id."""
     return metrics.orderBy(F.desc("timestamp"), F.desc("metric_id")).limit(n)

@@ -1,4 +1,4 @@
-"""Chunking queries. Markdown is made from pages: the first heading, then each plain paragraph under a heading of its own."""
+"""Chunking queries. Markdown is made from all visible text of pages: the title, and each paragraph under a heading of its own."""
 
 from __future__ import annotations
 
@@ -11,19 +11,41 @@ from corvane.plans.registry import query, table
 
 
 def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").filter("html IS NOT NULL")
-    title = F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)
-    parts = F.transform(F.regexp_extract_all("html", F.lit("<p>([^<]*)</p>"), 1), lambda p, i: F.concat(F.lit("\n\n## Part "), (i + 1).cast("string"), F.lit("\n"), p))
-    return pages.select("page_id", F.concat(F.lit("# "), title, F.array_join(parts, "")).alias("md"))
-
-
-MD = """p AS (
-  SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS title, regexp_extract_all(html, '<p>([^<]*)</p>', 1) AS parts FROM pages
+    return table(spark, sf_dir, "pages").select("page_id", T.html_to_markdown(F.col("html")).alias("md"))
+
+
+def decoded(text: str) -> str:
+    """SQL that replaces the named character references in a SQL expression."""
+    for name, char in T.ENTITIES:
+        text = f"replace({text}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
+    return text
+
+
+def line(text: str) -> str:
+    """SQL for one line of text that reads as no heading or fence."""
+    return rf"regexp_replace(trim(regexp_replace({decoded(f'translate({text}, chr(2) || chr(3), {chr(39)}  {chr(39)})')}, '\s+', ' ', 'g')), '^(#|```|~~~)', '\\\1')"
+
+
+#: Sections ``sec(page_id, idx, h1, h2, content)``; a title with nothing between it and the first paragraph is joined with that.
+MD = rf"""t AS (
+  SELECT page_id, string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(coalesce(html, ''), chr(1) || chr(2) || chr(3), '   '),
+    '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'g'), '(?i)<p(?:\s[^>]*)?>', chr(1), 'g'), '(?i)<h1(?:\s[^>]*)?>', chr(2), 'g'), '(?i)</h1\s*>', chr(3), 'g'), '<[^>]*>', ' ', 'g'), chr(1)) AS ps FROM pages
+), h AS (
+  SELECT page_id, ps, regexp_matches(ps[1], '\x02[^\x03]*\x03') AS titled, regexp_extract(ps[1], '\x02([^\x03]*)\x03', 1) AS raw FROM t
+), d AS (
+  SELECT page_id, ps, titled, trim(regexp_replace({decoded("raw")}, '\s+', ' ', 'g')) AS title,
+    {line(r"CASE WHEN titled THEN regexp_extract(ps[1], '(?s)^([^\x02]*)\x02', 1) ELSE ps[1] END")} AS pre,
+    CASE WHEN titled THEN {line(r"regexp_extract(ps[1], '(?s)\x02[^\x03]*\x03(.*)$', 1)")} ELSE '' END AS post FROM h
+), parts AS (
+  SELECT page_id, i - 1 AS part, {line("ps[i]")} AS body FROM d, unnest(range(2, len(ps) + 1)) x(i)
+), raw_sec AS (
+  SELECT page_id, -2::BIGINT AS part, NULL::VARCHAR AS h1, NULL::VARCHAR AS h2, pre AS content FROM d WHERE pre <> ''
+  UNION ALL SELECT page_id, -1, title, NULL, rtrim('# ' || title) || CASE WHEN post <> '' THEN chr(10) || post ELSE '' END FROM d WHERE titled AND (post <> '' OR len(ps) = 1)
+  UNION ALL SELECT p.page_id, part, CASE WHEN titled THEN title END, 'Part ' || part,
+    CASE WHEN part = 1 AND titled AND post = '' THEN rtrim('# ' || title) || '  ' || chr(10) ELSE '' END || '## Part ' || part || CASE WHEN body <> '' THEN chr(10) || body ELSE '' END
+    FROM parts p JOIN d ON p.page_id = d.page_id
 ), sec AS (
-  SELECT page_id, i - 1 AS idx, rtrim('# ' || title) AS head, CASE WHEN i > 0 THEN trim(title) END AS h1, CASE WHEN i > 0 THEN 'Part ' || i END AS h2,
-    CASE WHEN i = 1 THEN rtrim('# ' || title) || '  ' || chr(10) ELSE '' END || '## Part ' || i || CASE WHEN trim(parts[i]) = '' THEN '' ELSE chr(10) || trim(parts[i]) END AS content
-  FROM p, unnest(range(1, len(parts) + 1)) t(i)
-  UNION ALL SELECT page_id, 0, NULL, trim(title), NULL, rtrim('# ' || title) FROM p WHERE len(parts) = 0
+  SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY part) - 1 AS idx, h1, h2, content FROM raw_sec
 )"""
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.operators import curation as C
 from corvane.plans.registry import query, table
+from corvane.storage import small
 
 
 @query("SELECT sha256(text) AS sha, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
@@ -74,7 +75,7 @@ def doc_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def version_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.expr("source || '_' || n_chars").alias("doc_key"), "doc_id", F.md5("text").alias("text_md5"))
     at = docs.agg(F.avg("doc_id").alias("__at"))  # one row
-    joined = docs.join(F.broadcast(at))
+    joined = docs.join(small(at))
     return C.as_of(joined, "doc_key", "doc_id", F.col("__at")).select("doc_key", "doc_id", "text_md5")
 
 

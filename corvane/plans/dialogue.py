@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.functions import text as T
 from corvane.operators import dialogue as D
 from corvane.plans import retrieval as R
 from corvane.plans.registry import query, table
@@ -113,15 +112,29 @@ def retrieve_then_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wanted.groupBy("qid").agg(F.count(F.lit(1)).alias("n_parents"), F.array_join(names, ",").alias("parents"))
 
 
-@query()
+GRAPH = rf"""{QUERIES}, qa AS (
+  SELECT conv_id AS key, query, list_filter(list_transform(string_split_regex(query, '[.?!]'), lambda s: {STRIP.format("s")}), lambda s: len(string_split_regex(s, '\s+')) >= 3)[1:3] AS questions,
+    length(query) >= 80 AS flag, substr(query, 1, 25) AS needed FROM l
+), a AS (
+  SELECT *, len(questions) >= 1 AND flag AS is_clear, CASE WHEN length({STRIP.format("needed")}) > 10 THEN needed ELSE 'I need more information to understand your question.' END AS clarification FROM qa
+), parts AS (SELECT key, i - 1 AS i, questions[i] AS text, key * 3 + i - 1 AS qid FROM a, unnest(range(1, len(questions) + 1)) t(i) WHERE is_clear)"""
+
+
+@query(
+    f"""WITH {GRAPH}, {R.U_WINDOWS}, {R.hybrid_sql(3, "parts")}, h AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM fused),
+p AS (SELECT h.qid, u.doc_id, min(r) AS r FROM h JOIN u ON h.id = u.id WHERE r <= 3 GROUP BY h.qid, u.doc_id),
+b AS (SELECT qid, min_by(doc_id, r) AS doc_id, count(*) AS n FROM p GROUP BY qid),
+e AS (SELECT key, i, coalesce(n, 0) AS n, coalesce(CASE WHEN length(d.text) > 100 THEN substr(d.text, 1, 100) || '...' ELSE d.text END, 'Unable to generate an answer.') AS answer
+  FROM parts LEFT JOIN b ON b.qid = parts.qid LEFT JOIN documents d ON d.doc_id = b.doc_id),
+f AS (SELECT key, sum(n)::BIGINT AS n, string_agg(chr(10) || 'Answer ' || (i + 1) || ':' || chr(10) || answer || chr(10), '' ORDER BY i) AS text FROM e GROUP BY key)
+SELECT a.key AS key, CASE WHEN is_clear THEN 'answered' ELSE 'needs_input' END AS status, len(questions)::INT AS n_questions, coalesce(f.n, 0) AS n_parents,
+  CASE WHEN is_clear THEN coalesce(f.text, 'No answers were generated.') ELSE clarification END AS text FROM a LEFT JOIN f ON f.key = a.key"""
+)
 def qa_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each question is split, each part is searched, each answer is its best window's beginning, and answers are joined."""
-    from corvane.operators import retrieval as search
-
-    asked = R.questions(spark, sf_dir).select(F.col("qid").alias("conv_id"), D.stub_questions(F.col("text")).alias("questions"))
-    parts = D.fan_out(asked).withColumn("qid", F.col("conv_id") * D.MOST_QUESTIONS + F.col("question_index"))
-    units = R.windows(spark, sf_dir)
-    found = search.hybrid(units.select("id", "text"), parts.select("qid", F.col("question").alias("text")), 1, threshold_stage="none")
-    best = units.join(F.broadcast(found), "id").select("qid", T.cut_to(F.col("text"), 100).alias("answer"))
-    answered = parts.join(best, "qid", "left").select("conv_id", F.col("question_index").alias("index"), F.coalesce("answer", F.lit("NO_RELEVANT_CHUNKS")).alias("answer"))
-    return D.fan_in(answered, "conv_id")
+    """The whole graph over the conversations: history, clarity, questions, windows, their documents, answers."""
+    rows = messages(spark, sf_dir)
+    asked = D.last_user_message(rows).join(D.history_window(rows), "conv_id", "left").select(F.col("conv_id").alias("key"), "query", "history")
+    analysis = D.Analysis(is_clear=lambda query, context: F.length(query) >= 80, needed=lambda query, context: F.substring(query, 1, 25))
+    units = R.windows(spark, sf_dir).select("id", F.col("doc_id").alias("parent_id"), "text")
+    parents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("parent_id"), F.col("text").alias("content"))
+    return D.answer_all(asked, units, parents, analysis=analysis)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvane.operators import evaluation as E
 from corvane.plans import retrieval as R
 from corvane.plans.registry import query, table
+from corvane.storage import cut, small
 
 G = """g AS (SELECT d.doc_id, source, text, quality = 1 AS groundedness, toxic = 0 AS relevance, CASE WHEN n_chars >= 200 THEN n_chars < 5000 END AS retrieval_accuracy
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
@@ -47,7 +48,14 @@ def eval_status_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *E.status_text(rows))
 
 
-@query()
+ICON = "CASE {0} WHEN 'PASS' THEN '✅' WHEN 'ERROR' THEN '⚠️' ELSE '' END || ' **{1}**: ' || {0}"
+STATUS = "CASE WHEN {0} IS NULL THEN 'ERROR' WHEN {0} THEN 'PASS' ELSE 'FAIL' END"
+
+
+@query(
+    f"""WITH {G}, s AS (SELECT *, {STATUS.format("groundedness")} AS s1, {STATUS.format("relevance")} AS s2, {STATUS.format("retrieval_accuracy")} AS s3 FROM g)
+SELECT doc_id, concat_ws(chr(10), '📊 **Evaluation Results**', '', {ICON.format("s1", "Groundedness")}, {ICON.format("s2", "Relevance")}, {ICON.format("s3", "Retrieval_Accuracy")}, '', '📈 **Overall Score**: ' || printf('%.2f%%', {OVERALL} * 100)) AS report FROM s"""
+)
 def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.report(graded(spark, sf_dir), "doc_id")
 
@@ -74,7 +82,7 @@ def safe_join_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     units = R.documents(spark, sf_dir)
     found = search.hybrid(units, R.questions(spark, sf_dir), 3, threshold_stage="none")
-    best = units.join(F.broadcast(found), "id").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("d"))
+    best = units.join(small(cut(found, "hits")), "id").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("d"))
     return best.select("qid", E.safe_join(F.transform("d", lambda x: x["text"])).alias("documents"))
 
 

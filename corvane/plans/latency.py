@@ -82,13 +82,14 @@ def top_bottlenecks(spark: SparkSession, sf_dir: str) -> DataFrame:
 ADVICE = ", ".join(f"({i}, '{o}', {t}, '{a}')" for i, (o, t, a) in enumerate(L.ADVICE))
 
 
-@query(
-    f"""WITH {S}, a(place, operation, most, advice) AS (VALUES {ADVICE}), x AS (
+RECOMMENDED = f"""a(place, operation, most, advice) AS (VALUES {ADVICE}), x AS (
   SELECT place, s.operation, advice FROM s JOIN a ON s.operation = a.operation WHERE avg_time > most
   UNION ALL SELECT 3, operation, 'High variance in ' || operation || ' response times. Investigate inconsistent performance patterns.' FROM s
   WHERE count > 10 AND CASE WHEN avg_time > 0 THEN max_time / avg_time ELSE 0 END > 3.0
-) SELECT (row_number() OVER (ORDER BY place, operation))::INT AS position, operation, advice FROM x"""
-)
+), rec AS (SELECT (row_number() OVER (ORDER BY place, operation))::INT AS position, operation, advice FROM x)"""
+
+
+@query(f"WITH {S}, {RECOMMENDED} SELECT position, operation, advice FROM rec")
 def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.recommendations(all_stats(spark, sf_dir))
 
@@ -99,16 +100,26 @@ def high_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {S}, {BOTTLENECKS} SELECT (SELECT count(*) FROM m) AS total_measurements, (SELECT string_agg(operation, ',' ORDER BY operation) FROM s) AS operations,
+    f"""WITH {S}, {BOTTLENECKS}, {RECOMMENDED} SELECT (SELECT count(*) FROM m) AS total_measurements, (SELECT coalesce(string_agg(advice, chr(10) ORDER BY position), '') FROM rec) AS recommendations, (SELECT string_agg(operation, ',' ORDER BY operation) FROM s) AS operations,
   (SELECT string_agg(operation || ':' || severity, ',' ORDER BY operation) FROM b) AS bottlenecks,
   (SELECT count(*) FROM s WHERE operation IN ('document_ingestion', 'document_chunking', 'vector_insertion', 'vector_retrieval', 'parent_store_operations', 'agent_graph_execution', 'llm_generation', 'evaluation_pipeline', 'end_to_end_query')) AS n_stages"""
 )
 def performance_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = all_stats(spark, sf_dir)
     listed = lambda c: F.array_join(F.array_sort(F.collect_list(c)), ",")  # noqa: E731  a row for each operation
+    advice = L.recommendations(found).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "advice"))), lambda x: x["advice"]), chr(10)).alias("recommendations"))
     head = found.agg(F.sum("count").alias("total_measurements"), listed(F.col("operation")).alias("operations"))
     slow = L.bottlenecks(found).agg(listed(F.concat_ws(":", "operation", "severity")).alias("bottlenecks"))
-    return head.join(slow).join(L.breakdown(found).agg(F.count(F.lit(1)).alias("n_stages")))
+    return head.join(slow).join(L.breakdown(found).agg(F.count(F.lit(1)).alias("n_stages"))).join(advice)  # one row each
+
+
+@query(
+    f"""WITH {S}, {BOTTLENECKS}, {RECOMMENDED}, t AS (SELECT *, coalesce(avg_time, p95_time) AS time FROM b ORDER BY coalesce(avg_time, p95_time) DESC, operation LIMIT 3)
+SELECT '{L.BOTTLENECKS_HEAD}' || coalesce((SELECT string_agg(chr(10) || '- ' || operation || ': ' || printf('%.3f', time) || 's (' || severity || ')', '' ORDER BY time DESC, operation) FROM t), ' None detected') AS bottlenecks,
+  '{L.ADVICE_HEAD}' || coalesce((SELECT string_agg(chr(10) || position || '. ' || advice, '' ORDER BY position) FROM rec WHERE position <= 3), ' None available') AS recommendations"""
+)
+def top_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.top_texts(all_stats(spark, sf_dir))
 
 
 @query(f"WITH {M} SELECT metric_id, operation, round(duration, 6) AS duration FROM m ORDER BY ts DESC, metric_id DESC LIMIT 10")
@@ -152,6 +163,21 @@ def latency_export_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("operation", F.round("duration", 6).alias("duration"), F.unix_micros(F.col("timestamp").cast("timestamp")).alias("timestamp_us"), "metadata")
 
 
-@query()
+@query(
+    f"""WITH {S} SELECT 'metadata' AS section, count(*) AS n, (SELECT string_agg(operation, ',' ORDER BY operation) FROM s) AS operation, NULL::DOUBLE AS duration, NULL::DOUBLE AS p95_time, NULL::VARCHAR AS metadata FROM m
+UNION ALL SELECT 'raw_metrics', NULL, operation, round(duration, 6), NULL, props FROM m
+UNION ALL SELECT 'statistics', count, operation, round(total_time, 6), round(p95_time, 6), NULL FROM s"""
+)
 def latency_export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.export_json(metrics(spark, sf_dir))
+    """The export's lines, read back."""
+    head = "total_measurements long, operations_tracked array<string>"
+    line = F.from_json("json", f"{head}, operation string, duration double, metadata string, count long, total_time double, p95_time double").alias("x")
+    rows = L.export_json(metrics(spark, sf_dir)).select("section", line).select("section", "x.*")
+    return rows.select(
+        "section",
+        F.coalesce("total_measurements", "count").alias("n"),
+        F.coalesce("operation", F.array_join("operations_tracked", ",")).alias("operation"),
+        F.round(F.coalesce("duration", "total_time"), 6).alias("duration"),
+        F.round("p95_time", 6).alias("p95_time"),
+        "metadata",
+    )

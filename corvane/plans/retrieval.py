@@ -10,6 +10,7 @@ from corvane.functions import text as T
 from corvane.operators import chunking as K
 from corvane.operators import retrieval as R
 from corvane.plans.registry import query, table
+from corvane.storage import cut, small
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,9 +31,9 @@ U_DOCS = "u AS (SELECT doc_id AS id, text FROM documents)"
 U_WINDOWS = "u AS (SELECT doc_id * 100000 + i AS id, doc_id, source, substr(text, i * 400 + 1, 500) AS text FROM documents, unnest(range(0, greatest(0, ceil((length(text) - 500) / 400.0))::BIGINT + 1)) t(i))"
 
 
-def hybrid_sql(k: int) -> str:
-    """Ranks (from 0) of each kind as ``ranked``, and fused scores as ``fused``; over ``u(id, text)``."""
-    return f"""ut AS (SELECT id, {TOKENS} AS w FROM u), qt AS (SELECT item_id AS qid, {TOKENS} AS w FROM benchmark),
+def hybrid_sql(k: int, asked: str = "(SELECT item_id AS qid, text FROM benchmark)") -> str:
+    """Ranks (from 0) of each kind as ``ranked``, and fused scores as ``fused``; over ``u(id, text)`` and ``asked`` (``qid, text``)."""
+    return f"""ut AS (SELECT id, {TOKENS} AS w FROM u), qt AS (SELECT qid, {TOKENS} AS w FROM {asked}),
 tf AS (SELECT id, len(w) AS l, t, count(*) AS tf FROM (SELECT id, w, unnest(w) AS t FROM ut) GROUP BY id, len(w), t),
 qf AS (SELECT qid, t, count(*) AS tf FROM (SELECT qid, unnest(w) AS t FROM qt) GROUP BY qid, t),
 sparse AS (SELECT qid, id, 'sparse' AS kind, round(sum(tf.tf * (1.2::DOUBLE + 1) / (tf.tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * l / 256))), 6) AS score FROM tf JOIN qf USING (t) GROUP BY qid, id),
@@ -66,12 +67,6 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
 
 
-@query(f"SELECT b.vec_id AS id, {COSINE} AS score FROM embeddings a, embeddings b WHERE a.vec_id = 0 AND b.vec_id <> 0 ORDER BY score DESC, id LIMIT 7")
-def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = vectors(spark, sf_dir)
-    return R.exact_nearest(rows, rows.filter("id = 0"), config.TOP_K).select("id", "score")
-
-
 @query(
     f"""SELECT qid, id, score, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, id))::INT AS rank
 FROM (SELECT a.vec_id AS qid, b.vec_id AS id, {COSINE} AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
@@ -99,11 +94,20 @@ STRIP = r"regexp_replace(regexp_replace({0}, '^\s+', ''), '\s+$', '')"
 HIT = "'Parent ID: doc' || doc_id || chr(10) || 'File Name: ' || source || chr(10) || 'Content: ' || " + STRIP.format("text")
 
 
+def search_windows(spark: SparkSession, sf_dir: str, asked: DataFrame, k: int, threshold_stage: str = "fused") -> DataFrame:
+    """``qid, rank, score, doc_id, source, text`` of the best windows for ``asked`` (``qid, text``).
+
+    Hits are written; their texts are cut from the few documents that have any, without making all windows again.
+    """
+    found = cut(R.hybrid(windows(spark, sf_dir).select("id", "text"), asked, k, threshold_stage=threshold_stage), "hits")
+    own = found.withColumns({"doc_id": F.floor(F.col("id") / 100000), "__at": F.col("id") % 100000}).drop("id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.col("text").alias("__text"))
+    text = F.substring("__text", F.col("__at").cast("int") * (config.CHILD_SIZE - config.CHILD_OVERLAP) + 1, F.lit(config.CHILD_SIZE))
+    return docs.join(small(own), "doc_id").select("qid", "rank", "score", "doc_id", "source", text.alias("text"))
+
+
 def hits(spark: SparkSession, sf_dir: str, k: int, threshold_stage: str = "fused") -> DataFrame:
-    """``qid, rank, score`` and the window of each hit."""
-    units = windows(spark, sf_dir)
-    found = R.hybrid(units.select("id", "text"), questions(spark, sf_dir), k, threshold_stage=threshold_stage)
-    return units.join(F.broadcast(found), "id")  # k rows a query, of a bounded number of queries
+    return search_windows(spark, sf_dir, questions(spark, sf_dir), k, threshold_stage)
 
 
 @query(
@@ -172,7 +176,7 @@ d AS (SELECT DISTINCT qid, doc_id FROM h JOIN u ON h.id = u.id WHERE r <= 3)"""
 @query(f"WITH {EXPANDED}, p AS (SELECT qid, d.doc_id, 'doc' || d.doc_id AS parent_id, source || '.pdf' AS source, text AS content FROM d JOIN documents USING (doc_id)) SELECT qid, count(*) AS n_parents, string_agg({ONE}, chr(10) || chr(10) ORDER BY doc_id) AS result FROM p GROUP BY qid")
 def parent_fetch_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents of each question's best windows, without repeats, by id."""
-    wanted = hits(spark, sf_dir, 3, "none").select("qid", "doc_id").distinct()
+    wanted = cut(hits(spark, sf_dir, 3, "none").select("qid", "doc_id").distinct(), "wanted")
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.col("text").alias("content"))
     text = R.formatted(F.concat(F.lit("doc"), F.col("doc_id").cast("string")), F.concat("source", F.lit(".pdf")), F.col("content"))
-    return docs.join(F.broadcast(wanted), "doc_id").groupBy("qid").agg(F.count(F.lit(1)).alias("n_parents"), R.joined_in_order(F.col("doc_id"), text).alias("result"))
+    return docs.join(small(wanted), "doc_id").groupBy("qid").agg(F.count(F.lit(1)).alias("n_parents"), R.joined_in_order(F.col("doc_id"), text).alias("result"))

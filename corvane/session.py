@@ -1,35 +1,49 @@
-"""The engine as one object: ingestion into tables, search, parents, questions with evaluation, latency export.
+"""The engine as one object: ingestion into tables, search, parents, conversations with evaluation, latency export.
 
 Tables are Parquet under one folder that all executors share: ``documents``
-(stem, path, format, text), ``parents``, ``children``, ``evaluations``. Each ingestion
+(stem, path, format, text), ``parents``, ``children``, ``registry`` (what became of
+each file), ``messages`` (conversations by thread), ``evaluations``. Each ingestion
 writes one batch folder of each, parents before children and documents last, so
 a batch that fails midway leaves documents that are tried again, and a stem
-that is there is skipped.
+that is there is skipped. Files are read and parsed one by one: what is missing,
+of an unknown format or can't be parsed is noted in the registry and skipped.
 """
 
 from __future__ import annotations
 
+import logging
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane import config
 from corvane.functions import text as T
-from corvane.operators import chunking, evaluation, retrieval
+from corvane.operators import chunking, dialogue, evaluation, retrieval
+from corvane.operators import latency as L
 from corvane.operators.latency import Tracker, export_csv, export_json
 from corvane.sources import documents as D
+from corvane.sources import parsers
+from corvane.storage import batches_of, small
 
 SCHEMAS = {
     "documents": "stem string, path string, format string, text string, batch string",
     "parents": "parent_id string, stem string, content string, metadata map<string,string>, batch string",
     "children": "id long, parent_id string, child_idx int, content string, metadata map<string,string>, batch string",
-    "evaluations": "question string, answer string, documents string, groundedness boolean, relevance boolean, retrieval_accuracy boolean, overall_score double, batch string",
+    "registry": "path string, stem string, format string, status string, error string, at timestamp, batch string",
+    "messages": "thread_id string, seq long, role string, content string, batch string",
+    "evaluations": "timestamp string, question string, answer string, documents string, groundedness boolean, relevance boolean, retrieval_accuracy boolean, overall_score double, batch string",
 }
 
+#: Bytes of a file that is parsed; larger ones fail.
+MOST_FILE_BYTES = 128 << 20
+#: Files that a worker is handed at once.
+FILES_AT_ONCE = 8
+
 Grader = Callable[[Column, Column, Column], Column]
 
 #: Offline stand-ins: a column of question, answer and joined documents to a boolean for each metric.
@@ -40,16 +54,39 @@ GRADERS: dict[str, Grader] = {
 }
 
 
-def first_words(question: str, found: DataFrame) -> Column:
-    """Offline stand-in for a language model: the best hit's beginning."""
-    return T.cut_to(F.col("content"), 200)
+def beginning(question: Column, content: Column) -> Column:
+    """Offline stand-in for a language model: the best parent's beginning."""
+    return T.cut_to(content, 200)
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out: list[tuple] = []
+        for path, name, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if content is None:
+                out.append((path, name, None, f"more than {MOST_FILE_BYTES} bytes"))
+                continue
+            try:
+                kind, text = parsers.parse(content, name)
+                out.append((path, kind, text.encode("utf-8", "ignore").decode(), None))
+            except ValueError as e:
+                out.append((path, name, None, str(e)[:500]))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.string())] * 4, ["path", "format", "text", "error"])
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, graders: dict[str, Grader] | None = None, answer: Callable[[str, DataFrame], Column] = first_words):
+    def __init__(
+        self,
+        spark: SparkSession,
+        root: str,
+        graders: dict[str, Grader] | None = None,
+        answer: Callable[[Column, Column], Column] = beginning,
+        analysis: dialogue.Analysis | None = None,
+    ):
         self.spark, self.root = spark, root.rstrip("/")
-        self.graders, self.answer = graders or GRADERS, answer
+        self.graders, self.answer, self.analysis = graders or GRADERS, answer, analysis
         self.tracker = Tracker()
+        self.clear_session()
 
     # tables
 
@@ -73,16 +110,23 @@ class Engine:
 
     def add(self, files: DataFrame) -> tuple[int, int]:
         """Ingests ``path, text`` rows: ``(added, skipped)``. HTML becomes text; stems that are there, repeated stems and empty texts are skipped."""
+        kind = D.detect_format(F.col("path"), F.col("text"))
+        text = F.when(kind == "html", T.html_to_markdown(F.col("text"))).otherwise(F.col("text"))
+        return self._ingest(files.select("path", kind.alias("format"), T.valid_utf8(text).alias("text"), F.lit(None).cast("string").alias("error")))
+
+    def _ingest(self, read: DataFrame) -> tuple[int, int]:
+        """``(added, skipped)`` of rows ``path, format, text, error``; each row's fate goes to the registry."""
+        batch = uuid.uuid4().hex
         with self.tracker.measure("document_ingestion"):
-            known = files.select("path", D.detect_format(F.col("path"), F.col("text")).alias("format"), "text")
-            ready = known.withColumn("text", F.when(F.col("format") == "html", T.html_to_text(F.col("text"))).otherwise(F.col("text"))).withColumn("stem", T.stem_of(F.col("path")))
-            full = ready.filter(F.length(T.strip(F.coalesce("text", F.lit("")))) > 0)
+            staged = f"{self.root}/_staged/{batch}"
+            with batches_of(self.spark, FILES_AT_ONCE):
+                read.withColumn("stem", T.stem_of(F.col("path"))).write.parquet(staged)  # files are parsed, and what is new decided, once
+            rows = self.spark.read.parquet(staged)
+            full = rows.filter(F.length(T.strip(F.coalesce("text", F.lit("")))) > 0)
             first = full.groupBy("stem").agg(F.min_by(F.struct("path", "format", "text"), F.struct("path", "text")).alias("d")).select("stem", "d.*")
-            batch = uuid.uuid4().hex
             new = first.join(self.table("documents").select("stem").distinct(), "stem", "left_anti")
-            staged = f"{self.root}/_staged/{batch}"
-            new.write.parquet(staged)  # what is new is decided once
-            new = self.spark.read.parquet(staged)
+            new.write.parquet(f"{staged}-new")
+            new = self.spark.read.parquet(f"{staged}-new")
             keyed = new.withColumn("key", F.xxhash64("stem"))
             with self.tracker.measure("document_chunking"):
                 parents = chunking.parent_chunks(keyed, "key", "text", F.col("stem"))
@@ -92,19 +136,41 @@ class Engine:
                 children = chunking.child_chunks(own)
                 self._add("children", children.select(F.xxhash64("parent_id", "child_idx").alias("id"), "parent_id", "child_idx", "content", "metadata"), batch)
             self._add("documents", new.select("stem", "path", "format", "text"), batch)
+            taken = new.select(F.col("stem").alias("__stem"), F.col("path").alias("__path"))
+            empty = F.length(T.strip(F.coalesce("text", F.lit("")))) == 0
+            status = F.when(F.col("error").isNotNull(), "failed").when(empty, "empty").when(F.col("__path").isNotNull(), "added").otherwise("exists")
+            noted = rows.join(taken, (F.col("stem") == F.col("__stem")) & (F.col("path") == F.col("__path")), "left")
+            self._add("registry", noted.select("path", "stem", "format", status.alias("status"), "error", F.current_timestamp().alias("at")), batch)
             added = new.count()
-            return added, files.count() - added
+            return added, rows.count() - added
 
     def add_documents(self, paths: str | list[str]) -> tuple[int, int]:
-        """Text, markdown and HTML files; other formats need a parser that gives ``path, text`` to ``add``."""
-        paths = [paths] if isinstance(paths, str) else paths
-        return self.add(self._files(paths)) if paths else (0, 0)
-
-    def add_directory(self, path: str, recursive: bool = True) -> tuple[int, int]:
-        return self.add(self._files([path], recursive))
+        """Files of all formats that have a parser; paths that don't exist are left out, as if they hadn't been given."""
+        paths = [p for p in ([paths] if isinstance(paths, str) else paths) if p and self._exists(p)]
+        return self._ingest(self._files(paths)) if paths else (0, 0)
+
+    def add_directory(self, path: str, recursive: bool = True) -> tuple[int, int, dict[str, Any]]:
+        """``(added, skipped, statistics)``: files by format and by status, and the files that failed."""
+        if not self._exists(path):
+            return 0, 0, {"error": f"{path} doesn't exist"}
+        before = {r["batch"] for r in self.table("registry").select("batch").distinct().collect()}
+        added, skipped = self._ingest(self._files([path], recursive))
+        own = self.table("registry").filter(~F.col("batch").isin(*before)) if before else self.table("registry")
+        counts = lambda c: {r[0]: r["n"] for r in own.groupBy(c).agg(F.count(F.lit(1)).alias("n")).collect()}
+        return added, skipped, {"total": added + skipped, "by_format": counts("format"), "by_status": counts("status"), "errors": [(r["path"], r["error"]) for r in own.filter("status = 'failed'").orderBy("path").limit(100).collect()]}
+
+    def _exists(self, path: str) -> bool:
+        """Whether a path, or anything that a pattern fits, is there, by Spark's own file systems."""
+        own = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return bool(own.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(own))
 
     def _files(self, paths: list[str], recursive: bool = False) -> DataFrame:
-        return self.spark.read.text(paths, wholetext=True, recursiveFileLookup=recursive).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+        """``path, format, text, error`` of files, parsed one by one."""
+        found = self.spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(paths)
+        name = D.detect_format(F.col("path")).alias("name")
+        content = found.filter(F.col("length") <= MOST_FILE_BYTES).select("path", name, "content")
+        large = found.filter(F.col("length") > MOST_FILE_BYTES).select("path", name, F.lit(None).cast("binary").alias("content"))
+        return content.unionByName(large).mapInArrow(_parsed, "path string, format string, text string, error string")
 
     def add_web_page(self, url: str, html: str) -> tuple[bool, str]:
         added, _ = self.add(self.spark.createDataFrame([(f"{url.rstrip('/')}.html", html)], "path string, text string"))
@@ -112,7 +178,8 @@ class Engine:
 
     @staticmethod
     def supported_formats() -> list[str]:
-        return sorted(D.FORMATS)
+        """Extensions of files that have a parser."""
+        return sorted(e for e, f in D.FORMATS.items() if f in parsers.PARSERS)
 
     def documents(self) -> DataFrame:
         return self.table("documents").select("stem").distinct().orderBy("stem")
@@ -120,6 +187,12 @@ class Engine:
     def statistics(self) -> DataFrame:
         return self.table("documents").groupBy("format").agg(F.count(F.lit(1)).alias("n_documents"), F.sum(F.length("text")).alias("n_chars"))
 
+    def registry(self) -> DataFrame:
+        """The last status of each path, with how often it was met and how often it failed."""
+        last = F.max_by(F.struct("stem", "format", "status", "error", "at"), F.struct("at", "batch")).alias("__last")
+        seen = self.table("registry").groupBy("path").agg(last, F.count(F.lit(1)).alias("n_seen"), F.count(F.when(F.col("status") == "failed", 1)).alias("n_failed"))
+        return seen.select("path", "__last.*", "n_seen", "n_failed")
+
     # search
 
     def search(self, question: str, k: int = 3, score_threshold: float = config.SCORE_THRESHOLD, threshold_stage: str = "fused") -> DataFrame:
@@ -128,38 +201,125 @@ class Engine:
             units = self.table("children").select("id", "parent_id", F.col("metadata")["source"].alias("source"), "content")
             asked = self.spark.createDataFrame([(0, question)], "qid long, text string")
             found = retrieval.hybrid(units.select("id", F.col("content").alias("text")), asked, k, score_threshold, threshold_stage=threshold_stage)
-            return units.join(F.broadcast(found), "id").select("rank", "score", "parent_id", "source", "content").orderBy("rank")  # at most k rows
+            best = self.spark.createDataFrame(found.select("id", "rank", "score").collect(), "id long, rank int, score double")  # at most k rows
+            return units.join(small(best), "id").select("rank", "score", "parent_id", "source", "content").orderBy("rank")
 
     def search_child_chunks(self, question: str, limit: int = 3, threshold_stage: str = "fused") -> str:
-        text = retrieval.formatted(F.col("parent_id"), F.col("source"), F.col("content"))
-        rows = [r["t"] for r in self.search(question, limit, threshold_stage=threshold_stage).select(text.alias("t")).collect()]
+        try:
+            text = retrieval.formatted(F.col("parent_id"), F.col("source"), F.col("content"))
+            rows = [r["t"] for r in self.search(question, limit, threshold_stage=threshold_stage).select(text.alias("t")).collect()]
+        except Exception as e:  # the caller is a model, which reads what went wrong
+            return f"{config.RETRIEVAL_ERROR}{e}"
         return "\n\n".join(rows) or config.NO_CHUNKS
 
-    def retrieve_parents(self, ids: list[str]) -> str:
-        """Whole parents, each once, in the order of their number."""
+    def load_parents(self, ids: list[str]) -> list[dict[str, Any]]:
+        """``content, parent_id, metadata`` of parents, each once, in the order of their number; an id that isn't there raises ``KeyError``."""
         asked = self.spark.createDataFrame([(i,) for i in ids], "asked string").select(D.parent_key(F.col("asked")).alias("parent_id"))
         with self.tracker.measure("parent_store_operations"):
-            found = self.table("parents").join(F.broadcast(retrieval.parents_sorted(asked)), "parent_id")
-            text = retrieval.formatted(F.col("parent_id"), F.col("metadata")["source"], F.col("content"))
-            rows = found.orderBy("sort_key", "parent_id").select(text.alias("t")).collect()
-        return "\n\n".join(r["t"] for r in rows) or config.NO_PARENTS
-
-    # questions
+            wanted = retrieval.parents_sorted(asked)
+            found = self.table("parents").join(small(wanted), "parent_id").orderBy("sort_key", "parent_id").collect()
+        if missing := {r["parent_id"] for r in wanted.collect()} - {r["parent_id"] for r in found}:
+            raise KeyError(f"no parent {min(missing)}")
+        return [{"content": r["content"], "parent_id": r["parent_id"], "metadata": r["metadata"]} for r in found]
+
+    def retrieve_parents(self, ids: str | list[str]) -> str:
+        """Whole parents as one text; one that is missing fails the call."""
+        ids = [ids] if isinstance(ids, str) else list(ids)
+        if not ids:
+            return config.NO_PARENTS
+        try:
+            rows = self.load_parents(ids)
+        except Exception as e:  # as above
+            return f"{config.PARENT_ERROR}{e}"
+        return "\n\n".join(f"Parent ID: {r['parent_id']}\nFile Name: {(r['metadata'] or {}).get('source', 'unknown')}\nContent: {(r['content'] or '').strip()}" for r in rows)
+
+    # conversations
+
+    def messages(self, thread_id: str | None = None) -> DataFrame:
+        """``seq, role, content`` of a thread since it was last cleared."""
+        own = self.table("messages").filter(F.col("thread_id") == (thread_id or self.thread_id))
+        cleared = own.filter("role = 'cleared'").agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("__from"))
+        return own.join(small(cleared)).filter("seq > __from").select("seq", "role", "content")
+
+    def _say(self, *said: tuple[str, str]) -> None:
+        rows = [(self.thread_id, self._seq + i, role, content) for i, (role, content) in enumerate(said)]
+        self._seq += len(rows)
+        self._add("messages", self.spark.createDataFrame(rows, "thread_id string, seq long, role string, content string"), uuid.uuid4().hex)
+
+    def reset_thread(self) -> None:
+        """Forgets the conversation and begins another."""
+        if self._seq:
+            self._say(("cleared", ""))
+        self.thread_id, self._seq = uuid.uuid4().hex, 0
+
+    def resume(self, thread_id: str) -> None:
+        """Goes on with a thread that is kept in the table."""
+        self.thread_id = thread_id
+        self._seq = self.table("messages").filter(F.col("thread_id") == thread_id).agg(F.coalesce(F.max("seq") + 1, F.lit(0))).first()[0]
+
+    def _ask(self, question: str, k: int, threshold_stage: str) -> tuple[str, str]:
+        """Status and text of the graph's answer; the conversation is brought up to date."""
+        self._say(("user", question))
+        said = self.messages().select(F.lit(0).alias("conv_id"), F.col("seq").alias("turn"), "role", F.col("content").alias("text"))
+        asked = self.spark.createDataFrame([(0, question)], "key long, query string").join(dialogue.history_window(said), F.col("key") == F.col("conv_id"), "left").select("key", "query", "history")
+        units = self.table("children").select("id", "parent_id", F.col("content").alias("text"))
+        parents = self.table("parents").select("parent_id", "content")
+        found = dialogue.answer_all(asked, units, parents, k, self.analysis, self.answer, threshold_stage).first()
+        if found["status"] == "answered":  # a clear query ends what was said before
+            self._say(("cleared", ""), ("assistant", found["text"]))
+        else:
+            self._say(("assistant", found["text"]))
+        return found["status"], found["text"]
 
     def query(self, question: str, k: int = 3, threshold_stage: str = "none") -> dict[str, Any]:
-        """``answer``, ``evaluation`` (metrics and overall score), ``documents``; the evaluation is also kept as a row."""
-        with self.tracker.measure_query(question):
-            with self.tracker.measure("agent_graph_execution"):
-                found = self.search(question.strip(), k, threshold_stage=threshold_stage)
-                hits = found.withColumn("answer", self.answer(question, found)).collect()
-            answer = hits[0]["answer"] if hits else config.NO_ANSWER
-            with self.tracker.measure("evaluation_pipeline"):
-                row = self.spark.createDataFrame([(question, answer, [h["content"] for h in hits])], "question string, answer string, docs array<string>").withColumn("documents", evaluation.safe_join(F.col("docs")))
-                grades = row.select("question", "answer", "documents", *(g(F.col("question"), F.col("answer"), F.col("documents")).alias(m) for m, g in self.graders.items()))
-                graded = grades.withColumn("overall_score", evaluation.overall_of(grades))
-                self._add("evaluations", graded, uuid.uuid4().hex)
-                result = graded.first()
-        return {"answer": answer, "documents": [h["content"] for h in hits], "evaluation": {m: evaluation_status(result[m]) for m in self.graders} | {"overall_score": result["overall_score"]}}
+        """``answer``, ``status`` (``answered`` or ``needs_input``), ``documents``, ``evaluation`` and ``latency_metrics``; the evaluation is also kept as a row."""
+        with self.tracker.measure_query(question, k):
+            with self.tracker.measure("agent_graph_execution", {"question_length": len(question), "expected_retrieval_count": k}):
+                status, answer = self._ask(question.strip(), k, threshold_stage)
+            documents = [r["content"] for r in self.search(question.strip(), k, threshold_stage=threshold_stage).collect()]
+            graded = self.evaluate(question, answer, documents)
+        return {"answer": answer, "status": status, "documents": documents, "evaluation": graded, "latency_metrics": {r["operation"]: r.asDict() for r in L.stats(self.latency()).collect()}}
+
+    def chat(self, message: str, history: Any = None) -> str:
+        """The answer, or what went wrong; the question, answer and found chunks are kept for ``evaluate_last``."""
+        try:
+            question = message.strip()
+            _, answer = self._ask(question, 3, "none")
+            self.last_question, self.last_answer = question, answer
+            self.last_chunks = [r.asDict() for r in self.search(question, 3, threshold_stage="none").collect()]
+            return answer
+        except Exception as e:  # shown to the user
+            return f"Error: {e}"
+
+    def evaluate_last(self) -> bool:
+        """Whether there was a chat to evaluate; its results are in ``last_evaluation``."""
+        if not self.last_question or not self.last_answer:
+            return False
+        self.last_evaluation = self.evaluate(self.last_question, self.last_answer, [c["content"] for c in self.last_chunks])
+        return True
+
+    def clear_session(self) -> None:
+        if getattr(self, "_seq", 0):
+            self.reset_thread()
+        self.thread_id, self._seq = uuid.uuid4().hex, 0
+        self.last_question = self.last_answer = self.last_evaluation = None
+        self.last_chunks: list[dict[str, Any]] = []
+
+    def evaluate(self, question: str, answer: str, documents: list[str]) -> dict[str, Any]:
+        """Statuses and overall score; kept as a row of ``evaluations`` and of its CSV form."""
+        with self.tracker.measure("evaluation_pipeline"):
+            row = self.spark.createDataFrame([(question, answer, documents)], "question string, answer string, docs array<string>").withColumn("documents", evaluation.safe_join(F.col("docs")))
+            grades = row.select("question", "answer", "documents", *(g(F.col("question"), F.col("answer"), F.col("documents")).alias(m) for m, g in self.graders.items()))
+            graded = grades.withColumns({"overall_score": evaluation.overall_of(grades), "timestamp": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")})
+            batch = uuid.uuid4().hex
+            self._add("evaluations", graded, batch)
+            own = self.table("evaluations").filter(F.col("batch") == batch)
+            try:
+                evaluation.csv_rows(own).write.mode("append").option("header", True).option("escape", '"').csv(f"{self.root}/evaluations_csv")
+            except Exception:  # a lost line of the report doesn't undo the answer
+                logging.getLogger(__name__).exception("the evaluation wasn't added to the CSV")
+            result = own.first()
+        return {m: evaluation_status(result[m]) for m in self.graders} | {"overall_score": result["overall_score"]}
 
     # latency
 

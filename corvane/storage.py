@@ -1,9 +1,11 @@
-"""The folder that all executors share, tables written there to end lineage, and broadcasts of a checked size."""
+"""The folder that all executors share, tables written there to end lineage, broadcasts of a checked size, and bounded batches."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,3 +65,25 @@ def cut(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows that Python workers are handed at once: a bound on what very long texts need, some megabytes as a rule.
+BATCH_ROWS = 512
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Lower the session's number of rows in a batch to ``rows`` if it is larger; it is read when a query is planned, so it stays lowered."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= rows:
+        spark.conf.set(_BATCH, str(rows))
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Python workers get at most so many rows at once in what runs inside; for steps that are written at once."""
+    before = spark.conf.get(_BATCH)
+    bound_batches(spark, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)

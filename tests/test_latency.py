@@ -68,3 +68,29 @@ def test_tracker(spark):
     assert [r["operation"] for r in rows] == ["op", "f", "end_to_end_query"] and '"query_length": 5' in rows[2]["metadata"]
     t.reset()
     assert t.frame(spark).count() == 0
+
+
+def test_rows_stay_where_they_are(spark):
+    """With automatic broadcasts off, no raw row is shuffled and nothing is multiplied."""
+    rows = spark.range(50000).selectExpr("id AS metric_id", "concat('op', id % 3) AS operation", "rand(1) AS duration", "cast(id AS double) AS timestamp", "cast(null AS string) AS metadata")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (L.stats(rows), L.nearest_ranks(rows.selectExpr("1 AS all", "duration"), "all", "duration", {"p95": L.RANKS["p95"]})):
+            plan = [line.lstrip(" :+-") for line in df._jdf.queryExecution().executedPlan().toString().split("\n")]
+            assert not any("CartesianProduct" in line for line in plan)
+            raw = False  # whether what is above sends rows that aren't aggregated yet
+            for line in plan:
+                raw = True if line.startswith("Exchange") else False if "Aggregate" in line or line.startswith(("Broadcast", "FileScan")) else raw
+                assert not (raw and line.startswith("Range"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_panel_texts(spark):
+    rows = [("vector_retrieval", 6.0), ("b", 1.5), ("c", 1.5), ("d", 1.2), ("e", 0.1)]
+    got = L.top_texts(L.stats(frame(spark, rows))).first()
+    assert got["bottlenecks"] == "⚠️ **Bottlenecks**:\n- vector_retrieval: 6.000s (HIGH)\n- b: 1.500s (MEDIUM)\n- c: 1.500s (MEDIUM)"
+    assert got["recommendations"].startswith("💡 **Recommendations**:\n1. Vector retrieval is slow.")
+    none = L.top_texts(L.stats(frame(spark, [("e", 0.1)]))).first()
+    assert tuple(none) == ("⚠️ **Bottlenecks**: None detected", "💡 **Recommendations**: None available")
