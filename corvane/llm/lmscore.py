@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import batches_of, cut, small
+from corvane.llm.common import batches_of, cut, plain, small
 
 #: No bound: every word of the corpus has counts of its own.
 VOCABULARY = None
@@ -41,7 +41,7 @@ PRIOR = 20.0
 SLICE = 64
 CHUNK_TOKENS, CHUNK_ROWS = 300_000, 4096
 #: Words and pairs that a partition is to be sent: at least, as long as there are few partitions, and at most.
-LEAST_ENTRIES, MOST_ENTRIES, FEW_PARTITIONS = 100_000, 2_000_000, 48
+LEAST_ENTRIES, MOST_ENTRIES, FEW_PARTITIONS = 100_000, 1_000_000, 48
 #: Distinct words whose hash a worker keeps; beyond it the table is begun anew.
 CACHE_WORDS = 60_000
 #: Rows that a worker is handed at once where a row holds a chunk or its share of a partition.
@@ -204,7 +204,7 @@ def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     marked = small(target_ids.select(F.col("doc_id").alias("__id")).filter("__id IS NOT NULL").distinct())
     joined = docs.select("doc_id", "text").join(marked, F.col("doc_id") == F.col("__id"), "left")
     with batches_of(spark, 512):
-        chunks = cut(_chunked(joined.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("__id").isNotNull().alias("__target"))), "chunks")
+        chunks = cut(_chunked(joined.select(F.col("doc_id").cast("long").alias("doc_id"), plain(F.col("text")).alias("text"), F.col("__id").isNotNull().alias("__target"))), "chunks")
     n_chunks, n = chunks.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     partitions = max(1, min(FEW_PARTITIONS, n // LEAST_ENTRIES), n // MOST_ENTRIES)
     with batches_of(spark, CHUNKS_AT_ONCE):
