@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import batches_of, bound_batches, cut, small
+from corvane.llm.common import batches_of, bound_batches, cut, plain, small
 from corvane.operators.graph import components
 
 WORDS = 5
@@ -212,7 +212,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 )
             pa.default_memory_pool().release_unused()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(each, "doc_id long, copy long, bands array<long>, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain(F.col("text")).alias("text")).mapInArrow(each, "doc_id long, copy long, bands array<long>, sketch array<long>")
 
 
 def weigh(docs: DataFrame) -> DataFrame:
@@ -229,7 +229,7 @@ def weigh(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([_copy(w) for w in words], pa.int64()), pa.array(packed, pa.binary())], ["id", "weights"])
             pa.default_memory_pool().release_unused()
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(each, "id long, weights binary")
+    return docs.select(plain(F.col("text")).alias("text")).mapInArrow(each, "id long, weights binary")
 
 
 def _may_reach(a: str, b: str, at_least: float, coordinates: int) -> Column:
@@ -262,11 +262,12 @@ def _classes(docs: DataFrame, at_least: float) -> DataFrame:
     rows = cut(signed(docs), "signed")
     reps = cut(rows.groupBy(F.col("copy").alias("rep")).agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "reps")
     exploded = reps.select("rep", F.explode("bands").alias("band"))
-    shared = exploded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    entries = cut(exploded.join(shared, "band"), "entries", narrow=True)
+    # what is joined by band is written before, so that the join meets two plain tables and a band with many members can be split
+    shared = cut(exploded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared", narrow=True)
+    entries = cut(exploded.join(small(shared), "band"), "entries", narrow=True)
     company = entries.groupBy("rep").agg(F.sum("n").alias("company"))
-    hubs = entries.join(company, "rep").groupBy("band").agg(F.max_by("rep", F.struct("company", -F.col("rep"))).alias("hub"))
-    stars = entries.select("band", "rep").join(hubs, "band").filter("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+    hubs = cut(entries.join(company, "rep").groupBy("band").agg(F.max_by("rep", F.struct("company", -F.col("rep"))).alias("hub")), "hubs", narrow=True)
+    stars = entries.select("band", "rep").join(small(hubs), "band").filter("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
     sketch = lambda name: reps.select(F.col("rep").alias(name), F.col("sketch").alias(f"__{name}"))
     likely = stars.join(sketch("b"), "b").join(sketch("a"), "a").filter(_may_reach("__a", "__b", at_least, COORDINATES)).select("a", "b")
     known = cut(entries.select(F.col("rep").alias("__rep")).distinct(), "known", narrow=True)
@@ -331,18 +332,19 @@ def _across(placed: DataFrame, marks: DataFrame, weights: DataFrame, at_least: f
     its largest component look for partners among those of the sizes in question. A pair that is asked from both sides is
     one pair after ``distinct``.
     """
-    split = placed.groupBy("band").agg(F.min("root").alias("__lo"), F.max("root").alias("__hi")).filter("__lo < __hi").select("band")
-    inside = cut(placed.join(split, "band"), "open", narrow=True)
+    split = cut(placed.groupBy("band").agg(F.min("root").alias("__lo"), F.max("root").alias("__hi")).filter("__lo < __hi").select("band"), "split", narrow=True)
+    inside = cut(placed.join(small(split), "band"), "open", narrow=True)
     reps = inside.select(F.col("rep").alias("id")).distinct()
     share = cut(_own_weight(weights.join(reps, "id", "left_semi")), "shares", narrow=True).filter(F.col("common") >= at_least * F.col("size") - 1e-9)
     able = weights.join(share.select("id"), "id", "left_semi")
     fine = cut(_fine_sketches(able), "fine", narrow=True)
     member = inside.join(share.select(F.col("id").alias("rep"), "size", "common"), "rep").join(marks, "rep").join(fine, "rep")
     member = cut(member.withColumn("step", F.floor(F.log("size") / float(np.log(SIZE_STEP))).cast("int")), "members", narrow=True)
-    largest = member.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    # written, so that the join by band meets two plain tables and a band with many members can be split
+    largest = cut(member.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main")), "largest", narrow=True)
     step = lambda size: F.floor(F.log(size) / float(np.log(SIZE_STEP))).cast("int")
     least, most = at_least * F.col("size"), (1 + at_least) / at_least * F.col("common") - F.col("size")
-    asking = member.join(largest, "band").filter((F.col("root") != F.col("main")) & (most >= least)).withColumn("asked", F.explode(F.sequence(step(least) - 1, step(most) + 1)))
+    asking = member.join(small(largest), "band").filter((F.col("root") != F.col("main")) & (most >= least)).withColumn("asked", F.explode(F.sequence(step(least) - 1, step(most) + 1)))
     l, r = asking.alias("l"), member.alias("r")
     fits = F.least("l.common", "r.common") >= at_least / (1 + at_least) * (F.col("l.size") + F.col("r.size")) - 1e-6
     on = (F.col("l.band") == F.col("r.band")) & (F.col("l.asked") == F.col("r.step")) & (F.col("l.root") != F.col("r.root")) & fits & _may_reach("l.fine", "r.fine", at_least, FINE_COORDINATES)
@@ -367,7 +369,7 @@ def deduplicated(docs: DataFrame, at_least: float = SIMILARITY) -> DataFrame:
     keys = cut(each.join(first, "root").select(F.col("doc_id").alias("__id"), F.col("copy").alias("__of"), (F.struct("doc_id", "copy", "n") != F.col("first")).alias("gone"), "n"), "rows", narrow=True)
     gone, twice = (keys.filter(c).select("__id", "__of") for c in ("gone", "NOT gone AND n > 1"))
     bound_batches(docs.sparkSession, BATCH)
-    out = docs.withColumn("__copy", _copies(F.col("text").cast("string")))
+    out = docs.withColumn("__copy", _copies(plain(F.col("text"))))
     on = (F.col("doc_id") == F.col("__id")) & (F.col("__copy") == F.col("__of"))
     left = out.join(small(gone), on, "left_anti")
     if twice.limit(1).count():
