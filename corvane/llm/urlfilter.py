@@ -7,7 +7,7 @@ words) passes all listed URLs and about one in a thousand others to an exact
 hash join, which removes the false positives; the rest never joins.
 
 The filter's blocks and the list are broadcast only if they have at most
-``BROADCAST_ROWS`` rows; larger ones are joined by a shuffle.
+``BROADCAST_BYTES`` bytes; larger ones are joined by a shuffle.
 
 Defined results: a null URL, or one without ``://``, has an empty host and
 path, fits no rule, is on no list and is allowed; repeated rows are judged
@@ -89,16 +89,20 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], listed: DataFrame) ->
     url = F.col("url")
     own = pages.select("page_id", host(url).alias("host"), path(url).alias("path"), canonical(url).alias("__key"))
     rule, verdict = rule_of(rules, F.col("host"), F.col("path"))
-    own = own.withColumns({"rule": rule, "__verdict": verdict, "__at": _block(F.col("__key"), blocks)})
-    probed = own.join(small(bloom(listed, "__listed", blocks)), F.col("__at") == F.col("__block"), "left")
+    own = own.withColumns({"rule": rule, "__verdict": verdict})
+    # URLs without a canonical form, and those that a rule decides, have no place in the filter
+    open_ = F.col("__verdict").isNull() & F.col("__key").isNotNull()
+    columns = ["page_id", "host", "path", "rule"]
+    decided = own.filter(~open_).select(*columns, F.coalesce("__verdict", F.lit("allow")).alias("verdict"))
+    filter_ = cut(bloom(listed, "__listed", blocks), "bloom")
+    probed = own.filter(open_).withColumn("__at", _block(F.col("__key"), blocks)).join(small(filter_), F.col("__at") == F.col("__block"), "left")
     passes = F.col("__block").isNotNull()
     for i, m in enumerate(_masks(F.col("__key"))):
         passes = passes & (F.col(f"__w{i}").bitwiseAND(m) == m)
-    probed = probed.withColumn("__ask", F.coalesce(passes, F.lit(False)) & F.col("__verdict").isNull())
-    columns = ["page_id", "host", "path", "rule"]
-    rest = probed.filter(~F.col("__ask")).select(*columns, F.coalesce("__verdict", F.lit("allow")).alias("verdict"))
+    probed = probed.withColumn("__ask", F.coalesce(passes, F.lit(False)))
+    missed = probed.filter(~F.col("__ask")).select(*columns, F.lit("allow").alias("verdict"))
     asked = probed.filter("__ask").join(small(listed.hint("shuffle_hash")), F.col("__key") == F.col("__listed"), "left")
-    return rest.unionByName(asked.select(*columns, F.when(F.col("__listed").isNotNull(), "block").otherwise("allow").alias("verdict")))
+    return decided.unionByName(missed).unionByName(asked.select(*columns, F.when(F.col("__listed").isNotNull(), "block").otherwise("allow").alias("verdict")))
 
 
 def refetched(pages: DataFrame) -> DataFrame:
