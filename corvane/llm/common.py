@@ -2,49 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
+from pyspark.sql import Column, DataFrame, SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from corvane.functions.text import valid_utf8
+from corvane.storage import BATCH_ROWS, BROADCAST_BYTES, batches_of, bound_batches, cut, shared_dir, small
 
-from corvane.storage import cut, shared_dir
+__all__ = ["BATCH_ROWS", "BROADCAST_BYTES", "batches_of", "bound_batches", "cut", "plain", "shared_dir", "small", "table"]
 
-__all__ = ["BATCH_ROWS", "BROADCAST_ROWS", "batches_of", "bound_batches", "cut", "shared_dir", "small", "table"]
 
-#: Rows whose broadcast is allowed: at 64 bytes a row this is 16 MB.
-BROADCAST_ROWS = 250_000
-
-
-#: Rows that Python workers are handed at once: a bound on what very long texts need, some megabytes as a rule.
-BATCH_ROWS = 512
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Lower the session's number of rows in a batch to ``rows`` if it is larger; it is read when a query is planned, so it stays lowered."""
-    if not 0 < int(spark.conf.get(_BATCH)) <= rows:
-        spark.conf.set(_BATCH, str(rows))
-
-
-@contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Python workers get at most so many rows at once in what runs inside; for steps that are written at once."""
-    before = spark.conf.get(_BATCH)
-    bound_batches(spark, rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(_BATCH, before)
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast when ``df`` (cheap to count) has at most ``rows`` rows.
-
-    A larger table is returned as it is: the join then shuffles, and adaptive
-    execution splits its skewed partitions.
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def plain(text: Column) -> Column:
+    """``text`` as a string that Python can read: bytes that aren't UTF-8 are dropped."""
+    return valid_utf8(text.cast("string"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import bound_batches, cut
+from corvane.llm.common import bound_batches, cut, plain
 
 CAPACITY = 4096
 END_ID = 2
@@ -190,7 +190,7 @@ def dealt(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id
                 yield pa.RecordBatch.from_arrays(columns, names)
             pa.default_memory_pool().release_unused()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain(F.col("text")).alias("text"))
     return rows.mapInArrow(each, DEALT + (", ids array<int>" if with_ids else ""))
 
 

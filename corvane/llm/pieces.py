@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import bound_batches
+from corvane.llm.common import bound_batches, plain
 
 SPACE = "▁"
 #: Distinct pieces of text whose encoding a worker keeps; beyond it the table is begun anew.
@@ -337,7 +337,7 @@ def encoded(text: Column, model_path: str) -> Column:
         v = vocabulary(model_path)
         return pa.array([v.encode(t.as_py()) for t in texts], pa.list_(pa.int32()))
 
-    return udf(text)
+    return udf(plain(text))
 
 
 def decoded(ids: Column, model_path: str) -> Column:
@@ -372,4 +372,4 @@ def digest(docs: DataFrame, model_path: str) -> DataFrame:
                 })
         return pa.array(rows, _DIGEST)
 
-    return docs.select("doc_id", udf(F.col("text").cast("string")).alias("__d")).select("doc_id", "__d.*")
+    return docs.select("doc_id", udf(plain(F.col("text"))).alias("__d")).select("doc_id", "__d.*")

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import bound_batches
+from corvane.llm.common import bound_batches, plain
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "url", "account")
@@ -194,12 +194,12 @@ def _redact_udf(text: pa.Array) -> pa.Array:
 
 def spans(text: Column) -> Column:
     """Column of spans ``array<struct<kind,start,end>>``; a null text gives an empty array."""
-    return _spans_udf(text)
+    return _spans_udf(plain(text))
 
 
 def redacted(text: Column) -> Column:
     """The text with each span replaced; null stays null."""
-    return _redact_udf(text)
+    return _redact_udf(plain(text))
 
 
 def joined(found: Column, kinds: tuple[str, ...] = KINDS) -> Column:

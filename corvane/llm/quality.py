@@ -118,7 +118,7 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", keep: list[
     measured = with_stats(own, text)
     names = keep or docs.columns
     measured = cut(measured.select(*names, F.col(host).alias("__own_host"), *(f"__{s}" for s in STATS)), "quality")
-    hosts = host_verdicts(measured, "__own_host").filter("__rejected OR __watched")
+    hosts = cut(host_verdicts(measured, "__own_host").filter("__rejected OR __watched"), "hosts")
     out = measured.join(small(hosts), F.col("__own_host").eqNullSafe(F.col("__host")), "left")
     watched, rejected = F.coalesce("__watched", F.lit(False)), F.coalesce("__rejected", F.lit(False))
     bad = base_failed() | rejected | _soft(MAX_SYMBOLS, MAX_DUP_LINES) | (watched & _soft(STRICT_SYMBOLS, STRICT_DUP_LINES))

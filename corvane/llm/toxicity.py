@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import bound_batches
+from corvane.llm.common import bound_batches, plain
 
 #: Bounds of the labelled sample: rows of each class, and bytes of text of each.
 TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_BYTES = 1500, 3000, 16 << 20
@@ -256,7 +256,7 @@ def sample(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ord
     for mark, bound in ((1, toxic_rows), (0, ordinary_rows)):
         part = rows.filter(F.col("__toxic") == mark).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
         marked = part if marked is None else marked.unionByName(part)
-    own = docs.select("doc_id", "text").filter("text <> ''")
+    own = docs.select("doc_id", plain(F.col("text")).alias("text")).filter("text <> ''")
     # at most toxic_rows + ordinary_rows ids, whatever the input's size
     sized = own.join(F.broadcast(marked), "doc_id").select("doc_id", "__toxic", F.xxhash64("text").alias("__of"), F.octet_length("text").alias("__size")).distinct()
     taken: set[tuple[int, int]] = set()
@@ -288,7 +288,7 @@ def score(text: Column, model: Model | None) -> Column:
         pa.default_memory_pool().release_unused()
         return pa.array(np.concatenate(out) if out else [], pa.float64())
 
-    return udf(text.cast("string"))
+    return udf(plain(text))
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
