@@ -4,7 +4,7 @@ Reading: file partitions are planned on the driver (small files together).
 Equality and membership predicates on ``record_type`` and the other header
 columns are pushed down: each record's headers are parsed first, and the
 payload of a record that fails, or of any record with option ``payload=false``,
-is neither decompressed nor decoded. Compressed files hold one gzip member for
+is neither decompressed nor decoded; only the HTTP headers before it are. Compressed files hold one gzip member for
 each record; the member's extra field ``sl`` gives its length, so a reader can
 skip it. Members without that field are read through.
 
@@ -15,8 +15,9 @@ Paths are opened by pyarrow's file systems (``file:``, ``hdfs:``, ``s3:`` ..).
 
 Defined results: a null payload is an empty one; a null URL or id leaves its
 header out, and is null again when read; line ends in header values are
-percent-encoded; records of other kinds give their block as payload; an empty
-table writes no file, and a folder without archives reads as no rows.
+percent-encoded; records of other kinds give their block as payload; a record
+whose ``Content-Length`` is missing or no number has a null length, and ends where
+its gzip member ends or the next record begins; an empty table writes no file, and a folder without archives reads as no rows.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from corvane.llm.common import shared_dir, small
+from corvane.llm.common import batches_of, cut, shared_dir, small
 
 READ = "record_id string, record_type string, target_uri string, date string, payload_digest string, refers_to string, http_length long, content_length long, payload binary, file string, offset long"
 WRITE = "record_id string, record_type string, target_uri string, payload_digest string, refers_to string, payload binary"
@@ -50,6 +51,11 @@ NAMES = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri"
 DATE = "2024-01-01T00:00:00Z"
 SPLIT_BYTES, FILE_BYTES = 32 << 20, 256 << 20
 BATCH_BYTES, BATCH_ROWS = 8 << 20, 2000
+#: Rows that a writer is handed, and turns into records, at once.
+WRITE_ROWS, WRITE_SLICE = 512, 32
+#: HTTP headers are looked for in so many bytes.
+HTTP_HEAD = 1 << 16
+END = b"\r\n\r\n"
 
 
 def open_path(path: str) -> tuple[fs.FileSystem, str]:
@@ -122,49 +128,65 @@ class Plan:
             out[c] = out[c].removeprefix("<").removesuffix(">") if out[c] is not None else None
         if out["payload_digest"] is not None:
             out["payload_digest"] = out["payload_digest"].rpartition(":")[2]
-        out["content_length"] = int(headers.get("content-length", "0"))
+        out["content_length"] = _length(headers)
         return None if any(out[c] not in v for c, v in self.allowed.items()) else out
 
     def finish(self, out: dict[str, Any], block: bytes, headers: dict[str, str]) -> dict[str, Any]:
-        """Adds what the block holds."""
+        """Adds what the block holds; without payloads, ``block`` is its beginning."""
         http, payload = {}, block
         if headers.get("content-type", "").startswith("application/http"):
-            head, _, payload = block.partition(b"\r\n\r\n")
+            head, _, payload = block.partition(END)
             http = _headers(head)
-        length = http.get("content-length", "")
-        out["http_length"] = int(length) if length.isdigit() else None
-        out["payload"] = None if out["record_type"] == "revisit" else payload
+        out["http_length"] = _length(http)
+        out["payload"] = payload if self.payload and out["record_type"] != "revisit" else None
         if self.verify and out["payload"] is not None and out["payload_digest"] not in (None, payload_digest(payload)):
             raise ValueError(f"the payload of {out['record_id']} has another digest")
         return out
 
 
+def _length(headers: dict[str, str]) -> int | None:
+    """``Content-Length``, if it is a number that a file can have."""
+    text = headers.get("content-length", "")
+    return int(text) if text.isascii() and text.isdigit() and len(text) < 19 else None
+
+
+def _next(f: BinaryIO, start: int, size: int) -> int:
+    """Where a block that begins at ``start`` ends, before the next record or the end of the file."""
+    at, before = start, b""
+    while at < size:
+        f.seek(at)
+        data = before + f.read(1 << 20)
+        if (found := data.find(END + b"WARC/")) >= 0:
+            return at - len(before) + found
+        at, before = at - len(before) + len(data), data[-8:]
+    f.seek(max(start, size - 4))
+    return max(start, size - 4) if f.read(4) == END else size
+
+
 def _plain(f: BinaryIO, size: int, plan: Plan) -> Iterator[dict[str, Any]]:
     at = 0
     while at < size:
         f.seek(at)
         head = f.read(4096)
-        while b"\r\n\r\n" not in head:
+        while END not in head:
             more = f.read(65536)
             if not more:
                 if head.strip(b"\r\n"):
                     raise ValueError(f"a record that begins at {at} is cut off")
                 return
             head += more
-        head = head[: head.index(b"\r\n\r\n")]
+        head = head[: head.index(END)]
         headers = _headers(head)
         start = at + len(head) + 4
-        length = int(headers.get("content-length", "0"))
+        if (length := _length(headers)) is None:
+            length = _next(f, start, size) - start
         if (out := plan.values(headers)) is not None:
             out["offset"] = at
-            if plan.payload:
-                f.seek(start)
-                block = f.read(length)
-                if len(block) < length:
-                    raise ValueError(f"a record that begins at {at} is cut off")
-                yield plan.finish(out, block, headers)
-            else:
-                yield out
+            f.seek(start)
+            block = f.read(length if plan.payload else min(length, HTTP_HEAD))
+            if plan.payload and len(block) < length:
+                raise ValueError(f"a record that begins at {at} is cut off")
+            yield plan.finish(out, block, headers)
         at = start + length + 4
 
 
@@ -194,38 +216,40 @@ def _packed(f: BinaryIO, size: int, plan: Plan) -> Iterator[dict[str, Any]]:
         begin, whole = _member_size(raw)
         inflate, text, taken = zlib.decompressobj(-15), b"", len(raw)
         raw = raw[begin:]
-        while b"\r\n\r\n" not in text:
+        while END not in text:
             text += inflate.decompress(raw, 16384)
             raw = inflate.unconsumed_tail
-            if not raw and b"\r\n\r\n" not in text:
+            if not raw and END not in text:
                 raw = f.read(65536)
                 taken += len(raw)
                 if not raw or inflate.eof:
                     raise ValueError(f"a record that begins at {at} is cut off")
-        head, _, block = text.partition(b"\r\n\r\n")
+        head, _, block = text.partition(END)
         headers = _headers(head)
-        length = int(headers.get("content-length", "0"))
+        length = _length(headers)
         out = plan.values(headers)
-        wanted = out is not None and plan.payload
-        blocks = [block] if wanted else []
-        if wanted or not whole:
-            got = len(block)
-            while not inflate.eof:
+        kept, got = [block] if out is not None else [], len(block)
+        # all of a wanted payload, else the HTTP headers before it; a member that doesn't tell its length is read through
+        while not inflate.eof:
+            enough = out is None or (not plan.payload and (got >= HTTP_HEAD or END in b"".join(kept)))
+            if enough and whole:
+                break
+            if not raw:
+                raw = f.read(1 << 20)
+                taken += len(raw)
                 if not raw:
-                    raw = f.read(1 << 20)
-                    taken += len(raw)
-                    if not raw:
-                        raise ValueError(f"a record that begins at {at} is cut off")
-                more = inflate.decompress(raw, 1 << 22)
-                raw = inflate.unconsumed_tail
-                got += len(more)
-                if wanted:
-                    blocks.append(more)
-            if got < length:
-                raise ValueError(f"a record that begins at {at} is cut off")
+                    raise ValueError(f"a record that begins at {at} is cut off")
+            more = inflate.decompress(raw, 1 << 22 if plan.payload else 1 << 14)
+            raw = inflate.unconsumed_tail
+            got += len(more)
+            if not enough:
+                kept.append(more)
+        if inflate.eof and length is not None and got < length:
+            raise ValueError(f"a record that begins at {at} is cut off")
         if out is not None:
             out["offset"] = at
-            yield plan.finish(out, b"".join(blocks)[:length], headers) if wanted else out
+            block = b"".join(kept)
+            yield plan.finish(out, block.removesuffix(END) if length is None else block[:length], headers)
         at = at + whole if whole else at + taken - len(inflate.unused_data) + 8
 
 
@@ -312,18 +336,17 @@ class WarcWriter(DataSourceArrowWriter):
         system, own = open_path(self.path)
         files: list[str] = []
         out, size = None, 0
-        for batch in iterator:
-            for row in batch.to_pylist():
-                if out is None or size >= self.most:
-                    if out is not None:
-                        out.close()
-                    system.create_dir(own, recursive=True)
-                    files.append(f"part-{uuid.uuid4().hex}.warc{'.gz' if self.packed else ''}")
-                    out, size = system.open_output_stream(f"{own}/_{files[-1]}.tmp", compression=None), 0
-                data = record(row)
-                data = member(data) if self.packed else data
-                out.write(data)
-                size += len(data)
+        for row in (r for batch in iterator for i in range(0, batch.num_rows, WRITE_SLICE) for r in batch.slice(i, WRITE_SLICE).to_pylist()):
+            if out is None or size >= self.most:
+                if out is not None:
+                    out.close()
+                system.create_dir(own, recursive=True)
+                files.append(f"part-{uuid.uuid4().hex}.warc{'.gz' if self.packed else ''}")
+                out, size = system.open_output_stream(f"{own}/_{files[-1]}.tmp", compression=None), 0
+            data = record(row)
+            data = member(data) if self.packed else data
+            out.write(data)
+            size += len(data)
         if out is not None:
             out.close()
         return Written(files)
@@ -375,6 +398,7 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).withColumn("__sha", F.sha1("payload"))
     long = rows.filter(F.octet_length("payload") >= least_bytes)
     repeated = long.groupBy("__sha").agg(F.min("page_id").alias("__first"), F.count(F.lit(1)).alias("__n")).filter("__n > 1").select(F.col("__sha").alias("__of"), "__first")
+    repeated = cut(repeated, "repeated")  # payloads are hashed for it once
     joined = rows.join(small(repeated), F.col("__sha") == F.col("__of"), "left")
     again = F.coalesce((F.octet_length("payload") >= least_bytes) & ((F.col("page_id") > F.col("__first")) | (F.col("page_id").isNull() & F.col("__first").isNotNull())), F.lit(False))
     name = lambda c: F.concat(F.lit("urn:page:"), c.cast("string"))
@@ -393,13 +417,17 @@ def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     spark = pages.sparkSession
     register(spark)
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    with_revisits(pages, least_bytes).write.format("warc").mode("append").save(path)
-    back = spark.read.format("warc").option("verify", "true").load(path)
+    with batches_of(spark, WRITE_ROWS):
+        with_revisits(pages, least_bytes).write.format("warc").mode("append").save(path)
     number = lambda c: F.regexp_extract(c, r"^urn:page:(-?[0-9]+)$", 1).try_cast("long")
-    return back.select(
-        number(F.col("record_id")).alias("page_id"),
-        F.coalesce(F.octet_length("payload"), F.col("http_length")).cast("long").alias("payload_bytes"),
-        "payload_digest",
-        "record_type",
-        number(F.col("refers_to")).alias("refers_to"),
-    )
+    # both predicates are pushed down: payloads are read of responses, of revisits only the headers
+    kinds = (("response", {"verify": "true"}, F.octet_length("payload")), ("revisit", {"payload": "false"}, F.col("http_length")))
+    parts = [
+        spark.read.format("warc")
+        .options(**options)
+        .load(path)
+        .filter(F.col("record_type") == kind)
+        .select(number(F.col("record_id")).alias("page_id"), size.cast("long").alias("payload_bytes"), "payload_digest", "record_type", number(F.col("refers_to")).alias("refers_to"))
+        for kind, options, size in kinds
+    ]
+    return parts[0].unionByName(parts[1])
