@@ -232,7 +232,32 @@ def test_within_radius(radius):
     codes = rng.integers(0, 256, (500, 16), dtype=np.uint8)
     code = codes[7] ^ np.packbits(rng.random(128) < 0.1)
     want = np.flatnonzero(np.unpackbits(codes ^ code, axis=1).sum(1) <= radius)
-    assert np.array_equal(ann.Block(codes).within(code, radius), want)
+    assert np.array_equal(ann.Block(codes.view(np.uint64)).within(code.view(np.uint64), radius)[0], want)
+
+
+def clusters(n, groups, noise):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(groups, 64))[rng.integers(0, groups, n)] + noise * rng.normal(size=(n, 64))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("kind", ["clusters", "lengths", "noise", "few rows"])
+def test_index_prunes(kind):
+    """Recall, and the share of a block that is compared and reranked: little where neighbours stand out, without a switch by size."""
+    x = {"clusters": clusters(20000, 200, 0.15), "lengths": clusters(20000, 200, 0.15) * np.random.default_rng(5).uniform(0.5, 2, (20000, 1)), "noise": clusters(20000, 20000, 0), "few rows": clusters(1500, 1500, 0)}[kind]
+    ids, k = np.arange(len(x)), 20
+    own = ids[:: len(x) // 100]
+    codes = ann.learn(x[: len(x) // 3], float(ann.lengths(x).max()) * (1 + 1e-12))
+    floor = ann.floors(ids[: len(x) // 3], x[: len(x) // 3], own, x[own], k)
+    tally: list = []
+    found = ann.search_block(ids, x, own, x[own], codes, floor, k, k, tally)
+    score = x[own] @ x.T
+    score[np.arange(len(own)), own] = -np.inf
+    hit = sum(len(set(found[1][found[0] == q]) & set(ids[np.lexsort((ids, -s))[:k]])) for q, s in zip(own, score, strict=True))
+    assert hit >= 0.95 * k * len(own)
+    compared, reranked = np.array(tally).sum(0) / len(own) / len(x)
+    assert reranked < 0.1 or kind == "few rows"
+    assert compared < 0.1 or kind != "clusters"
 
 
 def test_lm_score(spark, texts):
