@@ -251,13 +251,16 @@ def verified(pairs: DataFrame, weights: DataFrame, at_least: float = SIMILARITY)
     return both.filter(exact("__x", "__y") >= at_least).select("a", "b")
 
 
-def classes(docs: DataFrame, at_least: float = SIMILARITY) -> DataFrame:
-    """``doc_id, class_id`` of each row; a class is named by its smallest id."""
+def classes(docs: DataFrame, at_least: float = SIMILARITY, sketched: bool = True) -> DataFrame:
+    """``doc_id, class_id`` of each row; a class is named by its smallest id.
+
+    Without ``sketched``, pairs that share a band are compared whatever their sketches say.
+    """
     with batches_of(docs.sparkSession, BATCH):
-        return _classes(docs, at_least).select("doc_id", "class_id")
+        return _classes(docs, at_least, sketched).select("doc_id", "class_id")
 
 
-def _classes(docs: DataFrame, at_least: float) -> DataFrame:
+def _classes(docs: DataFrame, at_least: float, sketched: bool = True) -> DataFrame:
     """``doc_id, copy, root, class_id`` of each row; rows of one class have one ``root``."""
     rows = cut(signed(docs), "signed")
     reps = cut(rows.groupBy(F.col("copy").alias("rep")).agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "reps")
@@ -269,7 +272,7 @@ def _classes(docs: DataFrame, at_least: float) -> DataFrame:
     hubs = cut(entries.join(company, "rep").groupBy("band").agg(F.max_by("rep", F.struct("company", -F.col("rep"))).alias("hub")), "hubs", narrow=True)
     stars = entries.select("band", "rep").join(small(hubs), "band").filter("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
     sketch = lambda name: reps.select(F.col("rep").alias(name), F.col("sketch").alias(f"__{name}"))
-    likely = stars.join(sketch("b"), "b").join(sketch("a"), "a").filter(_may_reach("__a", "__b", at_least, COORDINATES)).select("a", "b")
+    likely = stars.join(sketch("b"), "b").join(sketch("a"), "a").filter(_may_reach("__a", "__b", at_least, COORDINATES)).select("a", "b") if sketched else stars
     known = cut(entries.select(F.col("rep").alias("__rep")).distinct(), "known", narrow=True)
     ids = small(reps.join(known, F.col("rep") == F.col("__rep"), "left_semi").select(F.col("doc_id").alias("__id")).filter("__id IS NOT NULL").distinct())
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("__id"), "left_semi").unionByName(docs.select("doc_id", "text").filter("doc_id IS NULL"))
@@ -277,7 +280,7 @@ def _classes(docs: DataFrame, at_least: float) -> DataFrame:
     edges = cut(verified(likely, weights, at_least), "links", narrow=True)
     labels = components(edges)
     placed = cut(entries.select("band", "rep").join(labels.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep")), "placed", narrow=True)
-    across = _across(placed, reps.select("rep", "bands"), weights, at_least)
+    across = _across(placed, reps.select("rep", "bands"), weights, at_least, sketched)
     more = cut(verified(across, weights, at_least), "links", narrow=True)
     if more.limit(1).count():
         labels = components(edges.unionByName(more))
@@ -323,7 +326,7 @@ def _fine_sketches(weights: DataFrame) -> DataFrame:
 SIZE_STEP = 1.02
 
 
-def _across(placed: DataFrame, marks: DataFrame, weights: DataFrame, at_least: float) -> DataFrame:
+def _across(placed: DataFrame, marks: DataFrame, weights: DataFrame, at_least: float, sketched: bool) -> DataFrame:
     """Pairs ``a, b`` of different components that share a band and may reach the similarity.
 
     Of two documents of weights ``s`` and ``t``, elements that no other document has can't be shared, so the shared weight is
@@ -347,7 +350,9 @@ def _across(placed: DataFrame, marks: DataFrame, weights: DataFrame, at_least: f
     asking = member.join(small(largest), "band").filter((F.col("root") != F.col("main")) & (most >= least)).withColumn("asked", F.explode(F.sequence(step(least) - 1, step(most) + 1)))
     l, r = asking.alias("l"), member.alias("r")
     fits = F.least("l.common", "r.common") >= at_least / (1 + at_least) * (F.col("l.size") + F.col("r.size")) - 1e-6
-    on = (F.col("l.band") == F.col("r.band")) & (F.col("l.asked") == F.col("r.step")) & (F.col("l.root") != F.col("r.root")) & fits & _may_reach("l.fine", "r.fine", at_least, FINE_COORDINATES)
+    on = (F.col("l.band") == F.col("r.band")) & (F.col("l.asked") == F.col("r.step")) & (F.col("l.root") != F.col("r.root")) & fits
+    if sketched:
+        on = on & _may_reach("l.fine", "r.fine", at_least, FINE_COORDINATES)
     once = F.array_min(F.array_intersect("l.bands", "r.bands")) == F.col("l.band")  # only in the first band that both share
     return l.join(r, on & once).select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).distinct()
 
@@ -357,13 +362,13 @@ def _copies(text: pa.Array) -> pa.Array:
     return pa.array([_copy(w) for w in _words(text.to_pylist())], pa.int64())
 
 
-def deduplicated(docs: DataFrame, at_least: float = SIMILARITY) -> DataFrame:
+def deduplicated(docs: DataFrame, at_least: float = SIMILARITY, sketched: bool = True) -> DataFrame:
     """One row of each class, that with the smallest id; columns as they were. Rows without an id stay.
 
     A row is known by its id and the hash of its words, as one id may have several texts.
     """
     with batches_of(docs.sparkSession, BATCH):
-        found = cut(_classes(docs, at_least), "classes", narrow=True).filter("doc_id IS NOT NULL")
+        found = cut(_classes(docs, at_least, sketched), "classes", narrow=True).filter("doc_id IS NOT NULL")
     each = found.groupBy("root", "doc_id", "copy").agg(F.count(F.lit(1)).alias("n"))
     first = each.groupBy("root").agg(F.min(F.struct("doc_id", "copy", "n")).alias("first"))
     keys = cut(each.join(first, "root").select(F.col("doc_id").alias("__id"), F.col("copy").alias("__of"), (F.struct("doc_id", "copy", "n") != F.col("first")).alias("gone"), "n"), "rows", narrow=True)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import cut, small
 
-#: Rules become one conditional expression; more than this many belong into the list.
+#: So many rules become one conditional expression; more are joined by domain.
 MOST_RULES = 1000
 BLOCK_BITS, BITS_A_URL = 256, 16
 
@@ -54,8 +54,6 @@ def _fits(rule: str, own_host: Column, own_path: Column) -> Column:
 
 def rule_of(rules: list[tuple[str, str]], own_host: Column, own_path: Column) -> tuple[Column, Column]:
     """The longest fitting rule of ``(verdict, rule)`` pairs and its verdict, else nulls."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
     found, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for kind, rule in sorted(rules, key=lambda r: (-len(r[1]), r[1]), reverse=True):
         fits = _fits(rule, own_host, own_path)
@@ -63,6 +61,23 @@ def rule_of(rules: list[tuple[str, str]], own_host: Column, own_path: Column) ->
     return found, verdict
 
 
+def _by_domain(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """``pages`` (``host, path``) with ``rule`` and ``__verdict`` for any number of rules.
+
+    Each distinct host is looked up under its own name and all domains above it; what is found, the rules of these domains,
+    is joined back to the host's pages.
+    """
+    listed = pages.sparkSession.createDataFrame([(*r.partition("/")[::2], r, k) for k, r in sorted(set(rules))], "domain string, rest string, rule string, kind string")
+    by = listed.groupBy("domain").agg(F.collect_list(F.struct((-F.length("rule")).alias("size"), "rule", F.concat(F.lit("/"), "rest").alias("prefix"), "kind")).alias("rules"))
+    labels = F.split("host", r"\.", -1)
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    each = pages.select("host").distinct().select("host", F.explode(above).alias("domain"))
+    found = each.join(small(cut(by, "rules")), "domain").groupBy(F.col("host").alias("__host")).agg(F.flatten(F.collect_list("rules")).alias("__rules"))
+    out = pages.join(small(cut(found, "hosts")), F.col("host") == F.col("__host"), "left")
+    best = F.array_min(F.filter("__rules", lambda r: F.startswith(F.col("path"), r["prefix"])))
+    return out.withColumns({"rule": best["rule"], "__verdict": best["kind"]}).drop("__host", "__rules")
+
+
 def _block(key: Column, blocks: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(key), 20).bitwiseAND(F.lit(blocks - 1).cast("long"))
 
@@ -88,8 +103,11 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], listed: DataFrame) ->
         blocks *= 2
     url = F.col("url")
     own = pages.select("page_id", host(url).alias("host"), path(url).alias("path"), canonical(url).alias("__key"))
-    rule, verdict = rule_of(rules, F.col("host"), F.col("path"))
-    own = own.withColumns({"rule": rule, "__verdict": verdict})
+    if len(rules) > MOST_RULES:
+        own = _by_domain(own, rules)
+    else:
+        rule, verdict = rule_of(rules, F.col("host"), F.col("path"))
+        own = own.withColumns({"rule": rule, "__verdict": verdict})
     # URLs without a canonical form, and those that a rule decides, have no place in the filter
     open_ = F.col("__verdict").isNull() & F.col("__key").isNotNull()
     columns = ["page_id", "host", "path", "rule"]
