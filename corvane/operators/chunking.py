@@ -219,15 +219,16 @@ def parent_chunks(docs: DataFrame, key: str, text: str, stem: Column) -> DataFra
     return rows.select(key, own_id.alias("parent_id"), "idx", "content", F.map_concat("metadata", own).alias("metadata"))
 
 
-def child_chunks(parent_rows: DataFrame, size: int = config.CHILD_SIZE, overlap: int = config.CHILD_OVERLAP) -> DataFrame:
-    """``parent_id, child_idx, content, metadata`` of parents (``parent_id, content, metadata``)."""
+def child_chunks(parent_rows: DataFrame, size: int = config.CHILD_SIZE, overlap: int = config.CHILD_OVERLAP, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``parent_id, child_idx, content, metadata`` of parents (``parent_id, content, metadata``), with the columns ``keep``."""
 
     @F.arrow_udf("array<string>")
     def cut(texts: pa.Array) -> pa.Array:
         return pa.array([split_text(t, size, overlap) if t else [] for t in texts.to_pylist()], pa.list_(pa.string()))
 
     bound_batches(parent_rows.sparkSession)
-    return parent_rows.select("parent_id", "metadata", F.posexplode(cut("content")).alias("child_idx", "content")).select("parent_id", "child_idx", "content", "metadata")
+    children = parent_rows.select("parent_id", "metadata", *keep, F.posexplode(cut("content")).alias("child_idx", "content"))
+    return children.select("parent_id", *keep, "child_idx", "content", "metadata")
 
 
 def fixed_windows(docs: DataFrame, text: str, size: int = config.CHILD_SIZE, overlap: int = config.CHILD_OVERLAP) -> DataFrame:

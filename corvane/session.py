@@ -1,8 +1,8 @@
 """The engine as one object: ingestion into tables, search, parents, conversations with evaluation, latency export.
 
 Tables are Parquet under one folder that all executors share: ``documents``
-(stem, path, format, text), ``parents``, ``children``, ``registry`` (what became of
-each file), ``messages`` (conversations by thread), ``evaluations``. Each ingestion
+(stem, version, path, format, text), ``parents``, ``children``, ``versions`` (which
+version of a stem holds since when), ``tags``, ``registry`` (what became of each file), ``messages`` (conversations by thread), ``evaluations``. Each ingestion
 writes one batch folder of each, parents before children and documents last, so
 a batch that fails midway leaves documents that are tried again, and a stem
 that is there is skipped. Files are read and parsed one by one: what is missing,
@@ -31,9 +31,11 @@ from corvane.sources import parsers
 from corvane.storage import batches_of, small
 
 SCHEMAS = {
-    "documents": "stem string, path string, format string, text string, batch string",
-    "parents": "parent_id string, stem string, content string, metadata map<string,string>, batch string",
-    "children": "id long, parent_id string, child_idx int, content string, metadata map<string,string>, batch string",
+    "documents": "stem string, version int, path string, format string, text string, batch string",
+    "parents": "parent_id string, stem string, version int, content string, metadata map<string,string>, batch string",
+    "children": "id long, parent_id string, stem string, version int, child_idx int, content string, metadata map<string,string>, batch string",
+    "versions": "stem string, version int, at timestamp, batch string",
+    "tags": "stem string, tag string, value string, at timestamp, batch string",
     "registry": "path string, stem string, format string, status string, error string, at timestamp, batch string",
     "messages": "thread_id string, seq long, role string, content string, batch string",
     "evaluations": "timestamp string, question string, answer string, documents string, groundedness boolean, relevance boolean, retrieval_accuracy boolean, overall_score double, batch string",
@@ -101,6 +103,12 @@ class Engine:
     def _add(self, name: str, rows: DataFrame, batch: str) -> None:
         rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{self.root}/{name}")
 
+    def current(self, name: str) -> DataFrame:
+        """The rows of ``documents``, ``parents`` or ``children`` whose version holds."""
+        holds = self.table("versions").groupBy(F.col("stem").alias("__stem")).agg(F.max_by("version", F.struct("at", "batch")).alias("__version"))
+        rows = self.table(name)
+        return rows.join(holds, (rows["stem"] == F.col("__stem")) & (rows["version"] == F.col("__version")), "left_semi")
+
     def clear_all(self) -> None:
         """Empties all tables."""
         for name, schema in SCHEMAS.items():
@@ -114,8 +122,11 @@ class Engine:
         text = F.when(kind == "html", T.html_to_markdown(F.col("text"))).otherwise(F.col("text"))
         return self._ingest(files.select("path", kind.alias("format"), T.valid_utf8(text).alias("text"), F.lit(None).cast("string").alias("error")))
 
-    def _ingest(self, read: DataFrame) -> tuple[int, int]:
-        """``(added, skipped)`` of rows ``path, format, text, error``; each row's fate goes to the registry."""
+    def _ingest(self, read: DataFrame, update: bool = False) -> tuple[int, int]:
+        """``(added, skipped)`` of rows ``path, format, text, error``; each row's fate goes to the registry.
+
+        With ``update``, a stem that is there gets another version if its text has changed.
+        """
         batch = uuid.uuid4().hex
         with self.tracker.measure("document_ingestion"):
             staged = f"{self.root}/_staged/{batch}"
@@ -124,18 +135,22 @@ class Engine:
             rows = self.spark.read.parquet(staged)
             full = rows.filter(F.length(T.strip(F.coalesce("text", F.lit("")))) > 0)
             first = full.groupBy("stem").agg(F.min_by(F.struct("path", "format", "text"), F.struct("path", "text")).alias("d")).select("stem", "d.*")
-            new = first.join(self.table("documents").select("stem").distinct(), "stem", "left_anti")
+            there = self.table("documents").groupBy(F.col("stem").alias("__stem")).agg(F.max("version").alias("__last"))
+            held = self.current("documents").select(F.col("stem").alias("__held"), F.sha2("text", 256).alias("__sha"))
+            known = first.join(there, F.col("stem") == F.col("__stem"), "left").join(held, F.col("stem") == F.col("__held"), "left")
+            fresh = F.col("__last").isNull() | (F.lit(update) & ~F.sha2("text", 256).eqNullSafe(F.col("__sha")))
+            new = known.filter(fresh).select("stem", "path", "format", "text", (F.coalesce("__last", F.lit(0)) + 1).alias("version"))
             new.write.parquet(f"{staged}-new")
             new = self.spark.read.parquet(f"{staged}-new")
-            keyed = new.withColumn("key", F.xxhash64("stem"))
             with self.tracker.measure("document_chunking"):
-                parents = chunking.parent_chunks(keyed, "key", "text", F.col("stem"))
-                self._add("parents", parents.select("parent_id", F.regexp_replace("parent_id", r"_parent_\d+$", "").alias("stem"), "content", "metadata"), batch)
+                parents = chunking.parent_chunks(new, "version", "text", F.col("stem"))
+                self._add("parents", parents.select("parent_id", F.regexp_replace("parent_id", r"_parent_\d+$", "").alias("stem"), F.col("version").cast("int").alias("version"), "content", "metadata"), batch)
             own = self.table("parents").filter(F.col("batch") == batch)
             with self.tracker.measure("vector_insertion"):
-                children = chunking.child_chunks(own)
-                self._add("children", children.select(F.xxhash64("parent_id", "child_idx").alias("id"), "parent_id", "child_idx", "content", "metadata"), batch)
-            self._add("documents", new.select("stem", "path", "format", "text"), batch)
+                children = chunking.child_chunks(own, keep=("stem", "version"))
+                self._add("children", children.select(F.xxhash64("parent_id", "child_idx").alias("id"), "parent_id", "stem", "version", "child_idx", "content", "metadata"), batch)
+            self._add("documents", new.select("stem", "version", "path", "format", "text"), batch)
+            self._add("versions", new.select("stem", "version", F.current_timestamp().alias("at")), batch)
             taken = new.select(F.col("stem").alias("__stem"), F.col("path").alias("__path"))
             empty = F.length(T.strip(F.coalesce("text", F.lit("")))) == 0
             status = F.when(F.col("error").isNotNull(), "failed").when(empty, "empty").when(F.col("__path").isNotNull(), "added").otherwise("exists")
@@ -149,6 +164,37 @@ class Engine:
         paths = [p for p in ([paths] if isinstance(paths, str) else paths) if p and self._exists(p)]
         return self._ingest(self._files(paths)) if paths else (0, 0)
 
+    def update_documents(self, paths: str | list[str]) -> tuple[int, int]:
+        """Like ``add_documents``, but a stem whose text has changed gets another version, which holds from now on."""
+        paths = [p for p in ([paths] if isinstance(paths, str) else paths) if p and self._exists(p)]
+        return self._ingest(self._files(paths), update=True) if paths else (0, 0)
+
+    def rollback(self, stem: str, version: int) -> None:
+        """Lets an earlier version of a document, with its chunks, hold again."""
+        if not self.table("documents").filter((F.col("stem") == stem) & (F.col("version") == version)).limit(1).count():
+            raise KeyError(f"no version {version} of {stem}")
+        row = self.spark.createDataFrame([(stem, version)], "stem string, version int").withColumn("at", F.current_timestamp())
+        self._add("versions", row, uuid.uuid4().hex)
+
+    def history(self, stem: str) -> DataFrame:
+        """``version, at``: which versions of a document held from when on."""
+        return self.table("versions").filter(F.col("stem") == stem).select("version", "at").orderBy("at")
+
+    def tag(self, stem: str, **tags: str) -> None:
+        """Adds tags to a document; a tag's last value counts."""
+        rows = self.spark.createDataFrame([(stem, t, str(v)) for t, v in tags.items()], "stem string, tag string, value string")
+        self._add("tags", rows.withColumn("at", F.current_timestamp()), uuid.uuid4().hex)
+
+    def find(self, format: str | None = None, **tags: str) -> DataFrame:
+        """``stem, version, path, format, n_chars, tags`` of documents of a format and with all of these tags."""
+        last = self.table("tags").groupBy("stem", "tag").agg(F.max_by("value", F.struct("at", "batch")).alias("value"))
+        by = last.groupBy(F.col("stem").alias("__stem")).agg(F.map_from_entries(F.collect_list(F.struct("tag", "value"))).alias("tags"))
+        rows = self.current("documents").join(by, F.col("stem") == F.col("__stem"), "left")
+        for t, v in tags.items():
+            rows = rows.filter(F.col("tags")[t] == str(v))
+        rows = rows if format is None else rows.filter(F.col("format") == format)
+        return rows.select("stem", "version", "path", "format", F.length("text").alias("n_chars"), "tags")
+
     def add_directory(self, path: str, recursive: bool = True) -> tuple[int, int, dict[str, Any]]:
         """``(added, skipped, statistics)``: files by format and by status, and the files that failed."""
         if not self._exists(path):
@@ -185,7 +231,7 @@ class Engine:
         return self.table("documents").select("stem").distinct().orderBy("stem")
 
     def statistics(self) -> DataFrame:
-        return self.table("documents").groupBy("format").agg(F.count(F.lit(1)).alias("n_documents"), F.sum(F.length("text")).alias("n_chars"))
+        return self.current("documents").groupBy("format").agg(F.count(F.lit(1)).alias("n_documents"), F.sum(F.length("text")).alias("n_chars"))
 
     def registry(self) -> DataFrame:
         """The last status of each path, with how often it was met and how often it failed."""
@@ -198,7 +244,7 @@ class Engine:
     def search(self, question: str, k: int = 3, score_threshold: float = config.SCORE_THRESHOLD, threshold_stage: str = "fused") -> DataFrame:
         """``rank, score, parent_id, source, content`` of the best children."""
         with self.tracker.measure("vector_retrieval", {"k": k, "score_threshold": score_threshold}):
-            units = self.table("children").select("id", "parent_id", F.col("metadata")["source"].alias("source"), "content")
+            units = self.current("children").select("id", "parent_id", F.col("metadata")["source"].alias("source"), "content")
             asked = self.spark.createDataFrame([(0, question)], "qid long, text string")
             found = retrieval.hybrid(units.select("id", F.col("content").alias("text")), asked, k, score_threshold, threshold_stage=threshold_stage)
             best = self.spark.createDataFrame(found.select("id", "rank", "score").collect(), "id long, rank int, score double")  # at most k rows
@@ -217,7 +263,7 @@ class Engine:
         asked = self.spark.createDataFrame([(i,) for i in ids], "asked string").select(D.parent_key(F.col("asked")).alias("parent_id"))
         with self.tracker.measure("parent_store_operations"):
             wanted = retrieval.parents_sorted(asked)
-            found = self.table("parents").join(small(wanted), "parent_id").orderBy("sort_key", "parent_id").collect()
+            found = self.current("parents").join(small(wanted), "parent_id").orderBy("sort_key", "parent_id").collect()
         if missing := {r["parent_id"] for r in wanted.collect()} - {r["parent_id"] for r in found}:
             raise KeyError(f"no parent {min(missing)}")
         return [{"content": r["content"], "parent_id": r["parent_id"], "metadata": r["metadata"]} for r in found]
@@ -262,8 +308,8 @@ class Engine:
         self._say(("user", question))
         said = self.messages().select(F.lit(0).alias("conv_id"), F.col("seq").alias("turn"), "role", F.col("content").alias("text"))
         asked = self.spark.createDataFrame([(0, question)], "key long, query string").join(dialogue.history_window(said), F.col("key") == F.col("conv_id"), "left").select("key", "query", "history")
-        units = self.table("children").select("id", "parent_id", F.col("content").alias("text"))
-        parents = self.table("parents").select("parent_id", "content")
+        units = self.current("children").select("id", "parent_id", F.col("content").alias("text"))
+        parents = self.current("parents").select("parent_id", "content")
         found = dialogue.answer_all(asked, units, parents, k, self.analysis, self.answer, threshold_stage).first()
         if found["status"] == "answered":  # a clear query ends what was said before
             self._say(("cleared", ""), ("assistant", found["text"]))

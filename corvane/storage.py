@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 #: Bytes of rows that may be broadcast.
 BROADCAST_BYTES = 16 << 20
+#: Tables that ``cut`` wrote, by application.
+_written: dict[str, list[str]] = {}
 #: Temporary folders of local sessions that name no folder, by application.
 _local: dict[str, str] = {}
 
@@ -30,6 +32,15 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def sweep(spark: SparkSession) -> int:
+    """Deletes the tables that this application has written by ``cut``, when the results made of them are done with; tells how many."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        own = spark._jvm.org.apache.hadoop.fs.Path(path)
+        own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
+    return len(paths)
+
+
 def _bytes(field: T.StructField) -> Column:
     """About what a value takes in memory."""
     c, kind = F.col(f"`{field.name}`"), field.dataType
@@ -63,6 +74,7 @@ def cut(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
     if narrow:
         df = df.repartition(2 * spark.sparkContext.defaultParallelism)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -128,3 +128,32 @@ def test_conversation(spark, tmp_path):
     assert other.messages().count() == 2
     engine.answer = lambda question, content: 1 / 0
     assert engine.chat("Is gold a soft metal?").startswith("Error: ")
+
+
+def test_versions_and_tags(spark, tmp_path):
+    (tmp_path / "a.md").write_text("Iron rusts in rain.")
+    (tmp_path / "b.txt").write_text("Tin is light.")
+    engine = Engine(spark, str(tmp_path / "tables"))
+    both = [str(tmp_path / "a.md"), str(tmp_path / "b.txt")]
+    assert engine.add_documents(both) == (2, 0)
+    (tmp_path / "a.md").write_text("Iron melts in fire.")
+    assert engine.add_documents(both) == (0, 2) and engine.update_documents(both) == (1, 1) and engine.update_documents(both) == (0, 2)
+    shown = lambda: [r["content"] for r in engine.search("iron", threshold_stage="none").collect()]
+    assert shown() == ["Iron melts in fire."]
+    engine.rollback("a", 1)
+    assert shown() == ["Iron rusts in rain."] and engine.load_parents(["a_parent_0"])[0]["content"] == "Iron rusts in rain."
+    assert [r["version"] for r in engine.history("a").collect()] == [1, 2, 1]
+    assert engine.update_documents(both) == (1, 1) and shown() == ["Iron melts in fire."]
+    with pytest.raises(KeyError):
+        engine.rollback("a", 9)
+    engine.tag("a", topic="metal", year="1")
+    engine.tag("a", year="2")
+    assert [(r["stem"], r["version"], r["tags"]) for r in engine.find(topic="metal").collect()] == [("a", 3, {"topic": "metal", "year": "2"})]
+    assert engine.find(year="1").count() == 0 and [r["stem"] for r in engine.find(format="text").collect()] == ["b"]
+
+
+def test_sweep(spark):
+    from corvane import storage
+
+    kept = storage.cut(spark.range(3), "swept")
+    assert kept.count() == 3 and storage.sweep(spark) >= 1 and storage.sweep(spark) == 0
