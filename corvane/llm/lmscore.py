@@ -4,7 +4,8 @@ Both models are bigram models over the same words (all words of the corpus),
 with the same smoothing by their unigram models and the same tokens; one is
 counted over target documents, the other over all documents. A document's score
 is the mean, over its tokens, of target loss minus background loss, in nats: the
-lower, the nearer to the target.
+lower, the nearer to the target. No document is scored by counts of its own: they
+are taken off each model that counted it before its losses are formed.
 
 All documents and all words are counted; nothing that grows with the corpus is
 collected or broadcast. Documents are cut into chunks of about ``CHUNK_TOKENS``
@@ -16,7 +17,7 @@ that has it, however common it is. The partitions grow in number with what is
 sent. Words and pairs are told apart by 64-bit hashes.
 
 Defined results: a null or empty text has no tokens, null losses and a null
-score; repeated rows count as rows; without target documents both models are
+score; repeated rows count as rows, so a row's copies stay counted when it is scored; without target documents both models are
 the background, and every score is 0.
 """
 
@@ -189,10 +190,16 @@ def _answered(sent: DataFrame) -> DataFrame:
     return sent.mapInArrow(each, schema)
 
 
-def _loss(word: np.ndarray, context: np.ndarray, pair: np.ndarray, c: _Chunk, tokens: int, words: int) -> np.ndarray:
-    """``-log p(word | context)`` of each token: bigram counts smoothed by the unigram model, that by half a count for each word."""
-    unigram = (word[c.stream] + 0.5) / (tokens + 0.5 * words)
-    return -np.log((pair[c.pair] + PRIOR * unigram) / (context[c.context] + PRIOR))
+def _own(own: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
+    """Of each token, how often its document has what stands at its place."""
+    _, at, count = np.unique(own * n + places, return_inverse=True, return_counts=True)
+    return count[at]
+
+
+def _loss(word: np.ndarray, context: np.ndarray, pair: np.ndarray, tokens: np.ndarray, words: int) -> np.ndarray:
+    """``-log p(word | context)`` of each token from its counts: bigrams smoothed by the unigram model, that by half a count for each word."""
+    unigram = (word + 0.5) / (tokens + 0.5 * words)
+    return -np.log((pair + PRIOR * unigram) / (context + PRIOR))
 
 
 RESULT = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
@@ -229,14 +236,19 @@ def _scored(chunks: DataFrame, answers: DataFrame, n_chunks: int, words: int, to
                 c = _Chunk(row["sizes"], row["words"], row["stream"])
                 u, u_target, x, x_target, p, p_target = (np.concatenate(k) if k else np.zeros(0) for kind in (0, 1) for k in (zip(*got[kind], strict=True) if got[kind] else [()] * _COLUMNS[kind]))
                 got = ([], [])
-                background = _loss(u, x, p, c, tokens, words)
-                target = _loss(u_target, x_target, p_target, c, target_tokens, words) if target_tokens else background
                 own = np.repeat(np.arange(len(c.sizes)), c.sizes)
+                counted = np.repeat(np.frombuffer(row["marks"], bool), c.sizes)
+                places = (c.stream, c.context, c.pair)
+                minus = [*(_own(own, at, n) for at, n in zip(places, (len(c.words), len(c.words), len(c.pairs)), strict=True)), c.sizes[own]]
+                background = _loss(*(k[at] - m for k, at, m in zip((u, x, p), places, minus, strict=False)), tokens - minus[3], words)
+                target = background
+                if target_tokens:
+                    target = _loss(*(k[at] - m * counted for k, at, m in zip((u_target, x_target, p_target), places, minus, strict=False)), target_tokens - minus[3] * counted, words)
                 means = [np.bincount(own, weights=t, minlength=len(c.sizes)) / np.maximum(c.sizes, 1) for t in (target, background)]
                 columns = [pa.array(m, pa.float64(), mask=c.sizes == 0) for m in (*means, means[0] - means[1])]
                 yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(c.sizes), *columns], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
             pa.default_memory_pool().release_unused()
 
-    rows = answers.select("chunk", "kind", "part", "counts").unionByName(chunks.select("chunk", F.lit(2).alias("kind"), "ids", "sizes", "words", "stream"), allowMissingColumns=True)
+    rows = answers.select("chunk", "kind", "part", "counts").unionByName(chunks.select("chunk", F.lit(2).alias("kind"), "ids", "marks", "sizes", "words", "stream"), allowMissingColumns=True)
     by_chunk = rows.repartition(max(1, min(n_chunks, 2 * chunks.sparkSession.sparkContext.defaultParallelism), n_chunks // 16), "chunk").sortWithinPartitions("chunk", "kind", "part")
     return by_chunk.mapInArrow(each, RESULT)

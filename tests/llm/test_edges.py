@@ -70,7 +70,7 @@ def test_all_rows_come_back(docs, clashing, none, labels, name):
         assert len(own) == len(ROWS)
     assert sorted(map(repr, op(clashing, labels).collect())) == own
     assert op(none, labels).count() == 0
-    assert sorted(map(repr, op(docs, labels.limit(0)).collect())) is not None
+    assert op(docs, labels.limit(0)).count() == len(own)
 
 
 def test_toxic_without_labels(docs, labels):
