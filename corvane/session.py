@@ -109,6 +109,25 @@ class Engine:
         rows = self.table(name)
         return rows.join(holds, (rows["stem"] == F.col("__stem")) & (rows["version"] == F.col("__version")), "left_semi")
 
+    def create_collection(self) -> None:
+        """Makes the table of children, empty, if it isn't there."""
+        if not self._exists(f"{self.root}/children"):
+            self.spark.createDataFrame([], SCHEMAS["children"]).write.parquet(f"{self.root}/children")
+
+    def delete_collection(self) -> None:
+        """Empties the table of children; documents and parents stay."""
+        self.spark.createDataFrame([], SCHEMAS["children"]).write.mode("overwrite").parquet(f"{self.root}/children")
+
+    def rebuild_collection(self) -> None:
+        """Makes all children anew from the parents; their ids are what they were."""
+        self.delete_collection()
+        self._add("children", self._children(self.table("parents")), uuid.uuid4().hex)
+
+    @staticmethod
+    def _children(parents: DataFrame) -> DataFrame:
+        made = chunking.child_chunks(parents, keep=("stem", "version"))
+        return made.select(F.xxhash64("parent_id", "child_idx").alias("id"), "parent_id", "stem", "version", "child_idx", "content", "metadata")
+
     def clear_all(self) -> None:
         """Empties all tables."""
         for name, schema in SCHEMAS.items():
@@ -147,8 +166,7 @@ class Engine:
                 self._add("parents", parents.select("parent_id", F.regexp_replace("parent_id", r"_parent_\d+$", "").alias("stem"), F.col("version").cast("int").alias("version"), "content", "metadata"), batch)
             own = self.table("parents").filter(F.col("batch") == batch)
             with self.tracker.measure("vector_insertion"):
-                children = chunking.child_chunks(own, keep=("stem", "version"))
-                self._add("children", children.select(F.xxhash64("parent_id", "child_idx").alias("id"), "parent_id", "stem", "version", "child_idx", "content", "metadata"), batch)
+                self._add("children", self._children(own), batch)
             self._add("documents", new.select("stem", "version", "path", "format", "text"), batch)
             self._add("versions", new.select("stem", "version", F.current_timestamp().alias("at")), batch)
             taken = new.select(F.col("stem").alias("__stem"), F.col("path").alias("__path"))

@@ -75,9 +75,16 @@ def test_engine(spark, tmp_path):
     added, skipped, found = engine.add_directory(str(src))
     assert (added, skipped) == (5, 3) and found["by_status"] == {"added": 5, "failed": 2, "empty": 1}
     assert sorted(p.rsplit("/", 1)[1] for p, _ in found["errors"]) == ["broken.pdf", "data.bin"]
-    before = sorted(map(repr, engine.table("children").collect()))
+    once = engine.table("children").collect()
+    before = sorted(map(repr, once))
     assert engine.add_directory(str(src))[:2] == (0, 8)
     assert sorted(map(repr, engine.table("children").collect())) == before
+    engine.create_collection()
+    engine.rebuild_collection()
+    assert sorted(repr(r[:-1]) for r in engine.table("children").collect()) == sorted(repr(r[:-1]) for r in once)
+    engine.delete_collection()
+    assert engine.search_child_chunks("river") == "NO_RELEVANT_CHUNKS" and engine.documents().count() == 5
+    engine.rebuild_collection()
     assert engine.add_documents([]) == (0, 0) and engine.add_documents([str(src / "rivers.md"), str(src / "nowhere.md")]) == (0, 1)
     assert engine.add_documents(str(src / "nowhere.md")) == (0, 0) and engine.add_directory(str(src / "nowhere"))[:2] == (0, 0)
     assert engine.add_web_page("http://a.b/wine", "<p>Wine is made of grapes.</p>") == (True, "added")
