@@ -285,8 +285,9 @@ def _classes(docs: DataFrame, at_least: float, sketched: bool = True) -> DataFra
     if more.limit(1).count():
         labels = components(edges.unionByName(more))
     linked = cut(labels.select(F.col("node").alias("rep"), "root").join(reps.select("rep", "doc_id"), "rep"), "linked", narrow=True)
-    names = linked.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    named = reps.select("rep", "doc_id").join(small(linked.select("rep", "root")), "rep", "left").join(small(names), "root", "left")
+    names = cut(linked.groupBy("root").agg(F.min("doc_id").alias("class_id")), "names", narrow=True)
+    members = cut(linked.select("rep", "root").join(small(names), "root"), "members", narrow=True)  # only texts with near-duplicates
+    named = reps.select("rep", "doc_id").join(small(members), "rep", "left")
     named = named.select(F.col("rep").alias("copy"), F.coalesce("root", "rep").alias("root"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
     return rows.select("doc_id", "copy").join(named, "copy").select("doc_id", "copy", "root", "class_id")
 
@@ -369,9 +370,9 @@ def deduplicated(docs: DataFrame, at_least: float = SIMILARITY, sketched: bool =
     """
     with batches_of(docs.sparkSession, BATCH):
         found = cut(_classes(docs, at_least, sketched), "classes", narrow=True).filter("doc_id IS NOT NULL")
-    each = found.groupBy("root", "doc_id", "copy").agg(F.count(F.lit(1)).alias("n"))
-    first = each.groupBy("root").agg(F.min(F.struct("doc_id", "copy", "n")).alias("first"))
-    keys = cut(each.join(first, "root").select(F.col("doc_id").alias("__id"), F.col("copy").alias("__of"), (F.struct("doc_id", "copy", "n") != F.col("first")).alias("gone"), "n"), "rows", narrow=True)
+    each = cut(found.groupBy("root", "doc_id", "copy").agg(F.count(F.lit(1)).alias("n")), "each", narrow=True)
+    first = cut(each.groupBy("root").agg(F.min(F.struct("doc_id", "copy", "n")).alias("first")), "first", narrow=True)
+    keys = cut(each.join(small(first), "root").select(F.col("doc_id").alias("__id"), F.col("copy").alias("__of"), (F.struct("doc_id", "copy", "n") != F.col("first")).alias("gone"), "n"), "rows", narrow=True)
     gone, twice = (keys.filter(c).select("__id", "__of") for c in ("gone", "NOT gone AND n > 1"))
     bound_batches(docs.sparkSession, BATCH)
     out = docs.withColumn("__copy", _copies(plain(F.col("text"))))
