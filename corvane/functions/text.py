@@ -42,16 +42,19 @@ def valid_utf8(text: Column) -> Column:
 
 def numbered(text: Column) -> Column:
     """Decodes numeric character references, decimal and hexadecimal; those that name no character stay."""
-    parts = F.split(text, "&#", -1)
 
     def decoded(part: Column) -> Column:
         code = F.regexp_extract(part, r"^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", 1)
         value = F.when(F.lower(code).startswith("x"), F.conv(F.substring(code, 2, 6), 16, 10)).otherwise(code).try_cast("int")
-        valid = ((value > 0) & (value < 0xD800)) | ((value > 0xDFFF) & (value <= 0x10FFFF))
+        valid = ((value >= 32) & (value < 0xD800)) | ((value > 0xDFFF) & (value <= 0x10FFFF)) | value.isin(9, 10, 13)
         char = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, value).otherwise(32)), 8, "0")), "UTF-32")
         return F.when(valid, F.concat(char, F.substring(part, F.length(code) + 2, F.length(part)))).otherwise(F.concat(F.lit("&#"), part))
 
-    return F.when(F.contains(text, F.lit("&#")), F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(decoded(p))), "")).otherwise(text)
+    def built(t: Column) -> Column:
+        parts = F.transform(F.split(t, "&#", -1), lambda p, i: F.when(i == 0, p).otherwise(decoded(p)))
+        return F.when(F.contains(t, F.lit("&#")), F.array_join(parts, "")).otherwise(t)
+
+    return F.get(F.transform(F.array(text), built), F.lit(0))  # the text, which may be costly, is made once
 
 
 # What of a page is never shown, and its tags.
@@ -82,16 +85,25 @@ def html_to_markdown(html: Column) -> Column:
     text = F.regexp_replace(F.translate(F.coalesce(html, F.lit("")), "\x01\x02\x03", "   "), HIDDEN, " ")
     for pattern, mark in ((r"(?i)<p(?:\s[^>]*)?>", "\x01"), (r"(?i)<h1(?:\s[^>]*)?>", "\x02"), (r"(?i)</h1\s*>", "\x03"), (TAG, " ")):
         text = F.regexp_replace(text, pattern, mark)
-    line = lambda c: F.regexp_replace(F.trim(F.regexp_replace(F.translate(_decoded(c), "\x02\x03", "  "), r"\s+", " ")), "^(#|```|~~~)", r"\\$1")
-    parts = F.split(text, "\x01", -1)
-    head = F.get(parts, F.lit(0))
-    title = F.regexp_extract(head, r"(?s)\x02([^\x03]*)\x03", 1)
-    has_title = F.regexp_like(head, F.lit(r"(?s)\x02[^\x03]*\x03"))
-    before = line(F.when(has_title, F.regexp_extract(head, r"(?s)^([^\x02]*)\x02", 1)).otherwise(head))
-    after = F.when(has_title, line(F.regexp_extract(head, r"(?s)\x02[^\x03]*\x03(.*)$", 1))).otherwise("")
-    heading = F.when(has_title, F.concat(F.lit("\n\n# "), F.trim(F.regexp_replace(_decoded(title), r"\s+", " ")), F.lit("\n"))).otherwise("")
-    rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p, i: F.concat(F.lit("\n\n## Part "), (i + 1).cast("string"), F.lit("\n"), line(p)))
-    return F.concat(before, heading, after, F.array_join(rest, ""))
+    text = F.regexp_replace(_decoded(text), r"\s+", " ")  # once for the whole page; no reference gives a mark
+
+    def line(part: Column) -> Column:
+        marked = F.contains(part, F.lit("\x02")) | F.contains(part, F.lit("\x03"))
+        plain = F.trim(F.when(marked, F.regexp_replace(F.translate(part, "\x02\x03", "  "), " +", " ")).otherwise(part))
+        return F.when(plain.startswith("#") | plain.startswith("```") | plain.startswith("~~~"), F.concat(F.lit("\\"), plain)).otherwise(plain)
+
+    def built(parts: Column) -> Column:
+        head = F.get(parts, F.lit(0))
+        title = F.regexp_extract(head, r"\x02([^\x03]*)\x03", 1)
+        has_title = F.regexp_like(head, F.lit(r"\x02[^\x03]*\x03"))
+        before = line(F.when(has_title, F.regexp_extract(head, r"^([^\x02]*)\x02", 1)).otherwise(head))
+        after = F.when(has_title, line(F.regexp_extract(head, r"\x02[^\x03]*\x03(.*)$", 1))).otherwise("")
+        heading = F.when(has_title, F.concat(F.lit("\n\n# "), F.trim(title), F.lit("\n"))).otherwise("")
+        rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p, i: F.concat(F.lit("\n\n## Part "), (i + 1).cast("string"), F.lit("\n"), line(p)))
+        return F.concat(before, heading, after, F.array_join(rest, ""))
+
+    # the page is taken apart once, whatever is made of its parts
+    return F.get(F.transform(F.array(F.split(text, "\x01", -1)), built), F.lit(0))
 
 
 def suffix_number(parent_id: Column) -> Column:
