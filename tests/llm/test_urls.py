@@ -47,6 +47,8 @@ def test_longest_rule_wins(spark):
     assert df.filter(~(rule.eqNullSafe(F.col("rule")) & verdict.eqNullSafe(F.col("verdict")))).count() == 0
 
 
-def test_too_many_rules(spark):
-    with pytest.raises(ValueError):
-        U.rule_of([("block", f"h{i}/") for i in range(1001)], F.lit(""), F.lit(""))
+def test_more_rules_than_one_expression_holds(spark):
+    rules = [("block", f"h{i}.org/") for i in range(U.MOST_RULES + 1)] + [("allow", "www.h5.org/")]
+    pages = spark.createDataFrame([(1, "http://h5.org/a"), (2, "http://www.h5.org/a"), (3, "http://h5000.org/"), (4, None)], "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in U.judge(pages, rules, spark.createDataFrame([], "url string")).collect()}
+    assert got == {1: ("h5.org/", "block"), 2: ("www.h5.org/", "allow"), 3: (None, "allow"), 4: (None, "allow")}
