@@ -14,6 +14,11 @@ from corvane.operators import retrieval as R
 WORDS = [f"w{i}" for i in range(60)]
 
 
+def test_nothing_in_common(spark):
+    units = spark.createDataFrame([(1, "a b"), (2, "")], "id long, text string").repartition(2, "id")
+    assert R.candidates(units, spark.createDataFrame([(1, "x y"), (2, "")], "qid long, text string"), 3).filter("kind = 'sparse'").count() == 0
+
+
 def brute(units, queries, k):
     out = set()
     for qid, q in queries:
