@@ -141,6 +141,8 @@ class Block:
 
     def probe(self, s: int, value: int, radius: int) -> np.ndarray:
         """Rows whose substring ``s`` differs from ``value`` in at most ``radius`` bits; where these are more values than there are rows, rows are looked through."""
+        if not radius:
+            return self.order[s][self.bounds[s][value] : self.bounds[s][value + 1]]
         if _WITHIN[min(radius, SUBSTRING)] > self.n:
             return np.flatnonzero(np.bitwise_count(self.parts[s] ^ np.uint16(value)) <= radius)
         values = _BY_DISTANCE[: _WITHIN[min(radius, SUBSTRING)]] ^ np.uint16(value)
@@ -187,8 +189,8 @@ def search_block(index_ids: np.ndarray, index: np.ndarray, query_ids: np.ndarray
     block, query_codes = Block(codes.encode(index)), codes.encode(queries, True)
     scale = lengths(queries) * codes.longest
     radii = codes.radius(floor / scale)
-    # from the smallest radius that was measured on, doubled while it stays below half the query's own
-    first = max(1, int(codes.radii[-1])) << np.arange(10)
+    # from the smallest radius that was measured on, four times as far while that stays below half the query's own
+    first = max(1, int(codes.radii[-1])) << np.arange(0, 10, 2)
     found: list[tuple[np.ndarray, ...]] = []
     for q, x, code, size, radius, bound in zip(query_ids, queries, query_codes, scale, radii, floor, strict=True):
         steps = [*first[2 * first <= radius].tolist(), int(radius)]
