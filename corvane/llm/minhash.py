@@ -31,6 +31,8 @@ rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,7 +88,7 @@ def elements(words: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     """Of all texts: text number, hash and count of each distinct run of five words, ordered by text and hash."""
     sizes = np.array([len(w) for w in words], np.int64)
     n = int(sizes.sum())
-    h = np.fromiter((x for w in words for x in map(_hashes.__getitem__, w)), np.uint64, n)
+    h = np.fromiter(map(_hashes.__getitem__, itertools.chain.from_iterable(words)), np.uint64, n)
     own = np.repeat(np.arange(len(words)), sizes)
     if n < WORDS:
         return own[:0], h[:0], own[:0]
@@ -179,10 +181,10 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def _words(texts: list[str | None]) -> list[list[str]]:
     """Runs without ASCII white space."""
-    return [[x for x in (t or "").translate(_BLANKS).split(" ") if x] for t in texts]
+    return [list(filter(None, _BLANK.sub(" ", t or "").split(" "))) for t in texts]
 
 
-_BLANKS = {c: " " for c in range(9, 14)}
+_BLANK = re.compile(r"[\t-\r]")
 
 
 def _copy(words: list[str]) -> int:
