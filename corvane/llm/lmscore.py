@@ -215,7 +215,8 @@ def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     n_chunks, n = chunks.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     partitions = max(1, min(FEW_PARTITIONS, n // LEAST_ENTRIES), n // MOST_ENTRIES)
     with batches_of(spark, CHUNKS_AT_ONCE):
-        sent = _sent(chunks, partitions).repartition(partitions, "part")
+        # each part has a partition of its own; by a hash of its number some would hold several at once
+        sent = _sent(chunks, partitions).repartitionById(partitions, F.col("part").cast("int"))
         answers = cut(_answered(sent), "answers")
     # the 1 is the class of words that the corpus doesn't have
     words, tokens, target_tokens = (x or 0 for x in answers.filter("chunk IS NULL").agg(F.sum("distinct"), F.sum("tokens"), F.sum("target_tokens")).first())
