@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import ann, lmscore, minhash, packing, pieces, pii, quality, toxicity, urlfilter, warc
+from corvane.llm import ann, hardneg, lmscore, minhash, packing, pieces, pii, quality, spelling, toxicity, urlfilter, warc
 from corvane.llm.common import table
 
 # The rules of the URL query.
@@ -62,8 +62,17 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_ann, op2_url_filter, op3_lm_score, op4_pii, op5_packing, op6_minhash, op7_toxicity, op8_warc, op9_sentencepiece, op10_host_rules)
+    own = (op1_ann, op2_url_filter, op3_lm_score, op4_pii, op5_packing, op6_minhash, op7_toxicity, op8_warc, op9_sentencepiece, op10_host_rules, op11_hard_negatives, op12_spelling)
     return {f.__name__: f for f in own}
 
 
