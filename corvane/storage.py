@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 #: Bytes of rows that may be broadcast.
 BROADCAST_BYTES = 16 << 20
-#: Tables that ``cut`` wrote, by application.
+#: Tables and files written to be read by later steps only, by application.
 _written: dict[str, list[str]] = {}
 #: Temporary folders of local sessions that name no folder, by application.
 _local: dict[str, str] = {}
@@ -32,8 +32,15 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing is at yet, and that ``sweep`` deletes."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def sweep(spark: SparkSession) -> int:
-    """Deletes the tables that this application has written by ``cut``, when the results made of them are done with; tells how many."""
+    """Deletes what this application has written at paths of ``scratch`` and ``cut``, when the results made of them are done with; tells how many."""
     paths = _written.pop(spark.sparkContext.applicationId, [])
     for path in paths:
         own = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -73,8 +80,7 @@ def cut(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
     spark = df.sparkSession
     if narrow:
         df = df.repartition(2 * spark.sparkContext.defaultParallelism)
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    path = scratch(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
