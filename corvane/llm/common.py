@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from corvane.functions.text import valid_utf8
-from corvane.storage import BATCH_ROWS, BROADCAST_BYTES, batches_of, bound_batches, cut, shared_dir, small
+from corvane.storage import BATCH_ROWS, BROADCAST_BYTES, batches_of, bound_batches, cut, scratch, small
 
-__all__ = ["BATCH_ROWS", "BROADCAST_BYTES", "batches_of", "bound_batches", "cut", "plain", "shared_dir", "small", "table"]
+__all__ = ["BATCH_ROWS", "BROADCAST_BYTES", "batches_of", "bound_batches", "cut", "plain", "scratch", "small", "table"]
 
 
 def plain(text: Column) -> Column:

@@ -35,8 +35,8 @@ CAPACITY = 4096
 END_ID = 2
 #: Documents in a randomised group, on average.
 GROUP_ROWS = 2048
-#: Words of other alphabets whose ids a worker keeps; beyond it the table is begun anew.
-CACHE_WORDS = 50_000
+#: Words whose ids a worker keeps, of each kind; beyond it the table is begun anew.
+CACHE_WORDS = 300_000
 # Fixed value: how a token that ends a word is marked in the vocabulary.
 WORD_END = "</w>"
 #: Longer words are merged by the vocabulary's own library, whose time grows less with their length.
@@ -47,8 +47,8 @@ SLICE = 128
 # The vocabulary's pre-tokenizer for lower-case Latin-1 text, where its classes are these characters.
 _LETTER, _NUMBER, _SPACE = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", " \t\n\x0b\x0c\r"
 _PIECES = re.compile(f"[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+").findall
-#: Characters that aren't Latin-1, or are control characters or rare spaces.
-_OTHER = re.compile(r"[^\t-\r -~\xa1-\xff]").search
+#: Latin-1 characters but control characters and rare spaces.
+_PLAIN = bytes(b for b in range(256) if 9 <= b <= 13 or 32 <= b <= 126 or b >= 161)
 #: How special tokens begin.
 _SPECIAL = "<|"
 
@@ -56,15 +56,19 @@ _cached: dict[str, tuple] = {}
 
 
 def _is_other(word: str) -> bool:
-    return _OTHER(word) is not None or _SPECIAL in word
+    try:
+        return bool(word.encode("latin-1").translate(None, _PLAIN)) or _SPECIAL in word
+    except UnicodeEncodeError:
+        return True
 
 
 class WordIds:
     """Ids of whole texts by a tokenizer whose tokens never reach over a space or line end.
 
     Both characters are white space that the vocabulary's pre-tokenizer drops, so a text may be cut there. What is
-    Latin-1, where lower case and composed forms are plain, is cut into words by one pattern and merged by rank with
-    another library's core; words with other characters are left to the vocabulary's own library.
+    Latin-1, where lower case and composed forms are plain, is cut into words at white space; their ids are kept, and
+    those of new words are found together, by cutting them with one pattern and merging by rank with
+    another library's core. Words with other characters are left to the vocabulary's own library.
     """
 
     def __init__(self, path: str):
@@ -74,24 +78,31 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.latin = LatinWords(json.loads(self.tokenizer.to_str())["model"])
         self.words: dict[str, bytes] = {}
+        self.plain: dict[str, bytes] = {}
 
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, with the end id."""
         tail = np.uint32(end_id).astype("<u4").tobytes()
         parts = [[(False, t)] if not _is_other(t) else [(k, " ".join(g)) for k, g in itertools.groupby(t.replace("\n", " ").split(" "), _is_other)] for t in texts]
         self._learn({w for p in parts for other, run in p if other for w in run.split(" ") if len(w) <= LONGEST} - self.words.keys())
-        return [b"".join([*(b"".join(map(self._other, run.split(" "))) if other else self._latin(run) for other, run in p), tail]) for p in parts]
+        cut = [[(other, run.split(" ") if other else run.lower().split()) for other, run in p] for p in parts]
+        if len(self.plain) > CACHE_WORDS:
+            self.plain = {}
+        long = self._learn_plain(set().union(*(ws for p in cut for other, ws in p if not other)).difference(self.plain))
+        latin = self.plain.__getitem__ if not long else lambda w: long[w] if w in long else self.plain[w]
+        return [b"".join([*(b"".join(map(self._other if other else latin, ws)) for other, ws in p), tail]) for p in cut]
 
     def _other(self, word: str) -> bytes:
         return self.words[word] if len(word) <= LONGEST else self._library(word)
 
-    def _latin(self, text: str) -> bytes:
-        words = _PIECES(text.lower())
-        if not words:
-            return b""
-        if max(map(len, words)) <= LONGEST:
-            return self.latin.encode(words)
-        runs = itertools.groupby(words, lambda w: len(w) > LONGEST)
+    def _learn_plain(self, new: set[str]) -> dict[str, bytes]:
+        """Adds the ids of Latin-1 words; gives those of long words, which aren't kept."""
+        short = [w for w in new if len(w) <= LONGEST]
+        self.plain.update(zip(short, self.latin.encode_each(list(map(_PIECES, short))), strict=True))
+        return {w: self._long(_PIECES(w)) for w in new if len(w) > LONGEST}
+
+    def _long(self, pieces: list[str]) -> bytes:
+        runs = itertools.groupby(pieces, lambda w: len(w) > LONGEST)
         return b"".join(x for long, run in runs for x in (map(self._library, run) if long else [self.latin.encode(list(run))]))
 
     def _library(self, word: str) -> bytes:
@@ -148,13 +159,25 @@ class LatinWords:
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             ranks[raw(left + right)] = first + r
             self.ids[first + r] = model["vocab"][left + right]
+        self.ends = np.zeros(len(self.ids), bool)  # of tokens with the line end
+        self.ends[[r for token, r in ranks.items() if token.endswith(b"\n") and r < len(self.ids)]] = True
         self.encoding = tiktoken.Encoding("words", pat_str=r"[^\n]*\n", mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, words: list[str]) -> bytes:
-        return self.ids[self.encoding.encode_to_numpy("\n".join(words) + "\n")].tobytes()
+        return self.ids[self.encoding.encode_to_numpy("\n".join(words) + "\n")].tobytes() if words else b""
+
+    def encode_each(self, groups: list[list[str]]) -> list[bytes]:
+        """The ids of each group of words, all found at once."""
+        words = [w for g in groups for w in g]
+        if not words:
+            return [b""] * len(groups)
+        found = self.encoding.encode_to_numpy("\n".join(words) + "\n")
+        data = self.ids[found].tobytes()
+        edge = np.concatenate([[0], 4 * (np.flatnonzero(self.ends[found]) + 1)])[np.cumsum([0, *map(len, groups)])].tolist()
+        return [data[i:j] for i, j in itertools.pairwise(edge)]
 
 
-def _encoder(path: str) -> WordIds:
+def encoder(path: str) -> WordIds:
     if path not in _cached:
         _cached.clear()
         _cached[path] = WordIds(path)
@@ -173,11 +196,11 @@ def dealt(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id
     names = [c.split()[0] for c in DEALT.split(", ")] + ["ids"] * with_ids
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, key = _encoder(tokenizer_path), TaskContext.get().partitionId() << 40
+        own, key = encoder(tokenizer_path), TaskContext.get().partitionId() << 40
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                found = encoder.encode([t or "" for t in part.column(1).to_pylist()], end_id)
+                found = own.encode([t or "" for t in part.column(1).to_pylist()], end_id)
                 columns = [
                     part.column(0),
                     pa.array([len(d) // 4 for d in found], pa.int64()),

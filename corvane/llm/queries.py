@@ -12,8 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import ann, hardneg, lmscore, minhash, packing, pieces, pii, quality, spelling, toxicity, urlfilter, warc
-from corvane.llm.common import table
+from corvane.llm import ann, hardneg, lmscore, minhash, packing, pieces, pii, quality, spelling, tokenfile, toxicity, urlfilter, warc
+from corvane.llm.common import scratch, table
 
 # The rules of the URL query.
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -71,8 +71,14 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
 
 
+def op13_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "tokens")
+    tokenfile.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return tokenfile.read(spark, path, binary=True).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_ann, op2_url_filter, op3_lm_score, op4_pii, op5_packing, op6_minhash, op7_toxicity, op8_warc, op9_sentencepiece, op10_host_rules, op11_hard_negatives, op12_spelling)
+    own = (op1_ann, op2_url_filter, op3_lm_score, op4_pii, op5_packing, op6_minhash, op7_toxicity, op8_warc, op9_sentencepiece, op10_host_rules, op11_hard_negatives, op12_spelling, op13_token_ids)
     return {f.__name__: f for f in own}
 
 

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from corvane.llm.common import batches_of, cut, shared_dir, small
+from corvane.llm.common import batches_of, cut, scratch, small
 
 READ = "record_id string, record_type string, target_uri string, date string, payload_digest string, refers_to string, http_length long, content_length long, payload binary, file string, offset long"
 WRITE = "record_id string, record_type string, target_uri string, payload_digest string, refers_to string, payload binary"
@@ -416,7 +416,7 @@ def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Archive ``pages`` in the shared folder, read the archives back, and tell what each page's record says."""
     spark = pages.sparkSession
     register(spark)
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = scratch(spark, "warc")
     with batches_of(spark, WRITE_ROWS):
         with_revisits(pages, least_bytes).write.format("warc").mode("append").save(path)
     number = lambda c: F.regexp_extract(c, r"^urn:page:(-?[0-9]+)$", 1).try_cast("long")

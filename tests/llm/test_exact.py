@@ -66,7 +66,7 @@ def test_pieces_query(spark, texts, library):
 @settings(max_examples=400, deadline=None)
 @given(rows=st.lists(st.text(alphabet=st.one_of(st.sampled_from("abcdeinorst  \n.,'1éßªİΣ日\x85\xa0<|>"), st.characters(codec="utf-8")), max_size=50), max_size=4))
 def test_word_ids_like_library(rows):
-    encoder = packing._encoder(BPE)
+    encoder = packing.encoder(BPE)
     want = [e.ids for e in Tokenizer.from_str(encoder.tokenizer.to_str()).encode_batch(rows, add_special_tokens=False)] if rows else []
     assert [list(np.frombuffer(x, "<u4")) for x in encoder.encode(rows, 2)] == [[*w, 2] for w in want]
 
