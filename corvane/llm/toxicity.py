@@ -22,12 +22,14 @@ function, fitted on labelled texts that the counts never saw, turns it into a sc
 
 The models are fitted on a bounded sample of labelled rows: ``TOXIC_ROWS`` and
 ``ORDINARY_ROWS`` rows and ``SAMPLE_BYTES`` of text of each class, in the order of a
-hash of the id. Every document is scored.
+hash of the id; a row that doesn't fit any more is passed over. Of a labelled text longer than
+``LEARNED_CHARS`` the beginning is learned from, so a few very long ones
+don't take the room of all others. Every document is scored, whole.
 
 Defined results: a null or empty text has no evidence and gets the score of
-that; without training rows of both classes every score is 0; rows of ``labels``
+that, and a very long one is scored like any other; a score of exactly ``THRESHOLD`` counts as toxic; without training rows of both classes every score is 0; rows of ``labels``
 with a null mark are ignored; equal labelled texts count once; repeated rows are
-scored each.
+scored each; an empty table gives no rows; other columns are ignored, and kept by ``ordinary``, which adds none.
 """
 
 from __future__ import annotations
@@ -46,6 +48,8 @@ from corvane.llm.common import bound_batches, plain
 
 #: Bounds of the labelled sample: rows of each class, and bytes of text of each.
 TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_BYTES = 1500, 3000, 16 << 20
+#: Characters of a labelled text that are learned from, at most (a sixteenth of the bytes, whatever the letters).
+LEARNED_CHARS = 1 << 18
 #: Contexts that an expression of a class must exceed to bring counts of its own.
 DISCOUNT = 3.0
 #: Discount of the words of both classes.
@@ -242,11 +246,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS, most_bytes: int = SAMPLE_BYTES) -> tuple[list[str], list[int], float] | None:
+def sample(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS, most_bytes: int = SAMPLE_BYTES, learned_chars: int = LEARNED_CHARS) -> tuple[list[str], list[int], float] | None:
     """Texts and marks of the labelled sample, none of them held out, and the share of toxic rows among all labelled ones.
 
     Which rows it holds is decided by hashes of ids and texts, so each run gets the same. Only rows' keys and sizes, of
-    a bounded number, and then at most ``2 * most_bytes`` of texts reach the driver.
+    a bounded number (32 bytes each), and then at most ``2 * most_bytes`` of texts reach the driver.
     """
     rows = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").alias("__toxic"))
     number = {r["__toxic"]: r["n"] for r in rows.groupBy("__toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -258,16 +262,16 @@ def sample(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ord
         marked = part if marked is None else marked.unionByName(part)
     own = docs.select("doc_id", plain(F.col("text")).alias("text")).filter("text <> ''")
     # at most toxic_rows + ordinary_rows ids, whatever the input's size
-    sized = own.join(F.broadcast(marked), "doc_id").select("doc_id", "__toxic", F.xxhash64("text").alias("__of"), F.octet_length("text").alias("__size")).distinct()
+    sized = own.join(F.broadcast(marked), "doc_id").select("doc_id", "__toxic", F.xxhash64("text").alias("__of"), F.octet_length(F.substring("text", 1, learned_chars)).alias("__size")).distinct()
     taken: set[tuple[int, int]] = set()
     for mark, bound in ((1, toxic_rows), (0, ordinary_rows)):
         left = most_bytes
         for r in sized.filter(F.col("__toxic") == mark).orderBy(F.xxhash64("doc_id"), "doc_id", "__of").limit(bound).collect():
-            if (left := left - r["__size"]) < 0:
-                break
-            taken.add((r["doc_id"], r["__of"], mark))
+            if r["__size"] <= left:
+                left -= r["__size"]
+                taken.add((r["doc_id"], r["__of"], mark))
     keys = docs.sparkSession.createDataFrame(sorted(taken), "__id long, __of long, __toxic long")
-    found = own.join(F.broadcast(keys), (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__of"))).select("text", "__toxic").distinct().collect()
+    found = own.join(F.broadcast(keys), (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__of"))).select(F.substring("text", 1, learned_chars).alias("text"), "__toxic").distinct().collect()
     return [r[0] for r in found], [r[1] for r in found], number[1] / (number[0] + number[1])
 
 

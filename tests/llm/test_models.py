@@ -1,8 +1,10 @@
 """Kneser-Ney probabilities, archives that aren't well formed, many rules, long documents, texts that aren't UTF-8: small cases against plain Python."""
 
+import functools
 import gzip
 import math
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -103,6 +105,52 @@ def test_toxicity_sample(spark):
         assert sum(len(t) for t, m in one if m == mark) <= 3000
 
 
+def test_long_labelled_texts(spark):
+    """A text over the bound is cut for learning, and one that doesn't fit any more doesn't end the sample."""
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    first = next(r["doc_id"] for r in labels.filter("toxic = 1 AND crc32(cast(doc_id AS string)) % 4 <> 2").orderBy(F.xxhash64("doc_id")).collect())
+    texts = [(i, f"vile{i % 5} words number {i}" if i % 2 else f"kind{i % 5} words number {i}") for i in range(400)]
+    plain = spark.createDataFrame(texts, "doc_id long, text string")
+    long = spark.createDataFrame([(i, "vile1 " * 5000 if i == first else t) for i, t in texts], "doc_id long, text string")
+    usual, marks, _ = toxicity.sample(plain, labels, 300, 300, 20_000)
+    got, got_marks, _ = toxicity.sample(long, labels, 300, 300, 20_000)
+    assert set(zip(usual, marks, strict=True)) - set(zip(got, got_marks, strict=True)) == {(dict(texts)[first], 1)}  # too long for the bytes: passed over
+    cut, cut_marks, _ = toxicity.sample(long, labels, 300, 300, 20_000, learned_chars=600)
+    assert len(cut) == len(usual) and ("vile1 " * 100, 1) in set(zip(cut, cut_marks, strict=True))
+    assert toxicity.train(long, labels, 300, 300, 20_000) is not None
+
+
+def test_fit_and_score_plainly(spark):
+    """The fitted weights are those of the best logistic function, over features of the plain models; scores follow from both."""
+    rng = random.Random(4)
+    texts = [(i, " ".join(rng.choice(["grim", "foul", "vile"] if i % 3 == 0 and rng.random() < 0.4 else ["mill", "path", "calm", "blue"]) for _ in range(rng.randrange(1, 25)))) for i in range(500)] + [(500, ""), (501, None)]
+    docs, labels = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(500)], "doc_id long, toxic int")
+    found, marks, rate = toxicity.sample(docs, labels)
+    rows = sorted(set(zip(found, marks, strict=True)))
+    counted = [(toxicity.words(t), y) for t, y in rows if zlib.crc32(t.encode()) % 3]
+    held = [(t, y) for t, y in rows if not zlib.crc32(t.encode()) % 3]
+    vocabulary, models = plain_models(counted)
+    prob = {c: functools.cache(models[c]) for c in (0, 1)}
+
+    def plain_features(text):
+        w = [x if x in vocabulary else None for x in toxicity.words(text)]
+        each = [math.log(prob[1](h)[x]) - math.log(prob[0](h)[x]) for h, x in zip(["^", *w], w)]
+        return [sum(each) / len(each), *(max(sum(each[max(0, i + 1 - k) : i + 1]) / k for i in range(len(each))) for k in toxicity.WINDOWS), 1.0] if each else [0.0] * (1 + len(toxicity.WINDOWS)) + [1.0]
+
+    weights = toxicity.train(docs, labels).weights
+    sigma = lambda x: 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, weights, strict=True))))
+    share = sum(y for _, y in held) / len(held)
+    slope = [-1e-2 * b for b in weights]
+    for t, y in held:
+        x = plain_features(t)
+        for k in range(len(slope)):
+            slope[k] += (rate / share if y else (1 - rate) / (1 - share)) * (y - sigma(x)) * x[k]
+    assert max(map(abs, slope)) < 1e-4
+    for r in toxicity.scored(docs, labels).collect():
+        own = sigma(plain_features(dict(texts)[r["doc_id"]]))
+        assert r["score"] == pytest.approx(own, abs=1e-6) and r["predicted"] == int(r["score"] >= 0.3)
+
+
 def test_bad_lengths(tmp_path):
     """Records without a length, or with one that is no number, end where the next begins; nothing raises."""
     good = warc.record({"record_id": "a", "record_type": "response", "payload": b"one"})
