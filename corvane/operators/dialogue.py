@@ -101,8 +101,9 @@ def fan_in(answers: DataFrame, key: str) -> DataFrame:
 
 @dataclass
 class Analysis:
-    """What a language model would decide about a query, as columns made from ``query`` and ``context``."""
+    """What a language model would decide about a query, as columns made from ``query`` and ``context``, and its summary of a history."""
 
+    summary: Callable[[Column], Column] = lambda history: stub_summary(history)
     questions: Callable[[Column, Column], Column] = lambda query, context: stub_questions(query)
     is_clear: Callable[[Column, Column], Column] = lambda query, context: F.lit(True)
     needed: Callable[[Column, Column], Column] = lambda query, context: F.lit(None).cast("string")
@@ -110,7 +111,7 @@ class Analysis:
 
 def analyse(asked: DataFrame, analysis: Analysis) -> DataFrame:
     """``key, query, questions, is_clear, clarification`` of rows ``key, query, history`` (a null history: nothing to summarise)."""
-    rows = asked.withColumn("context", rewrite_context(stub_summary(F.col("history")), F.col("query")))
+    rows = asked.withColumn("context", rewrite_context(analysis.summary(F.col("history")), F.col("query")))
     query, context = F.col("query"), F.col("context")
     rows = rows.withColumn("questions", F.coalesce(analysis.questions(query, context), F.array().cast("array<string>")))
     return rows.select("key", "query", "questions", is_clear(F.col("questions"), analysis.is_clear(query, context)).alias("is_clear"), clarification(analysis.needed(query, context)).alias("clarification"))
@@ -121,16 +122,17 @@ def first_words(question: Column, content: Column) -> Column:
     return T.cut_to(content, 100)
 
 
-def answer_all(asked: DataFrame, units: DataFrame, parents: DataFrame, k: int = 3, analysis: Analysis | None = None, answer: Callable[[Column, Column], Column] = first_words, threshold_stage: str = "none") -> DataFrame:
+def answer_all(asked: DataFrame, units: DataFrame, parents: DataFrame, k: int = 3, analysis: Analysis | None = None, answer: Callable[[Column, Column], Column] = first_words, threshold_stage: str = "none", search: retrieval.Search | None = None) -> DataFrame:
     """The graph over many conversations at once: ``key, status, n_questions, n_parents, text``.
 
     ``asked`` has ``key, query, history``; ``units`` ``id, parent_id, text``; ``parents`` ``parent_id, content``. A query that
     isn't clear gets the status ``needs_input`` and the clarification as its text. The others are split into questions; each
-    searches the ``k`` best units, then reads their parents, and is answered from the best one. Analysis and hits are written.
+    searches the ``k`` best units (by ``search``, an index's for instance, or else a pass over ``units``), then reads their
+    parents, and is answered from the best one. Analysis and hits are written.
     """
     analysed = cut(analyse(asked, analysis or Analysis()), "analysed")
     parts = fan_out(analysed.filter("is_clear"), "key").withColumn("qid", F.xxhash64("key", "question_index"))
-    found = cut(retrieval.hybrid(units.select("id", "text"), parts.select("qid", F.col("question").alias("text")), k, threshold_stage=threshold_stage), "hits")
+    found = cut(retrieval.hybrid(units.select("id", "text"), cut(parts.select("qid", F.col("question").alias("text")), "questions"), k, threshold_stage=threshold_stage, search=search), "hits")
     named = units.select("id", "parent_id").join(small(found), "id").groupBy("qid", "parent_id").agg(F.min("rank").alias("rank"))
     best = cut(named.groupBy("qid").agg(F.min_by("parent_id", "rank").alias("parent_id"), F.count(F.lit(1)).alias("n")), "parents")
     read = parents.join(small(best), "parent_id").select("qid", "n", F.col("content").alias("__content"))

@@ -9,8 +9,11 @@ from corvane import config
 from corvane.functions import text as T
 from corvane.operators import chunking as K
 from corvane.operators import retrieval as R
+from corvane.operators.cells import VectorIndex
+from corvane.operators.index import HybridIndex
+from corvane.operators.postings import PostingIndex
 from corvane.plans.registry import query, table
-from corvane.storage import cut, small
+from corvane.storage import cut, scratch, small
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +57,31 @@ def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.candidates(documents(spark, sf_dir), questions(spark, sf_dir), config.TOP_K).filter("kind = 'sparse'").select("qid", "id", "rank", "score")
 
 
+@query(f"WITH {U_DOCS}, {hybrid_sql(config.TOP_K)} SELECT qid, id, rank::INT AS rank, score FROM ranked WHERE kind = 'sparse'")
+def sparse_topk_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows from a stored inverted index of two segments; texts are read to build it only."""
+    index, docs = PostingIndex(spark, scratch(spark, "postings")), documents(spark, sf_dir)
+    for part in (0, 1):
+        index.add(docs.filter(F.col("id") % 2 == part))
+    return index.search(questions(spark, sf_dir), config.TOP_K).select("qid", "id", "rank", "score")
+
+
+@query()
+def sparse_index_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many posting blocks the index has, how many a question's words have, and how many are opened for it."""
+    index = PostingIndex(spark, scratch(spark, "postings"))
+    index.add(documents(spark, sf_dir))
+    return index.report(questions(spark, sf_dir), config.TOP_K)
+
+
+@query(f"WITH {U_DOCS}, {hybrid_sql(config.TOP_K)} SELECT qid, id, score, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, id))::INT AS rank FROM fused WHERE score >= 0.7")
+def hybrid_search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows as ``hybrid_search`` from stored indexes of words and vectors."""
+    index = HybridIndex(spark, scratch(spark, "hybrid"))
+    index.add(documents(spark, sf_dir))
+    return R.hybrid(None, questions(spark, sf_dir), search=index.candidates)
+
+
 @query(f"WITH {U_DOCS}, {hybrid_sql(config.TOP_K)} SELECT qid, count(*) AS n_all, count(*) FILTER (score >= 0.7) AS n_passed FROM fused GROUP BY qid")
 def threshold_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     fused = R.fuse(R.candidates(documents(spark, sf_dir), questions(spark, sf_dir), config.TOP_K))
@@ -67,11 +95,32 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
 
 
-@query(
-    f"""SELECT qid, id, score, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, id))::INT AS rank
+NEAREST = f"""SELECT qid, id, score, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, id))::INT AS rank
 FROM (SELECT a.vec_id AS qid, b.vec_id AS id, {COSINE} AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= 7"""
-)
+
+
+def vector_index(spark: SparkSession, sf_dir: str) -> tuple[VectorIndex, DataFrame]:
+    index, rows = VectorIndex(spark, scratch(spark, "cells")), vectors(spark, sf_dir)
+    index.add(rows)
+    return index, rows.filter("id % 50 = 0").withColumnRenamed("id", "qid")
+
+
+@query(NEAREST)
+def dense_topk_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows as ``dense_topk_batch`` from a stored vector index."""
+    index, asked = vector_index(spark, sf_dir)
+    return index.search(asked, config.TOP_K)
+
+
+@query()
+def dense_index_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows the vector index has, and how many are compared with each query."""
+    index, asked = vector_index(spark, sf_dir)
+    return index.report(asked, config.TOP_K)
+
+
+@query(NEAREST)
 def dense_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
     return R.exact_nearest(rows, rows.filter("id % 50 = 0"), config.TOP_K)

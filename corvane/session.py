@@ -25,6 +25,7 @@ from corvane import config
 from corvane.functions import text as T
 from corvane.operators import chunking, dialogue, evaluation, retrieval
 from corvane.operators import latency as L
+from corvane.operators.index import HybridIndex
 from corvane.operators.latency import Tracker, export_csv, export_json
 from corvane.sources import documents as D
 from corvane.sources import parsers
@@ -84,10 +85,12 @@ class Engine:
         graders: dict[str, Grader] | None = None,
         answer: Callable[[Column, Column], Column] = beginning,
         analysis: dialogue.Analysis | None = None,
+        embed: retrieval.Embed = retrieval.hashed,
     ):
         self.spark, self.root = spark, root.rstrip("/")
         self.graders, self.answer, self.analysis = graders or GRADERS, answer, analysis
         self.tracker = Tracker()
+        self.index = HybridIndex(spark, f"{self.root}/_index", embed)
         self.clear_session()
 
     # tables
@@ -117,11 +120,31 @@ class Engine:
     def delete_collection(self) -> None:
         """Empties the table of children; documents and parents stay."""
         self.spark.createDataFrame([], SCHEMAS["children"]).write.mode("overwrite").parquet(f"{self.root}/children")
+        self.index.clear()
 
     def rebuild_collection(self) -> None:
-        """Makes all children anew from the parents; their ids are what they were."""
+        """Makes all children, and their index, anew from the parents; their ids are what they were."""
         self.delete_collection()
-        self._add("children", self._children(self.table("parents")), uuid.uuid4().hex)
+        batch = uuid.uuid4().hex
+        self._add("children", self._children(self.table("parents")), batch)
+        self._index(batch)
+
+    def _index(self, batch: str) -> None:
+        """Adds a batch's children to the index; a batch that is added again replaces itself."""
+        self.index.add(self.table("children").filter(F.col("batch") == batch).select("id", F.col("content").alias("text")), batch)
+
+    def _superseded(self) -> DataFrame | None:
+        """``id`` of children whose version doesn't hold, or nothing if each stem has one version."""
+        versions = self.table("versions")
+        several = versions.groupBy(F.col("stem").alias("__several")).agg(F.count_distinct("version").alias("__n")).filter("__n > 1").select("__several")
+        if not several.limit(1).count():
+            return None
+        own = self.table("children").join(several, F.col("stem") == F.col("__several"), "left_semi")
+        return own.join(self.current("children").select(F.col("id").alias("__id")), F.col("id") == F.col("__id"), "left_anti").select("id")
+
+    def candidates(self, queries: DataFrame, k: int) -> DataFrame:
+        """What the index finds for ``queries`` (``qid, text``) among children whose version holds."""
+        return self.index.candidates(queries, k, self._superseded())
 
     @staticmethod
     def _children(parents: DataFrame) -> DataFrame:
@@ -132,6 +155,7 @@ class Engine:
         """Empties all tables."""
         for name, schema in SCHEMAS.items():
             self.spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{self.root}/{name}")
+        self.index.clear()
 
     # ingestion
 
@@ -167,6 +191,7 @@ class Engine:
             own = self.table("parents").filter(F.col("batch") == batch)
             with self.tracker.measure("vector_insertion"):
                 self._add("children", self._children(own), batch)
+                self._index(batch)
             self._add("documents", new.select("stem", "version", "path", "format", "text"), batch)
             self._add("versions", new.select("stem", "version", F.current_timestamp().alias("at")), batch)
             taken = new.select(F.col("stem").alias("__stem"), F.col("path").alias("__path"))
@@ -262,11 +287,12 @@ class Engine:
     def search(self, question: str, k: int = 3, score_threshold: float = config.SCORE_THRESHOLD, threshold_stage: str = "fused") -> DataFrame:
         """``rank, score, parent_id, source, content`` of the best children."""
         with self.tracker.measure("vector_retrieval", {"k": k, "score_threshold": score_threshold}):
-            units = self.current("children").select("id", "parent_id", F.col("metadata")["source"].alias("source"), "content")
             asked = self.spark.createDataFrame([(0, question)], "qid long, text string")
-            found = retrieval.hybrid(units.select("id", F.col("content").alias("text")), asked, k, score_threshold, threshold_stage=threshold_stage)
+            found = retrieval.hybrid(None, asked, k, score_threshold, threshold_stage=threshold_stage, search=self.candidates)
             best = self.spark.createDataFrame(found.select("id", "rank", "score").collect(), "id long, rank int, score double")  # at most k rows
-            return units.join(small(best), "id").select("rank", "score", "parent_id", "source", "content").orderBy("rank")
+            # the ids are pushed down to the files, so that no other child is read
+            units = self.table("children").filter(F.col("id").isin([r["id"] for r in best.collect()])).dropDuplicates(["id"])
+            return units.join(F.broadcast(best), "id").select("rank", "score", "parent_id", F.col("metadata")["source"].alias("source"), "content").orderBy("rank")
 
     def search_child_chunks(self, question: str, limit: int = 3, threshold_stage: str = "fused") -> str:
         try:
@@ -328,7 +354,7 @@ class Engine:
         asked = self.spark.createDataFrame([(0, question)], "key long, query string").join(dialogue.history_window(said), F.col("key") == F.col("conv_id"), "left").select("key", "query", "history")
         units = self.current("children").select("id", "parent_id", F.col("content").alias("text"))
         parents = self.current("parents").select("parent_id", "content")
-        found = dialogue.answer_all(asked, units, parents, k, self.analysis, self.answer, threshold_stage).first()
+        found = dialogue.answer_all(asked, units, parents, k, self.analysis, self.answer, threshold_stage, self.candidates).first()
         if found["status"] == "answered":  # a clear query ends what was said before
             self._say(("cleared", ""), ("assistant", found["text"]))
         else:
