@@ -36,7 +36,7 @@ END_ID = 2
 #: Documents in a randomised group, on average.
 GROUP_ROWS = 2048
 #: Words whose ids a worker keeps, of each kind; beyond it the table is begun anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 # Fixed value: how a token that ends a word is marked in the vocabulary.
 WORD_END = "</w>"
 #: Longer words are merged by the vocabulary's own library, whose time grows less with their length.
@@ -92,6 +92,10 @@ class WordIds:
         latin = self.plain.__getitem__ if not long else lambda w: long[w] if w in long else self.plain[w]
         return [b"".join([*(b"".join(map(self._other if other else latin, ws)) for other, ws in p), tail]) for p in cut]
 
+    def forget(self) -> None:
+        """Gives the memory of kept ids back; a worker lives on after its task."""
+        self.words, self.plain = {}, {}
+
     def _other(self, word: str) -> bytes:
         return self.words[word] if len(word) <= LONGEST else self._library(word)
 
@@ -212,6 +216,7 @@ def dealt(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id
                 key += len(found)
                 yield pa.RecordBatch.from_arrays(columns, names)
             pa.default_memory_pool().release_unused()
+        own.forget()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain(F.col("text")).alias("text"))
     return rows.mapInArrow(each, DEALT + (", ids array<int>" if with_ids else ""))

@@ -403,6 +403,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
                 found = own.encode([t or "" for t in part.column(1).to_pylist()], end_id)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], ["doc_id", "ids"])
             pa.default_memory_pool().release_unused()
+        own.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain(F.col("text")).alias("text")).mapInArrow(each, WRITE)
 
