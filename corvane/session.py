@@ -149,7 +149,7 @@ class Engine:
     @staticmethod
     def _children(parents: DataFrame) -> DataFrame:
         made = chunking.child_chunks(parents, keep=("stem", "version"))
-        return made.select(F.xxhash64("parent_id", "child_idx").alias("id"), "parent_id", "stem", "version", "child_idx", "content", "metadata")
+        return made.select(F.xxhash64("parent_id", "child_idx", "version").alias("id"), "parent_id", "stem", "version", "child_idx", "content", "metadata")
 
     def clear_all(self) -> None:
         """Empties all tables."""
