@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from corvane.operators import dialogue as D
 from corvane.plans import retrieval as R
 from corvane.plans.registry import query, table
+from corvane.storage import scratch
+from corvane.streaming import threads as X
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,3 +140,17 @@ def qa_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = R.windows(spark, sf_dir).select("id", F.col("doc_id").alias("parent_id"), "text")
     parents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("parent_id"), F.col("text").alias("content"))
     return D.answer_all(asked, units, parents, analysis=analysis)
+
+
+@query(
+    """WITH r AS (SELECT conv_id, coalesce(max(turn) FILTER (role = 'system'), -1) AS reset_turn, count(*) AS n_messages FROM conversations GROUP BY conv_id)
+SELECT r.conv_id AS conv_id, 'open' AS status, n_messages, reset_turn::BIGINT AS reset_turn, count(turn) AS n_answers, coalesce(string_agg(turn::VARCHAR, ',' ORDER BY turn), '') AS kept, max_by(text, turn) AS last_answer
+FROM r LEFT JOIN conversations c ON c.conv_id = r.conv_id AND role = 'assistant' AND turn > reset_turn GROUP BY r.conv_id, n_messages, reset_turn"""
+)
+def thread_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations followed as a stream, whose state tells what a fold over each whole conversation does."""
+    source = table(spark, sf_dir, "conversations")
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 8).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/conversations.parquet")
+    target = scratch(spark, "threads")
+    X.track(stream, target, scratch(spark, "threads-checkpoint")).awaitTermination()
+    return X.threads(spark, target)
