@@ -2,7 +2,7 @@
 
 Tables are Parquet under one folder that all executors share: ``documents``
 (stem, version, path, format, text), ``parents``, ``children``, ``versions`` (which
-version of a stem holds since when), ``tags``, ``registry`` (what became of each file), ``messages`` (conversations by thread), ``evaluations``. Each ingestion
+version of a stem holds since when), ``stems`` (each version's checksum, dealt into buckets: what a batch brings is looked up in its stems' buckets only), ``tags``, ``registry`` (what became of each file), ``messages`` (conversations by thread), ``evaluations``. Each ingestion
 writes one batch folder of each, parents before children and documents last, so
 a batch that fails midway leaves documents that are tried again, and a stem
 that is there is skipped. Files are read and parsed one by one: what is missing,
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import logging
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -29,19 +30,22 @@ from corvane.operators.index import HybridIndex
 from corvane.operators.latency import Tracker, export_csv, export_json
 from corvane.sources import documents as D
 from corvane.sources import parsers
-from corvane.storage import batches_of, small
+from corvane.storage import batches_of, cut, small
 
 SCHEMAS = {
     "documents": "stem string, version int, path string, format string, text string, batch string",
     "parents": "parent_id string, stem string, version int, content string, metadata map<string,string>, batch string",
     "children": "id long, parent_id string, stem string, version int, child_idx int, content string, metadata map<string,string>, batch string",
     "versions": "stem string, version int, at timestamp, batch string",
+    "stems": "stem string, version int, sha string, bucket int, batch string",
     "tags": "stem string, tag string, value string, at timestamp, batch string",
     "registry": "path string, stem string, format string, status string, error string, at timestamp, batch string",
-    "messages": "thread_id string, seq long, role string, content string, batch string",
+    "messages": "thread_id string, seq long, role string, content string, bucket int, batch string",
     "evaluations": "timestamp string, question string, answer string, documents string, groundedness boolean, relevance boolean, retrieval_accuracy boolean, overall_score double, batch string",
 }
 
+#: Folders that stems, and threads, are dealt into by a hash.
+BUCKETS = 16
 #: Bytes of a file that is parsed; larger ones fail.
 MOST_FILE_BYTES = 128 << 20
 #: Files that a worker is handed at once.
@@ -57,6 +61,14 @@ GRADERS: dict[str, Grader] = {
 }
 
 
+def _bucket(stem: Column) -> Column:
+    return F.pmod(F.crc32(stem), F.lit(BUCKETS)).cast("int")
+
+
+def bucket_of(key: str) -> int:
+    return zlib.crc32(key.encode()) % BUCKETS
+
+
 def beginning(question: Column, content: Column) -> Column:
     """Offline stand-in for a language model: the best parent's beginning."""
     return T.cut_to(content, 200)
@@ -104,14 +116,21 @@ class Engine:
             return self.spark.createDataFrame([], SCHEMAS[name])
 
     def _add(self, name: str, rows: DataFrame, batch: str) -> None:
-        rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{self.root}/{name}")
+        """Writes a batch; one that is written again takes the place of the former."""
+        parts = [c for c in ("bucket", "batch") if f"{c} " in SCHEMAS[name]]
+        rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(f"{self.root}/{name}")
 
     def current(self, name: str) -> DataFrame:
         """The rows of ``documents``, ``parents`` or ``children`` whose version holds."""
-        holds = self.table("versions").groupBy(F.col("stem").alias("__stem")).agg(F.max_by("version", F.struct("at", "batch")).alias("__version"))
-        rows = self.table(name)
+        holds, rows = self._holds(), self.table(name)
         return rows.join(holds, (rows["stem"] == F.col("__stem")) & (rows["version"] == F.col("__version")), "left_semi")
 
+    def _holds(self, but: str | None = None) -> DataFrame:
+        """``__stem, __version``: the version of each stem that holds, as far as batches other than ``but`` tell."""
+        versions = self.table("versions")
+        versions = versions if but is None else versions.filter(F.col("batch") != but)
+        return versions.groupBy(F.col("stem").alias("__stem")).agg(F.max_by("version", F.struct("at", "batch")).alias("__version"))
+
     def create_collection(self) -> None:
         """Makes the table of children, empty, if it isn't there."""
         if not self._exists(f"{self.root}/children"):
@@ -159,32 +178,35 @@ class Engine:
 
     # ingestion
 
-    def add(self, files: DataFrame) -> tuple[int, int]:
+    def add(self, files: DataFrame, batch: str | None = None) -> tuple[int, int]:
         """Ingests ``path, text`` rows: ``(added, skipped)``. HTML becomes text; stems that are there, repeated stems and empty texts are skipped."""
         kind = D.detect_format(F.col("path"), F.col("text"))
         text = F.when(kind == "html", T.html_to_markdown(F.col("text"))).otherwise(F.col("text"))
-        return self._ingest(files.select("path", kind.alias("format"), T.valid_utf8(text).alias("text"), F.lit(None).cast("string").alias("error")))
+        return self._ingest(files.select("path", kind.alias("format"), T.valid_utf8(text).alias("text"), F.lit(None).cast("string").alias("error")), batch=batch)
 
-    def _ingest(self, read: DataFrame, update: bool = False) -> tuple[int, int]:
+    def _ingest(self, read: DataFrame, update: bool = False, batch: str | None = None) -> tuple[int, int]:
         """``(added, skipped)`` of rows ``path, format, text, error``; each row's fate goes to the registry.
 
-        With ``update``, a stem that is there gets another version if its text has changed.
+        With ``update``, a stem that is there gets another version if its text has changed. A batch that failed, at whatever
+        step, can be ingested again under its name: what it wrote before doesn't count, and is overwritten.
         """
-        batch = uuid.uuid4().hex
+        batch = batch or uuid.uuid4().hex
         with self.tracker.measure("document_ingestion"):
-            staged = f"{self.root}/_staged/{batch}"
+            # files are parsed, and what is new decided, once
             with batches_of(self.spark, FILES_AT_ONCE):
-                read.withColumn("stem", T.stem_of(F.col("path"))).write.parquet(staged)  # files are parsed, and what is new decided, once
-            rows = self.spark.read.parquet(staged)
+                rows = cut(read.withColumn("stem", T.stem_of(F.col("path"))), "staged")
             full = rows.filter(F.length(T.strip(F.coalesce("text", F.lit("")))) > 0)
-            first = full.groupBy("stem").agg(F.min_by(F.struct("path", "format", "text"), F.struct("path", "text")).alias("d")).select("stem", "d.*")
-            there = self.table("documents").groupBy(F.col("stem").alias("__stem")).agg(F.max("version").alias("__last"))
-            held = self.current("documents").select(F.col("stem").alias("__held"), F.sha2("text", 256).alias("__sha"))
-            known = first.join(there, F.col("stem") == F.col("__stem"), "left").join(held, F.col("stem") == F.col("__held"), "left")
-            fresh = F.col("__last").isNull() | (F.lit(update) & ~F.sha2("text", 256).eqNullSafe(F.col("__sha")))
-            new = known.filter(fresh).select("stem", "path", "format", "text", (F.coalesce("__last", F.lit(0)) + 1).alias("version"))
-            new.write.parquet(f"{staged}-new")
-            new = self.spark.read.parquet(f"{staged}-new")
+            first = full.groupBy("stem").agg(F.min_by(F.struct("path", "format", "text"), F.struct("path", "text")).alias("d")).select("stem", _bucket(F.col("stem")).alias("bucket"), "d.*")
+            met = [r["bucket"] for r in full.select(_bucket(F.col("stem")).alias("bucket")).distinct().collect()]  # BUCKETS at most
+            stems = self.table("stems").filter(F.col("bucket").isin(met) & (F.col("batch") != batch))
+            there = stems.groupBy(F.col("bucket").alias("__bucket"), F.col("stem").alias("__stem")).agg(F.max("version").alias("__last"), F.map_from_entries(F.collect_set(F.struct("version", "sha"))).alias("__shas"))
+            known = first.join(there, (F.col("bucket") == F.col("__bucket")) & (F.col("stem") == F.col("__stem")), "left")
+            fresh = F.col("__last").isNull()
+            if update:
+                holds = self._holds(batch).select(F.col("__stem").alias("__held"), F.col("__version").alias("__v"))
+                known = known.join(holds, F.col("stem") == F.col("__held"), "left")
+                fresh = fresh | ~F.sha2("text", 256).eqNullSafe(F.col("__shas")[F.col("__v")])
+            new = cut(known.filter(fresh).select("stem", "path", "format", "text", "bucket", (F.coalesce("__last", F.lit(0)) + 1).alias("version")), "new")
             with self.tracker.measure("document_chunking"):
                 parents = chunking.parent_chunks(new, "version", "text", F.col("stem"))
                 self._add("parents", parents.select("parent_id", F.regexp_replace("parent_id", r"_parent_\d+$", "").alias("stem"), F.col("version").cast("int").alias("version"), "content", "metadata"), batch)
@@ -199,6 +221,9 @@ class Engine:
             status = F.when(F.col("error").isNotNull(), "failed").when(empty, "empty").when(F.col("__path").isNotNull(), "added").otherwise("exists")
             noted = rows.join(taken, (F.col("stem") == F.col("__stem")) & (F.col("path") == F.col("__path")), "left")
             self._add("registry", noted.select("path", "stem", "format", status.alias("status"), "error", F.current_timestamp().alias("at")), batch)
+            # the last table: with its stems there, a batch is whole, and what has them is skipped
+            self._add("stems", new.select("stem", "version", F.sha2("text", 256).alias("sha"), "bucket"), batch)
+            self.last_batch = batch
             added = new.count()
             return added, rows.count() - added
 
@@ -242,9 +267,8 @@ class Engine:
         """``(added, skipped, statistics)``: files by format and by status, and the files that failed."""
         if not self._exists(path):
             return 0, 0, {"error": f"{path} doesn't exist"}
-        before = {r["batch"] for r in self.table("registry").select("batch").distinct().collect()}
         added, skipped = self._ingest(self._files([path], recursive))
-        own = self.table("registry").filter(~F.col("batch").isin(*before)) if before else self.table("registry")
+        own = self.table("registry").filter(F.col("batch") == self.last_batch)
         counts = lambda c: {r[0]: r["n"] for r in own.groupBy(c).agg(F.count(F.lit(1)).alias("n")).collect()}
         return added, skipped, {"total": added + skipped, "by_format": counts("format"), "by_status": counts("status"), "errors": [(r["path"], r["error"]) for r in own.filter("status = 'failed'").orderBy("path").limit(100).collect()]}
 
@@ -325,16 +349,20 @@ class Engine:
 
     # conversations
 
+    def _thread(self, thread_id: str) -> DataFrame:
+        """All messages of a thread, read from its bucket."""
+        return self.table("messages").filter((F.col("bucket") == bucket_of(thread_id)) & (F.col("thread_id") == thread_id))
+
     def messages(self, thread_id: str | None = None) -> DataFrame:
         """``seq, role, content`` of a thread since it was last cleared."""
-        own = self.table("messages").filter(F.col("thread_id") == (thread_id or self.thread_id))
+        own = self._thread(thread_id or self.thread_id)
         cleared = own.filter("role = 'cleared'").agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("__from"))
         return own.join(small(cleared)).filter("seq > __from").select("seq", "role", "content")
 
     def _say(self, *said: tuple[str, str]) -> None:
-        rows = [(self.thread_id, self._seq + i, role, content) for i, (role, content) in enumerate(said)]
+        rows = [(self.thread_id, self._seq + i, role, content, bucket_of(self.thread_id)) for i, (role, content) in enumerate(said)]
         self._seq += len(rows)
-        self._add("messages", self.spark.createDataFrame(rows, "thread_id string, seq long, role string, content string"), uuid.uuid4().hex)
+        self._add("messages", self.spark.createDataFrame(rows, "thread_id string, seq long, role string, content string, bucket int").coalesce(1), uuid.uuid4().hex)
 
     def reset_thread(self) -> None:
         """Forgets the conversation and begins another."""
@@ -345,7 +373,7 @@ class Engine:
     def resume(self, thread_id: str) -> None:
         """Goes on with a thread that is kept in the table."""
         self.thread_id = thread_id
-        self._seq = self.table("messages").filter(F.col("thread_id") == thread_id).agg(F.coalesce(F.max("seq") + 1, F.lit(0))).first()[0]
+        self._seq = self._thread(thread_id).agg(F.coalesce(F.max("seq") + 1, F.lit(0))).first()[0]
 
     def _ask(self, question: str, k: int, threshold_stage: str) -> tuple[str, str]:
         """Status and text of the graph's answer; the conversation is brought up to date."""

@@ -1,12 +1,9 @@
-"""Streaming forms: micro-batch ingestion, and windowed latency statistics."""
+"""Windowed latency statistics over a stream."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-
-from corvane.sources import documents as D
 
 
 def windowed_stats(metrics: DataFrame, window: str = "1 hour", watermark: str = "10 minutes") -> DataFrame:
@@ -14,20 +11,3 @@ def windowed_stats(metrics: DataFrame, window: str = "1 hour", watermark: str =
     rows = metrics.withWatermark("timestamp", watermark).groupBy(F.window("timestamp", window), "operation")
     stats = rows.agg(F.count("duration").alias("count"), F.sum("duration").alias("total_time"), F.min("duration").alias("min_time"), F.max("duration").alias("max_time"), F.avg("duration").alias("avg_time"))
     return stats.select(F.col("window.start").alias("start"), "operation", "count", "total_time", "min_time", "max_time", "avg_time")
-
-
-def ingest(files: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Adds each batch's new stems to the table at ``target``: a batch that runs again finds its stems there and adds none."""
-
-    def add(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = D.first_per_stem(batch, "doc_id")
-        try:
-            there = spark.read.parquet(target).filter(F.col("batch") != number).select("stem")
-        except Exception as e:  # the first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            there = new.select("stem").limit(0)
-        new.join(there, "stem", "left_anti").withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(target)
-
-    return files.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -67,15 +67,3 @@ def test_ingest_twice(spark):
     assert tuple(S.ingest_counts(files, none, "doc_id", "text").first()) == (1, 2)
     again = S.skip_existing(files, S.skip_existing(files, none, "doc_id"), "doc_id")
     assert again.count() == 0
-
-
-def test_streaming_ingest(spark, tmp_path):
-    from corvane.streaming import events as X
-
-    schema = "doc_id long, path string"
-    src = str(tmp_path / "in")
-    target, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
-    for rows in ([(1, "a.pdf"), (2, "b.pdf")], [(3, "a.html"), (4, "c.pdf")]):
-        spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
-        X.ingest(spark.readStream.schema(schema).parquet(src), target, checkpoint).awaitTermination(60)
-    assert {(r["stem"], r["doc_id"]) for r in spark.read.parquet(target).collect()} == {("a", 1), ("b", 2), ("c", 4)}
