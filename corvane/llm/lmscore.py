@@ -13,12 +13,15 @@ tokens. Each chunk sends its distinct words and word pairs, with their counts in
 it, to the partitions that own them; a partition sums the counts over all chunks
 and answers each chunk for what it sent. A chunk then has all counts that its
 documents' losses are made of. A word or pair costs one entry for each chunk
-that has it, however common it is. The partitions grow in number with what is
-sent. Words and pairs are told apart by 64-bit hashes.
+that has it, however common it is, and never more than one row: a chunk sends a row only to
+parts that own some of its words, so entries, rows and steps grow with the tokens. The key range has one part for each
+``MOST_ENTRIES`` tokens. Up to ``MOST_PARTITIONS`` each is a partition of its own; beyond that a
+partition is handed several, in order, and holds one at a time. Words and pairs are told apart by 64-bit hashes.
 
 Defined results: a null or empty text has no tokens, null losses and a null
-score; repeated rows count as rows, so a row's copies stay counted when it is scored; without target documents both models are
-the background, and every score is 0.
+score; a very long text is a chunk of its own; repeated rows count as rows, so a row's copies stay counted when it is scored; equal scores are
+equal, there is no ranking; without target documents both models are
+the background, and every score is 0; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,14 +38,14 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import batches_of, cut, plain, small
 
-#: No bound: every word of the corpus has counts of its own.
-VOCABULARY = None
 #: Tokens that the unigram model weighs in a bigram's context.
 PRIOR = 20.0
 SLICE = 64
 CHUNK_TOKENS, CHUNK_ROWS = 300_000, 4096
 #: Words and pairs that a partition is to be sent: at least, as long as there are few partitions, and at most.
 LEAST_ENTRIES, MOST_ENTRIES, FEW_PARTITIONS = 100_000, 1_000_000, 48
+#: Partitions that the parts are dealt to, at most.
+MOST_PARTITIONS = 20_000
 #: Distinct words whose hash a worker keeps; beyond it the table is begun anew.
 CACHE_WORDS = 60_000
 #: Rows that a worker is handed at once where a row holds a chunk or its share of a partition.
@@ -144,8 +147,10 @@ def _sent(chunks: DataFrame, partitions: int) -> DataFrame:
                 count = lambda places, n: [np.bincount(x, minlength=n) for x in (places, places[marked])]  # noqa: B023, E731
                 n = len(c.words)
                 for kind, keys, columns in ((0, c.words, [*count(c.stream, n), *count(c.context, n)]), (1, c.pairs, count(c.pair, len(c.pairs)))):
-                    edge = [*np.searchsorted(keys, bounds), len(keys)]
-                    spans = [(p, i, j) for p, (i, j) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if i < j]
+                    # only parts that own some of the keys are visited; keys are in order
+                    part = np.searchsorted(bounds, keys, side="right") - 1
+                    first = np.flatnonzero(np.diff(part, prepend=-1))
+                    spans = list(zip(part[first].tolist(), first.tolist(), [*first[1:].tolist(), len(keys)], strict=True))
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([p for p, _, _ in spans], pa.int64()),
@@ -168,9 +173,17 @@ def _answered(sent: DataFrame) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[list, list] = ([], [])
+        now = None
         for batch in batches:
             for row in batch.to_pylist():
+                if row["part"] != now:
+                    yield from answers(held)
+                    held, now = ([], []), row["part"]
                 held[row["kind"]].append((row["chunk"], row["part"], np.cumsum(_unpack(row["keys"], 1)[0], dtype=np.uint64), row["counts"]))
+        yield from answers(held)
+
+    def answers(held: tuple[list, list]) -> Iterator[pa.RecordBatch]:
+        """Of one part."""
         for kind, rows in enumerate(held):
             if not rows:
                 continue
@@ -216,7 +229,10 @@ def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     partitions = max(1, min(FEW_PARTITIONS, n // LEAST_ENTRIES), n // MOST_ENTRIES)
     with batches_of(spark, CHUNKS_AT_ONCE):
         # each part has a partition of its own; by a hash of its number some would hold several at once
-        sent = _sent(chunks, partitions).repartitionById(partitions, F.col("part").cast("int"))
+        each = -(-partitions // MOST_PARTITIONS)
+        sent = _sent(chunks, partitions).repartitionById(-(-partitions // each), F.floor(F.col("part") / each).cast("int"))
+        if each > 1:
+            sent = sent.sortWithinPartitions("part")
         answers = cut(_answered(sent), "answers")
     # the 1 is the class of words that the corpus doesn't have
     words, tokens, target_tokens = (x or 0 for x in answers.filter("chunk IS NULL").agg(F.sum("distinct"), F.sum("tokens"), F.sum("target_tokens")).first())

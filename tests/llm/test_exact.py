@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 pytest.importorskip("corvane.llm")
 
@@ -366,6 +367,25 @@ def test_lm_score_rare_words(spark):
     assert len(rows) == 15 * len(got) and len({(r["doc_id"], r["score"]) for r in rows}) == len(got)
 
 
+def test_lm_score_many_parts(spark, monkeypatch):
+    """More parts than a chunk has words, and more than partitions: the same scores, and no more rows than words and pairs are sent."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.6)) % 3000}" for _ in range(rng.randrange(60)))) for i in range(300)]
+    df, target = spark.createDataFrame(rows, "doc_id long, text string").repartition(12), spark.createDataFrame([(i,) for i in range(0, 300, 7)], "doc_id long")
+    rounded = lambda: sorted((r[0], r[1], *(None if x is None else round(x, 9) for x in r[2:])) for r in lmscore.score(df, target).collect())
+    want, sent = rounded(), []
+    usual = lmscore._sent
+    monkeypatch.setattr(lmscore, "_sent", lambda chunks, parts: sent.append((usual(chunks, parts), parts)) or sent[-1][0])
+    for least, most in ((20, 20_000), (3, 5)):
+        for name, value in (("LEAST_ENTRIES", least), ("FEW_PARTITIONS", 5000), ("MOST_PARTITIONS", most)):
+            monkeypatch.setattr(lmscore, name, value)
+        assert rounded() == want
+        rows_sent, parts = sent[-1]
+        tokens = sum(len(t.split()) for _, t in rows)
+        assert parts > (400 if least == 20 else 2000) and rows_sent.count() <= 2 * tokens + 24
+        assert lmscore._answered(rows_sent.repartitionById(3, F.floor(F.col("part") / (parts // 3 + 1)).cast("int")).sortWithinPartitions("part")).count() >= rows_sent.count()
+
+
 def test_account_cues():
     """Cues in any case, with spaces, colons and quotes before the value; prose about them stays."""
     key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
