@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.operators import bands as B
 from corvane.operators import curation as C
 from corvane.plans.registry import query, table
 from corvane.storage import small
@@ -20,16 +21,23 @@ def cross_source_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.cross_source(table(spark, sf_dir, "documents"))
 
 
-@query(
-    """WITH RECURSIVE n AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS l FROM embeddings),
-p AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id AND round(list_inner_product(a.v, b.v) / (a.l * b.l), 6) >= 0.45),
+LINKS = """WITH RECURSIVE n AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS l FROM embeddings),
+p AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id AND round(list_inner_product(a.v, b.v) / (a.l * b.l), 6) >= {0}),
 c AS (SELECT vec_id AS node, vec_id AS root FROM n UNION SELECT p.b, c.root FROM c JOIN p ON p.a = c.node)
 SELECT node AS vec_id, (SELECT count(*) FROM p WHERE p.a = node) AS n_links, min(root) AS class_id FROM c GROUP BY node"""
-)
+
+
+@query(LINKS.format(0.45))
 def near_dup_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.semantic_links(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.45)
 
 
+@query(LINKS.format(0.9))
+def near_dup_banded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of high cosine, by bands; at this threshold the tables' links are found whole."""
+    return B.banded_links(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.9)
+
+
 @query(
     """WITH o AS (SELECT doc_id, text FROM documents WHERE lang <> 'fr'), n AS (SELECT doc_id, CASE lang WHEN 'de' THEN upper(text) ELSE text END AS text FROM documents WHERE source <> 'src3')
 SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'new' WHEN n.doc_id IS NULL THEN 'removed' WHEN sha256(o.text) = sha256(n.text) THEN 'unchanged' ELSE 'changed' END AS status
