@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.functions import tables
 from corvane.functions import text as T
 from corvane.operators import chunking as K
 from corvane.plans.registry import query, table
@@ -134,7 +135,25 @@ def child_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return children.select("parent_id", "child_idx", F.length("content").alias("n_chars"), F.md5("content").alias("content_md5"))
 
 
-@query("SELECT doc_id, i::INT AS chunk_idx, md5(substr(text, i * 400 + 1, 500)) AS content_md5 FROM documents, unnest(range(0, greatest(0, ceil((length(text) - 500) / 400.0))::BIGINT + 1)) t(i)")
+@query()
+def child_chunks_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``child_chunks`` from SQL alone, by a table function."""
+    tables.register(spark)
+    rows = "SELECT parent_id, child.chunk_idx AS child_idx, length(child.content) AS n_chars, md5(child.content) AS content_md5 FROM {parents}, LATERAL chunks(content, 500, 100) AS child"
+    return spark.sql(rows, parents=document_parents(spark, sf_dir).select("parent_id", "content"))
+
+
+WINDOW_ROWS = "SELECT doc_id, i::INT AS chunk_idx, md5(substr(text, i * 400 + 1, 500)) AS content_md5 FROM documents, unnest(range(0, greatest(0, ceil((length(text) - 500) / 400.0))::BIGINT + 1)) t(i)"
+
+
+@query(WINDOW_ROWS)
+def window_chunks_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``fixed_window_chunks`` by a function of SQL alone."""
+    tables.register(spark)
+    return spark.sql("SELECT doc_id, chunk_idx, md5(content) AS content_md5 FROM {docs}, LATERAL windows(text, 500, 100)", docs=table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query(WINDOW_ROWS)
 def fixed_window_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.fixed_windows(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "chunk_idx", F.md5("content").alias("content_md5"))
 
