@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from corvane.functions import text as T
 from corvane.plans.registry import query, table
 from corvane.sources import documents as D
+from corvane.sources.parents import ParentStore
+from corvane.storage import scratch
 
 EXT = "CASE lang WHEN 'en' THEN 'pdf' WHEN 'de' THEN 'DOCX' WHEN 'fr' THEN 'html' ELSE 'dat' END"
 FILES = f"f AS (SELECT doc_id, text, lang, source, source || '/' || source || '_' || n_chars || '.' || {EXT} AS path, source || '_' || n_chars AS stem FROM documents)"
@@ -84,13 +86,43 @@ def parent_store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 ASKED = "a AS (SELECT DISTINCT source || '_parent_' || n_chars // 300 || CASE lang WHEN 'en' THEN '.JSON' WHEN 'de' THEN '.json' ELSE '' END AS asked FROM documents)"
 
 
-@query(f"WITH {STORE}, {ASKED} SELECT asked, parent_id, md5(content) AS content_md5 FROM a JOIN s ON parent_id = regexp_replace(asked, '(?i)\\.json$', '')")
-def parent_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+LOOKUP = f"WITH {STORE}, {ASKED} SELECT asked, parent_id, md5(content) AS content_md5 FROM a JOIN s ON parent_id = regexp_replace(asked, '(?i)\\.json$', '')"
+
+
+def asked_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "documents").select(F.expr("source || '_parent_' || n_chars div 300 || CASE lang WHEN 'en' THEN '.JSON' WHEN 'de' THEN '.json' ELSE '' END").alias("asked")).distinct()
-    found = asked.withColumn("parent_id", D.parent_key(F.col("asked"))).join(store(spark, sf_dir), "parent_id")
+    return asked.withColumn("parent_id", D.parent_key(F.col("asked")))
+
+
+@query(LOOKUP)
+def parent_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = asked_parents(spark, sf_dir).join(store(spark, sf_dir), "parent_id")
     return found.select("asked", "parent_id", F.md5("content").alias("content_md5"))
 
 
+@query(LOOKUP)
+def parent_lookup_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a store in buckets, which isn't shuffled for it."""
+    parents = ParentStore(spark, scratch(spark, "parents"))
+    parents.write("parents", store(spark, sf_dir))
+    return parents.fetch(asked_parents(spark, sf_dir)).select("asked", "parent_id", F.md5("content").alias("content_md5"))
+
+
+@query(
+    f"""WITH {STORE}, c AS (SELECT source || '_parent_' || n_chars // 400 AS parent_id, count(*) AS n_children, count(DISTINCT lang) AS n_langs FROM documents GROUP BY 1)
+SELECT parent_id, n_children, n_langs, s.doc_id AS parent_doc_id, md5(s.content) AS content_md5 FROM c JOIN s USING (parent_id)"""
+)
+def children_with_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Children and parents of one bucketing: the join and the count of children need no shuffle."""
+    own = ParentStore(spark, scratch(spark, "parents"))
+    own.write("parents", store(spark, sf_dir))
+    own.write("children", table(spark, sf_dir, "documents").select(F.expr("source || '_parent_' || n_chars div 400").alias("parent_id"), "lang"))
+    counts = own.table("children").groupBy("parent_id").agg(F.count(F.lit(1)).alias("n_children"), F.count_distinct("lang").alias("n_langs"))
+    own._tables["counts"] = counts
+    found = own.with_parents("counts")
+    return found.select("parent_id", "n_children", "n_langs", "parent_doc_id", F.md5("parent_content").alias("content_md5"))
+
+
 @query(
     """WITH c AS (SELECT DISTINCT source, sha256(doc_id || ':' || i) AS chunk_id FROM documents, unnest(range(0, greatest(0, ceil((length(text) - 500) / 400.0))::BIGINT + 1)) t(i))
 SELECT source, count(*) AS n_chunks, min(chunk_id) AS first_id FROM c GROUP BY source"""
