@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.operators import bands as B
+from corvane.operators import bitmaps as M
 from corvane.operators import curation as C
+from corvane.operators import delta as X
 from corvane.plans.registry import query, table
-from corvane.storage import small
+from corvane.storage import cut, small
 
 
 @query("SELECT sha256(text) AS sha, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
@@ -105,3 +107,30 @@ def registry_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = table(spark, sf_dir, "events")
     last = F.max_by("event_type", F.struct("ts", "event_id")).alias("status")
     return log.groupBy("user_id").agg(last, F.count(F.lit(1)).alias("n_changes"), F.count(F.when(F.col("event_type") == "error", 1)).alias("n_errors"))
+
+
+@query()
+def chunk_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two states of each document, before and after words are put into the middle of German ones: how many chunks stay, come and go."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    half = F.floor(F.length("text") / 2).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), half), F.lit(" some words that were not there "), F.substring("text", half + 1, F.length("text")))
+    before = X.chunks(docs, "doc_id", "text")
+    after = X.chunks(docs.withColumn("text", F.when(F.col("lang") == "de", edited).otherwise(F.col("text"))), "doc_id", "text")
+    found = X.chunk_delta(before, after, "doc_id")
+    return found.groupBy("doc_id").agg(F.sum("n_kept").alias("n_kept"), F.sum("n_added").alias("n_added"), F.sum("n_removed").alias("n_removed"))
+
+
+TAGGED = "(lang = 'de' OR lang = 'fr') AND NOT source = 'src0' AND NOT (lang = 'fr' AND CASE WHEN n_chars > 5000 THEN 'long' ELSE 'short' END = 'long')"
+
+
+@query(f"SELECT doc_id, source, n_chars FROM documents WHERE {TAGGED}")
+def list_by_bitmap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A listing by conjunction, disjunction and negation of tags, from a bitmap index; documents are read by number only."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("number"), "lang", "source", "n_chars")
+    tags = F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source"), F.lit("size"), F.when(F.col("n_chars") > 5000, "long").otherwise("short"))
+    index = cut(M.build(docs.select("number", F.explode(tags).alias("tag", "value")), docs), "bitmaps")
+    french = M.Has("lang", "fr")
+    condition = M.And((M.Or((M.Has("lang", "de"), french)), M.Not(M.Has("source", "src0")), M.Not(M.And((french, M.Has("size", "long"))))))
+    found = M.numbers(M.matching(index, condition))
+    return docs.join(found, "number", "left_semi").select(F.col("number").alias("doc_id"), "source", "n_chars")
