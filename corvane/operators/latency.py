@@ -18,6 +18,7 @@ from contextlib import contextmanager
 from functools import wraps
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -169,16 +170,30 @@ def export_json(metrics: DataFrame) -> DataFrame:
     return out
 
 
+MEASURED = "metric_id long, operation string, duration double, timestamp double, metadata string"
+
+
 class Tracker:
-    """Measures operations on the driver; ``frame`` hands the measurements to the operators above."""
+    """Measures operations on the driver; ``frame`` hands the measurements to the operators above.
+
+    With a ``path``, measurements are kept in a table there, which outlives the process: the driver holds those that came
+    after the last ``flush`` only, which ``FLUSH_ROWS`` of them bring about at the next ``frame``, and then at most ``HELD_ROWS``.
+    """
+
+    FLUSH_ROWS, HELD_ROWS = 1000, 100_000
 
-    def __init__(self) -> None:
+    def __init__(self, spark: SparkSession | None = None, path: str | None = None) -> None:
         self._rows: list[tuple[str, float, float, str | None]] = []
         self._lock = threading.Lock()
+        self._spark, self._path = spark, path
+        self._first = 0
 
     def record(self, operation: str, duration: float, metadata: dict[str, Any] | None = None) -> None:
         with self._lock:
             self._rows.append((operation, duration, time.time(), None if metadata is None else json.dumps(metadata)))
+            full = self._path is not None and len(self._rows) >= self.HELD_ROWS
+        if full:
+            self.flush()
 
     @contextmanager
     def measure(self, operation: str, metadata: dict[str, Any] | None = None) -> Iterator[None]:
@@ -203,11 +218,38 @@ class Tracker:
 
         return wrap
 
+    def _there(self) -> DataFrame | None:
+        """What has been flushed since the last reset."""
+        try:
+            return self._spark.read.schema(MEASURED).parquet(f"{self._path}/measured") if self._path is not None else None
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return None
+
+    def flush(self) -> None:
+        """Moves what the driver holds into the table."""
+        if self._path is None:
+            return
+        with self._lock:
+            rows, self._rows = self._rows, []
+            first, self._first = self._first, self._first + len(rows)
+        if rows:
+            own = self._spark.createDataFrame([(time.time_ns() // 1000 * 1000 + i, *r) for i, r in enumerate(rows, first)], MEASURED)
+            own.coalesce(1).write.mode("append").parquet(f"{self._path}/measured")
+
     def reset(self) -> None:
         with self._lock:
             self._rows.clear()
+        if self._path is not None:
+            self._spark.createDataFrame([], MEASURED).write.mode("overwrite").parquet(f"{self._path}/measured")
 
     def frame(self, spark: SparkSession) -> DataFrame:
         with self._lock:
-            rows = [(i, *r) for i, r in enumerate(self._rows)]
-        return spark.createDataFrame(rows, "metric_id long, operation string, duration double, timestamp double, metadata string")
+            full = self._path is not None and len(self._rows) >= self.FLUSH_ROWS
+        if full:
+            self.flush()
+        with self._lock:
+            rows = [((time.time_ns() if self._path else 0) + i, *r) for i, r in enumerate(self._rows)]
+        held, there = spark.createDataFrame(rows, MEASURED), self._there()
+        return held if there is None else there.unionByName(held)

@@ -9,6 +9,7 @@ from corvane.operators import bands as B
 from corvane.operators import bitmaps as M
 from corvane.operators import curation as C
 from corvane.operators import delta as X
+from corvane.operators import intervals as V
 from corvane.plans.registry import query, table
 from corvane.storage import cut, small
 
@@ -134,3 +135,15 @@ def list_by_bitmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     condition = M.And((M.Or((M.Has("lang", "de"), french)), M.Not(M.Has("source", "src0")), M.Not(M.And((french, M.Has("size", "long"))))))
     found = M.numbers(M.matching(index, condition))
     return docs.join(found, "number", "left_semi").select(F.col("number").alias("doc_id"), "source", "n_chars")
+
+
+@query(
+    """WITH q AS (SELECT event_id AS qid, user_id, ts + INTERVAL 30 MINUTE AS at FROM events WHERE event_type = 'error')
+SELECT qid, q.user_id AS user_id, max_by(e.event_type, (e.ts, e.event_id)) AS status, max_by(e.event_id, (e.ts, e.event_id)) AS event_id FROM q JOIN events e ON e.user_id = q.user_id AND e.ts <= q.at GROUP BY qid, q.user_id"""
+)
+def status_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a registry's log: the status of each user half an hour after each of their errors, by validity intervals."""
+    log = table(spark, sf_dir, "events")
+    index = V.stored(log.select("user_id", "ts", "event_id", F.col("event_type").alias("status")), "user_id", "ts", "event_id").drop("ts")
+    asked = log.filter("event_type = 'error'").select(F.col("event_id").alias("qid"), "user_id", (F.col("ts") + F.expr("INTERVAL 30 MINUTES")).alias("at"))
+    return V.as_of(asked, index, "user_id", "at").select("qid", "user_id", "status", "event_id")

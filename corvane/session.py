@@ -101,7 +101,7 @@ class Engine:
     ):
         self.spark, self.root = spark, root.rstrip("/")
         self.graders, self.answer, self.analysis = graders or GRADERS, answer, analysis
-        self.tracker = Tracker()
+        self.tracker = Tracker(spark, f"{self.root}/_latency")
         self.index = HybridIndex(spark, f"{self.root}/_index", embed)
         self.clear_session()
 
