@@ -77,6 +77,8 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.latin = LatinWords(json.loads(self.tokenizer.to_str())["model"])
+        #: Words whose ids are kept, of each kind.
+        self.most = CACHE_WORDS
         self.words: dict[str, bytes] = {}
         self.plain: dict[str, bytes] = {}
 
@@ -86,7 +88,7 @@ class WordIds:
         parts = [[(False, t)] if not _is_other(t) else [(k, " ".join(g)) for k, g in itertools.groupby(t.replace("\n", " ").split(" "), _is_other)] for t in texts]
         self._learn({w for p in parts for other, run in p if other for w in run.split(" ") if len(w) <= LONGEST} - self.words.keys())
         cut = [[(other, run.split(" ") if other else run.lower().split()) for other, run in p] for p in parts]
-        if len(self.plain) > CACHE_WORDS:
+        if len(self.plain) > self.most:
             self.plain = {}
         long = self._learn_plain(set().union(*(ws for p in cut for other, ws in p if not other)).difference(self.plain))
         latin = self.plain.__getitem__ if not long else lambda w: long[w] if w in long else self.plain[w]
@@ -114,7 +116,7 @@ class WordIds:
 
     def _learn(self, new: set[str]) -> None:
         """Adds the ids of words; what was known before may be forgotten."""
-        if len(self.words) > CACHE_WORDS:
+        if len(self.words) > self.most:
             self.words = _Forgotten(self._library)
         for part in itertools.batched(new, 4096):
             for w, e in zip(part, self.tokenizer.encode_batch_fast(list(part), add_special_tokens=False), strict=True):

@@ -54,6 +54,8 @@ PACK_IDS, FILE_IDS = 1 << 19, 1 << 25
 BATCH_IDS, BATCH_DOCS = 1 << 20, 4096
 #: Texts encoded together, and rows that workers are handed at once.
 SLICE, ROWS_AT_ONCE = 128, 512
+#: Words whose ids a worker keeps, also from one task to the next: some 200 bytes each.
+KEPT_WORDS = 400_000
 #: What stands for a null ``doc_id``.
 NULL_ID = -(1 << 63)
 
@@ -397,13 +399,13 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer_path)
+        own.most = KEPT_WORDS
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 found = own.encode([t or "" for t in part.column(1).to_pylist()], end_id)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], ["doc_id", "ids"])
             pa.default_memory_pool().release_unused()
-        own.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain(F.col("text")).alias("text")).mapInArrow(each, WRITE)
 
