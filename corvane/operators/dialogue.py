@@ -107,6 +107,9 @@ class Analysis:
     questions: Callable[[Column, Column], Column] = lambda query, context: stub_questions(query)
     is_clear: Callable[[Column, Column], Column] = lambda query, context: F.lit(True)
     needed: Callable[[Column, Column], Column] = lambda query, context: F.lit(None).cast("string")
+    #: Another wording of a question that has found nothing so far, or null to give up; ``rounds`` searches at most.
+    retry: Callable[[Column, Column], Column] = lambda question, round: F.lit(None).cast("string")
+    rounds: int = 3
 
 
 def analyse(asked: DataFrame, analysis: Analysis) -> DataFrame:
@@ -128,11 +131,21 @@ def answer_all(asked: DataFrame, units: DataFrame, parents: DataFrame, k: int =
     ``asked`` has ``key, query, history``; ``units`` ``id, parent_id, text``; ``parents`` ``parent_id, content``. A query that
     isn't clear gets the status ``needs_input`` and the clarification as its text. The others are split into questions; each
     searches the ``k`` best units (by ``search``, an index's for instance, or else a pass over ``units``), then reads their
-    parents, and is answered from the best one. Analysis and hits are written.
+    parents, and is answered from the best one. A question that finds nothing is worded anew by ``analysis.retry`` and asked again. Analysis and hits are written.
     """
     analysed = cut(analyse(asked, analysis or Analysis()), "analysed")
     parts = fan_out(analysed.filter("is_clear"), "key").withColumn("qid", F.xxhash64("key", "question_index"))
-    found = cut(retrieval.hybrid(units.select("id", "text"), cut(parts.select("qid", F.col("question").alias("text")), "questions"), k, threshold_stage=threshold_stage, search=search), "hits")
+    analysis = analysis or Analysis()
+    found, asking = None, cut(parts.select("qid", F.col("question").alias("text")), "questions")
+    for turn in range(1, analysis.rounds + 1):
+        hits = cut(retrieval.hybrid(units.select("id", "text"), asking, k, threshold_stage=threshold_stage, search=search), "hits")
+        found = hits if found is None else found.unionByName(hits)
+        if turn < analysis.rounds:
+            # what has found nothing is worded anew and asked again
+            left = asking.join(hits.select(F.col("qid").alias("__q")).distinct(), F.col("qid") == F.col("__q"), "left_anti")
+            asking = cut(left.select("qid", analysis.retry(F.col("text"), F.lit(turn)).alias("text")).filter("text IS NOT NULL"), "questions")
+            if not asking.limit(1).count():
+                break
     named = units.select("id", "parent_id").join(small(found), "id").groupBy("qid", "parent_id").agg(F.min("rank").alias("rank"))
     best = cut(named.groupBy("qid").agg(F.min_by("parent_id", "rank").alias("parent_id"), F.count(F.lit(1)).alias("n")), "parents")
     read = parents.join(small(best), "parent_id").select("qid", "n", F.col("content").alias("__content"))

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.operators import latency as L
+from corvane.operators import rollups as U
 from corvane.plans.registry import query, table
+from corvane.storage import scratch
 
 # Which operation an event type stands for.
 OPERATIONS = (("click", "vector_retrieval"), ("view", "end_to_end_query"), ("purchase", "llm_generation"), ("signup", "document_chunking"), ("error", "agent_graph_execution"))
@@ -48,6 +50,15 @@ def latency_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(all_stats(spark, sf_dir), *TIMES)
 
 
+@query(f"WITH {S} SELECT {COLUMNS} FROM s")
+def latency_stats_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from sorted blocks that batches of measurements were added to, of which few are opened."""
+    path, rows = scratch(spark, "blocks"), metrics(spark, sf_dir)
+    for batch in (0, 1, 2):
+        U.add(rows.filter(F.col("metric_id") % 3 == batch), path, f"b{batch}")
+    return rounded(U.stats(spark.read.parquet(path)), *TIMES)
+
+
 @query(f"WITH {S} SELECT {COLUMNS} FROM s WHERE operation = 'vector_retrieval'")
 def latency_stats_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(L.stats(metrics(spark, sf_dir), "vector_retrieval"), *TIMES)

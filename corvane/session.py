@@ -52,6 +52,8 @@ MOST_FILE_BYTES = 128 << 20
 FILES_AT_ONCE = 8
 
 Grader = Callable[[Column, Column, Column], Column]
+#: Hears which share of an ingestion is done, and what comes next.
+Progress = Callable[[float, str], None]
 
 #: Offline stand-ins: a column of question, answer and joined documents to a boolean for each metric.
 GRADERS: dict[str, Grader] = {
@@ -184,14 +186,16 @@ class Engine:
         text = F.when(kind == "html", T.html_to_markdown(F.col("text"))).otherwise(F.col("text"))
         return self._ingest(files.select("path", kind.alias("format"), T.valid_utf8(text).alias("text"), F.lit(None).cast("string").alias("error")), batch=batch)
 
-    def _ingest(self, read: DataFrame, update: bool = False, batch: str | None = None) -> tuple[int, int]:
+    def _ingest(self, read: DataFrame, update: bool = False, batch: str | None = None, progress: Progress | None = None) -> tuple[int, int]:
         """``(added, skipped)`` of rows ``path, format, text, error``; each row's fate goes to the registry.
 
         With ``update``, a stem that is there gets another version if its text has changed. A batch that failed, at whatever
         step, can be ingested again under its name: what it wrote before doesn't count, and is overwritten.
         """
         batch = batch or uuid.uuid4().hex
+        step = progress or (lambda done, what: None)
         with self.tracker.measure("document_ingestion"):
+            step(0.0, "reading and parsing")
             # files are parsed, and what is new decided, once
             with batches_of(self.spark, FILES_AT_ONCE):
                 rows = cut(read.withColumn("stem", T.stem_of(F.col("path"))), "staged")
@@ -207,10 +211,12 @@ class Engine:
                 known = known.join(holds, F.col("stem") == F.col("__held"), "left")
                 fresh = fresh | ~F.sha2("text", 256).eqNullSafe(F.col("__shas")[F.col("__v")])
             new = cut(known.filter(fresh).select("stem", "path", "format", "text", "bucket", (F.coalesce("__last", F.lit(0)) + 1).alias("version")), "new")
+            step(0.3, "chunking")
             with self.tracker.measure("document_chunking"):
                 parents = chunking.parent_chunks(new, "version", "text", F.col("stem"))
                 self._add("parents", parents.select("parent_id", F.regexp_replace("parent_id", r"_parent_\d+$", "").alias("stem"), F.col("version").cast("int").alias("version"), "content", "metadata"), batch)
             own = self.table("parents").filter(F.col("batch") == batch)
+            step(0.5, "indexing")
             with self.tracker.measure("vector_insertion"):
                 self._add("children", self._children(own), batch)
                 self._index(batch)
@@ -225,12 +231,13 @@ class Engine:
             self._add("stems", new.select("stem", "version", F.sha2("text", 256).alias("sha"), "bucket"), batch)
             self.last_batch = batch
             added = new.count()
+            step(1.0, f"{added} added")
             return added, rows.count() - added
 
-    def add_documents(self, paths: str | list[str]) -> tuple[int, int]:
-        """Files of all formats that have a parser; paths that don't exist are left out, as if they hadn't been given."""
+    def add_documents(self, paths: str | list[str], progress: Progress | None = None) -> tuple[int, int]:
+        """Files of all formats that have a parser; paths that don't exist are left out, as if they hadn't been given. ``progress`` hears of each step."""
         paths = [p for p in ([paths] if isinstance(paths, str) else paths) if p and self._exists(p)]
-        return self._ingest(self._files(paths)) if paths else (0, 0)
+        return self._ingest(self._files(paths), progress=progress) if paths else (0, 0)
 
     def update_documents(self, paths: str | list[str]) -> tuple[int, int]:
         """Like ``add_documents``, but a stem whose text has changed gets another version, which holds from now on."""
@@ -285,8 +292,13 @@ class Engine:
         large = found.filter(F.col("length") > MOST_FILE_BYTES).select("path", name, F.lit(None).cast("binary").alias("content"))
         return content.unionByName(large).mapInArrow(_parsed, "path string, format string, text string, error string")
 
-    def add_web_page(self, url: str, html: str) -> tuple[bool, str]:
-        added, _ = self.add(self.spark.createDataFrame([(f"{url.rstrip('/')}.html", html)], "path string, text string"))
+    def add_web_page(self, url: str, html: str, metadata: dict[str, str] | None = None) -> tuple[bool, str]:
+        """Ingests a page; its metadata, and where it is from, become tags."""
+        path = f"{url.rstrip('/')}.html"
+        page = self.spark.createDataFrame([(path, html)], "path string, text string")
+        added, _ = self.add(page)
+        if added:
+            self.tag(page.select(T.stem_of(F.col("path"))).first()[0], **{"url": url, **(metadata or {})})
         return bool(added), "added" if added else "there already, or without text"
 
     @staticmethod
