@@ -33,7 +33,7 @@ many rows share only adds rows to each block, and each task returns at most
 Defined results: vectors that are null, empty, zero, of another dimension than
 the commonest in the sample, or hold null or non-finite components take no part;
 of rows with one id the first by vector counts; ties go to the smaller id; with
-fewer than ``k`` candidates all are returned; other columns are ignored.
+fewer than ``k`` candidates all are returned; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,8 +47,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows that the codes are learned from and radii are measured on, at most; and of them those that are paired with all others.
-SAMPLE_ROWS, PAIRED_ROWS = 10_000, 500
+#: Rows that the codes are learned from and radii are measured on, at most, and bytes of them; and of them those that are paired with all others.
+SAMPLE_ROWS, SAMPLE_BYTES, PAIRED_ROWS = 10_000, 64 << 20, 500
 BITS, SUBSTRING = 512, 16
 #: Share of the ``k`` nearest that a radius may miss.
 MISSED = 0.02
@@ -240,6 +240,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sample_rows: int
     """
     pick = lambda df, dim=None: df.filter(usable(F.col("embedding"), dim) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("__v"))
     spark = vectors.sparkSession
+    widest = pick(vectors).agg(F.max(F.size("__v"))).first()[0] or 1
+    sample_rows = max(1, min(sample_rows, SAMPLE_BYTES // (8 * widest)))
     taken = pick(vectors).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).collect()
     if not taken:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

@@ -10,7 +10,8 @@ one remainder for each of its documents, however long they are; token ids
 themselves aren't shuffled.
 
 Defined results: a null or empty text is one piece that holds the end id only;
-repeated rows are packed separately; an empty table gives no rows.
+repeated rows are packed separately, equal lengths in the order of their rows' places; a text may have any length, and
+many sequences; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

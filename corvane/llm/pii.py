@@ -15,7 +15,7 @@ A value in quotes is all between them; one without is a run of letters, digits,
 points, end exclusive.
 
 Defined results: a null or empty text has no spans; repeated rows each get
-their own result; spans of one kind never overlap; other columns are ignored.
+their own result; spans of one kind never overlap; a text of any length is searched whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ The filter's blocks and the list are broadcast only if they have at most
 Defined results: a null URL, or one without ``://``, has an empty host and
 path, fits no rule, is on no list and is allowed; repeated rows are judged
 each; repeated or null entries of the list count once or not at all; of two
-rules equal in length the alphabetically first wins; other columns are ignored.
+rules equal in length the alphabetically first wins; a URL may have any length; without pages there are no rows, with an empty list nothing is on it; other columns are ignored.
 """
 
 from __future__ import annotations

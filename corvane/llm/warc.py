@@ -17,7 +17,8 @@ Defined results: a null payload is an empty one; a null URL or id leaves its
 header out, and is null again when read; line ends in header values are
 percent-encoded; records of other kinds give their block as payload; a record
 whose ``Content-Length`` is missing or no number has a null length, and ends where
-its gzip member ends or the next record begins; an empty table writes no file, and a folder without archives reads as no rows.
+its gzip member ends or the next record begins; a payload may have any length that fits a value of a table; rows of one id are records each, and of equal payloads with the smallest id
+all rows of that id are responses; columns other than these are ignored; an empty table writes no file, and a folder without archives reads as no rows.
 """
 
 from __future__ import annotations

@@ -52,3 +52,12 @@ def test_more_rules_than_one_expression_holds(spark):
     pages = spark.createDataFrame([(1, "http://h5.org/a"), (2, "http://www.h5.org/a"), (3, "http://h5000.org/"), (4, None)], "page_id long, url string")
     got = {r["page_id"]: (r["rule"], r["verdict"]) for r in U.judge(pages, rules, spark.createDataFrame([], "url string")).collect()}
     assert got == {1: ("h5.org/", "block"), 2: ("www.h5.org/", "allow"), 3: (None, "allow"), 4: (None, "allow")}
+
+
+def test_very_long_url(spark):
+    """Canonical form, rules and list see all of it."""
+    long = "http://www.Long.com/" + "a" * 200_000
+    pages = spark.createDataFrame([(1, long + "?b=1"), (2, long), (3, long + "x")], "page_id long, url string")
+    listed = spark.createDataFrame([("long.com/" + "a" * 200_000,)], "url string")
+    got = {r["page_id"]: (r["host"], len(r["path"]), r["verdict"]) for r in U.judge(pages, [("allow", "org/")], listed).collect()}
+    assert got[2] == ("www.long.com", 200_001, "block") and got[3] == ("www.long.com", 200_002, "allow") and got[1][2] == "allow"
