@@ -9,8 +9,8 @@ from corvane.operators import retrieval
 from corvane.operators.cells import VectorIndex
 from corvane.operators.postings import PostingIndex
 
-#: Segments from which on an index is merged by ``add``.
-MOST_SEGMENTS = 16
+#: Segments of one level; when there are more, ``add`` merges them into one of the next.
+MOST_SEGMENTS = 8
 
 
 class HybridIndex:
@@ -24,8 +24,10 @@ class HybridIndex:
         """Indexes ``units``; what is added again under its name takes the place of the former."""
         self.postings.add(units.select("id", "text"), name)
         self.vectors.add(units.select("id", self.embed(F.col("text")).alias("vector")), name)
-        if len(self.postings.segments.names()) > MOST_SEGMENTS:
-            self.merge()
+        while crowded := self.postings.segments.crowded(MOST_SEGMENTS):
+            self.postings.merge(names=crowded)
+        while crowded := self.vectors.segments.crowded(MOST_SEGMENTS):
+            self.vectors.merge(names=crowded)
 
     def merge(self, without: DataFrame | None = None) -> None:
         self.postings.merge(without)

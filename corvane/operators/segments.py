@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,13 +36,26 @@ class Segments:
     def place(self, name: str, kind: str) -> str:
         return f"{self.path}/{kind}/segment={name}"
 
-    def read(self, kind: str) -> DataFrame:
-        """The rows of all segments that hold, of one kind of table."""
-        paths = [self.place(n, kind) for n in self.names()]
+    def read(self, kind: str, names: list[str] | None = None) -> DataFrame:
+        """The rows of some segments, or of all that hold, of one kind of table."""
+        paths = [self.place(n, kind) for n in (self.names() if names is None else names)]
         if not paths:
             return self.spark.createDataFrame([], self.schemas[kind])
         return self.spark.read.schema(self.schemas[kind]).option("basePath", f"{self.path}/{kind}").parquet(*paths).drop("segment")
 
     @staticmethod
-    def fresh() -> str:
-        return uuid.uuid4().hex
+    def fresh(level: int = 0) -> str:
+        """A new name; a segment made of others by merging is one level above the highest of them."""
+        return f"m{level}-{uuid.uuid4().hex}"
+
+    @staticmethod
+    def level(name: str) -> int:
+        found = re.match(r"m(\d+)-", name)
+        return int(found[1]) if found else 0
+
+    def crowded(self, most: int) -> list[str]:
+        """The segments of the lowest level that has more than ``most``; merging level by level, each row is written again as often as there are levels."""
+        by: dict[int, list[str]] = {}
+        for name in self.names():
+            by.setdefault(self.level(name), []).append(name)
+        return next((by[n] for n in sorted(by) if len(by[n]) > most), [])

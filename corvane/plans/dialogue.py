@@ -150,7 +150,8 @@ FROM r LEFT JOIN conversations c ON c.conv_id = r.conv_id AND role = 'assistant'
 def thread_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations followed as a stream, whose state tells what a fold over each whole conversation does."""
     source = table(spark, sf_dir, "conversations")
-    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 8).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/conversations.parquet")
+    # a pattern, as the table may be one file or a folder of files
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 8).parquet(f"{sf_dir}/conversations.parque[t]")
     target = scratch(spark, "threads")
     X.track(stream, target, scratch(spark, "threads-checkpoint")).awaitTermination()
     return X.threads(spark, target)

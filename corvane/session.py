@@ -192,7 +192,28 @@ class Engine:
         With ``update``, a stem that is there gets another version if its text has changed. A batch that failed, at whatever
         step, can be ingested again under its name: what it wrote before doesn't count, and is overwritten.
         """
-        batch = batch or uuid.uuid4().hex
+        if batch is not None:
+            return self._ingested(read, update, batch, progress)
+        batch = uuid.uuid4().hex
+        try:
+            return self._ingested(read, update, batch, progress)
+        except Exception:
+            self._drop(batch)  # nobody will ingest it again under this name
+            raise
+
+    def _drop(self, batch: str) -> None:
+        """Deletes what a batch has written."""
+        for name in SCHEMAS:
+            for folder in (f"{self.root}/{name}/batch={batch}", f"{self.root}/{name}/bucket=*/batch={batch}"):
+                own = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+                system = own.getFileSystem(self.spark._jsc.hadoopConfiguration())
+                for found in system.globStatus(own) or []:
+                    system.delete(found.getPath(), True)
+        for part in (self.index.postings, self.index.vectors):
+            if batch in part.segments.names():
+                part.segments.commit([n for n in part.segments.names() if n != batch])
+
+    def _ingested(self, read: DataFrame, update: bool, batch: str, progress: Progress | None) -> tuple[int, int]:
         step = progress or (lambda done, what: None)
         with self.tracker.measure("document_ingestion"):
             step(0.0, "reading and parsing")

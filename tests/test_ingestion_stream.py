@@ -61,3 +61,24 @@ def test_stems_are_read_by_bucket(spark, tmp_path):
     plan = engine.table("stems").filter(F.col("bucket").isin([3]))._jdf.queryExecution().toString()
     assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
     assert set(SCHEMAS) >= {"stems"} and engine.table("stems").count() == 2
+
+
+@pytest.mark.parametrize("at", ["documents", "stems"])
+def test_failed_batch_leaves_nothing(spark, tmp_path, whole, monkeypatch, at):
+    """A batch without a name that fails is taken back, so that trying again gives what one try gives."""
+    engine = Engine(spark, str(tmp_path / "tables"))
+    usual = Engine._add
+
+    def add(self, name, rows, batch):
+        if name == at:
+            raise RuntimeError("failed")
+        usual(self, name, rows, batch)
+
+    monkeypatch.setattr(Engine, "_add", add)
+    with pytest.raises(RuntimeError, match="failed"):
+        engine.add(spark.createDataFrame(FIRST, SCHEMA))
+    assert all(engine.table(n).count() == 0 for n in ("parents", "children", "documents", "stems")) and engine.index.postings.segments.names() == []
+    monkeypatch.setattr(Engine, "_add", usual)
+    engine.add(spark.createDataFrame(FIRST, SCHEMA))
+    engine.add(spark.createDataFrame(SECOND, SCHEMA))
+    assert (tables(engine), found(engine)) == whole
