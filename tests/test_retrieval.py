@@ -85,3 +85,36 @@ def test_inverse_document_frequency(spark):
     got = {(r["k"], r["token"]): r["weight"] for r in R.term_weights(docs, "k", "t", idf=True).collect()}
     plain = {(r["k"], r["token"]): r["weight"] for r in R.term_weights(docs, "k", "t").collect()}
     assert got[1, "b"] == pytest.approx(plain[1, "b"] * math.log(1 + 2.5 / 1.5)) and got[2, "a"] == pytest.approx(plain[2, "a"] * math.log(1 + 0.5 / 3.5))
+
+
+def test_bounds_pass_over_nothing_that_counts(monkeypatch):
+    """The pass gives what scoring every pair gives, for queries on both sides of ``SHORT_WORDS``, and makes few scores exactly."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(400)]
+    text = lambda n: " ".join(rng.choice(vocabulary[: rng.choice((5, 50, 400))]) for _ in range(n))
+    asked = [*enumerate([text(n) for n in (1, 2, 3, 11, 11, 12, 63, 64, 65, 200)]), (10, ""), (11, None), (12, "w1 w1 w1"), (13, "unknown")]
+    units = [text(rng.randrange(0, 90)) for _ in range(700)] + [None, "", "w1"] + [text(5000)]
+    queries = R._Queries(asked)
+    best, made = {kind: R._Best(len(asked), 3) for kind in ("dense", "sparse")}, 0
+    for at in range(0, len(units), 64):
+        for kind, (unit, q, scores) in R._pairs(queries, R._Codes(queries.numbers), units[at : at + 64], {kind: own.least for kind, own in best.items()}):
+            made += len(q)
+            best[kind].add(q[scores > 0], unit[scores > 0] + at, scores[scores > 0])
+        for own in best.values():
+            own.result()
+    assert made < 0.5 * 2 * len(asked) * len(units)
+
+    def dense(a, b):
+        x, y = (np.bincount([R.bucket(w) for w in R.words(t)], minlength=256).astype(float) for t in (a, b))
+        return round(float(x @ y / max(np.sqrt((x**2).sum()) * np.sqrt((y**2).sum()), 1e-300)), 6)
+
+    def sparse(a, b):
+        own = R.words(b)
+        return round(sum(own.count(w) * 2.2 / (own.count(w) + 1.2 * (0.25 + 0.75 * len(own) / 256)) for w in dict.fromkeys(R.words(a))), 6)
+
+    for kind, score in (("dense", dense), ("sparse", sparse)):
+        q, ids, scores = best[kind].result()
+        for i, t in asked:
+            want = sorted((-s, j) for j, u in enumerate(units) if (s := score(t, u)) > 0)[:3]
+            found = list(zip((-scores[q == i]).tolist(), ids[q == i].tolist(), strict=True))
+            assert [j for _, j in found] == [j for _, j in want] and np.allclose([s for s, _ in found], [s for s, _ in want], atol=2e-6)
