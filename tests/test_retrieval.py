@@ -118,3 +118,22 @@ def test_bounds_pass_over_nothing_that_counts(monkeypatch):
             want = sorted((-s, j) for j, u in enumerate(units) if (s := score(t, u)) > 0)[:3]
             found = list(zip((-scores[q == i]).tolist(), ids[q == i].tolist(), strict=True))
             assert [j for _, j in found] == [j for _, j in want] and np.allclose([s for s, _ in found], [s for s, _ in want], atol=2e-6)
+
+
+@pytest.mark.parametrize(("pass_bytes", "rows_at_once", "products"), [(8 << 20, 512, 1 << 18), (300, 7, 11)])
+def test_nearest_sends_queries_to_the_rows(spark, monkeypatch, pass_bytes, rows_at_once, products):
+    """All rows against all queries, negative cosines, zeros and ties among them; rows and queries aren't dealt into pairs of blocks."""
+    for name, value in (("PASS_BYTES", pass_bytes), ("NEAREST_ROWS", rows_at_once), ("PRODUCTS", products)):
+        monkeypatch.setattr(R, name, value)
+    x = np.random.default_rng(4).integers(-2, 3, (60, 3)).astype(float)
+    rows = [*enumerate(x.tolist()), (60, None), (61, [None, 1.0, 1.0]), (62, [math.nan, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "id long, vector array<double>").repartition(3)
+    found = R.exact_nearest(df, df.filter("id % 4 = 0"), 70)
+    assert "CoGroup" not in found._jdf.queryExecution().toString()
+    norm = np.maximum(np.linalg.norm(x, axis=1), 1e-300)
+    unit = x / norm[:, None]
+    for q in range(0, 60, 4):
+        own = found.filter(f"qid = {q}").orderBy("rank").collect() if q < 9 else None
+        if own is not None:
+            scores = np.round(unit @ unit[q], 6)
+            assert [r["id"] for r in own] == [i for _, i in sorted((-scores[i], i) for i in range(60) if i != q)]
