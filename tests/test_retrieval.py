@@ -137,3 +137,43 @@ def test_nearest_sends_queries_to_the_rows(spark, monkeypatch, pass_bytes, rows_
         if own is not None:
             scores = np.round(unit @ unit[q], 6)
             assert [r["id"] for r in own] == [i for _, i in sorted((-scores[i], i) for i in range(60) if i != q)]
+
+
+def test_least_scores_are_known_before_most_units(spark, monkeypatch):
+    """Each share of the units is read with the least scores of those before; the rows are those of every pair."""
+    rng = random.Random(6)
+    text = lambda n: " ".join(f"w{rng.choice((rng.randrange(9), rng.randrange(60), rng.randrange(900)))}" for _ in range(n))
+    asked, units = [(q, text(rng.randrange(1, 30))) for q in range(-40, 40)] + [(90, text(80)), (91, ""), (92, None)], [(i * 7, text(rng.randrange(0, 90))) for i in range(600)]
+    queries = R._Queries(asked)
+    least, made = {kind: np.zeros(len(asked)) for kind in ("dense", "sparse")}, 0
+    monkeypatch.setattr(R, "RUN", 128)
+    guess = {kind: R._Best(len(asked), 3) for kind in least}
+    for kind, (unit, q, scores) in R._pairs(queries, R._Codes(queries.numbers), [t for _, t in units], least, 3):
+        made += len(q)
+        guess[kind].add(q, unit, scores)
+    for kind in least:
+        guess[kind].result()
+    assert made < 0.1 * 2 * len(asked) * len(units) and np.count_nonzero(guess["dense"].least) == len(asked) - 2
+
+    df = lambda rows, names: spark.createDataFrame(rows, names)
+    ask, search = df(asked, "qid long, text string"), df(units, "id long, text string")
+    plain = {tuple(r) for r in R.candidates(search, ask, 3).collect()}
+    known, shares = R._pass, []
+    monkeypatch.setattr(R, "_pass", lambda rows, shipped, k, least=None: shares.append((rows.count(), least)) or known(rows, shipped, k, least))
+    monkeypatch.setattr(R, "SEEDED", 1)
+    monkeypatch.setattr(R, "FIRST_UNITS", 16)
+    monkeypatch.setattr(R, "UNITS", 64)
+    assert {tuple(r) for r in R.candidates(search, ask, 3).collect()} == plain
+    assert [least is None for _, least in shares] == [True, False, False] and sum(n for n, _ in shares) == len(units)
+    for kind, own in shares[-1][1].items():
+        place = {q: i for i, q in enumerate(queries.ids.tolist())}
+        last = {r[0]: r[4] for r in plain if r[1] == kind and r[2] == 2}
+        assert np.count_nonzero(own) >= 60 and all(own[place[q]] <= score for q, score in last.items())
+    # and every pair scored gives the same
+    every = R._pairs(queries, R._Codes(queries.numbers), [t for _, t in units], {kind: np.zeros(len(asked)) for kind in least})
+    best = {kind: R._Best(len(asked), 3) for kind in least}
+    for kind, (unit, q, scores) in every:
+        best[kind].add(q, 7 * unit, scores)
+    for kind, own in best.items():
+        q, ids, scores = own.result()
+        assert {(int(queries.ids[a]), kind, int(b), float(c)) for a, b, c in zip(q, ids, scores, strict=True)} == {(r[0], r[1], r[3], r[4]) for r in plain if r[1] == kind}
