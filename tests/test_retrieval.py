@@ -164,7 +164,7 @@ def test_least_scores_are_known_before_most_units(spark, monkeypatch):
     monkeypatch.setattr(R, "FIRST_UNITS", 16)
     monkeypatch.setattr(R, "UNITS", 64)
     assert {tuple(r) for r in R.candidates(search, ask, 3).collect()} == plain
-    assert [least is None for _, least in shares] == [True, False, False] and sum(n for n, _ in shares) == len(units)
+    assert [least is None for _, least in shares] == [True] + [False] * 2 * R.PARTS and sum(n for n, _ in shares) == len(units)
     for kind, own in shares[-1][1].items():
         place = {q: i for i, q in enumerate(queries.ids.tolist())}
         last = {r[0]: r[4] for r in plain if r[1] == kind and r[2] == 2}
